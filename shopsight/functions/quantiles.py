@@ -68,6 +68,44 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], keys:
              .withColumn("_hi", F.when(F.col("q") + margin >= 1, F.lit(_INF))
                          .otherwise(F.element_at("_sk", F.col("qid") * 2 + 2)))
              .select(*keys, "qid", "q", "_n", "_r0", "_r1", "_frac", "_lo", "_hi"))
+    return _solve(base, state, keys, user_keys, max_exact, max_rounds, accuracy)
+
+
+def exact_order_statistics(df: DataFrame, value_col: str, targets: DataFrame, keys: Sequence[str] = (),
+                           accuracy: int = 10000, max_exact: int = 100_000, max_rounds: int = 10) -> DataFrame:
+    """Return ``keys..., rank, value``: for every row of ``targets`` (``keys...,
+    rank``) the value at that 0-based rank of the ascending non-null values of
+    its key (ranks beyond a key's size are skipped)."""
+    user_keys = list(keys)
+    keys = user_keys or ["_k"]
+    ensure_checkpoint_dir(df.sparkSession)
+    base = df.select(*[F.col(k) for k in user_keys], F.col(value_col).cast("double").alias("_v"))
+    tg = targets.select(*user_keys, F.col("rank").cast("long").alias("_r"))
+    if not user_keys:
+        base = base.withColumn("_k", F.lit(0))
+        tg = tg.withColumn("_k", F.lit(0))
+    base = base.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    grid = F.array(*[F.lit(i / _GRID) for i in range(_GRID + 1)])
+    first = base.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", grid, accuracy).alias("_sk"))
+    span = F.greatest(F.col("_n") - 1, F.lit(1))
+    cell_lo = F.floor(F.col("_r0") / span * _GRID).cast("int") - 1
+    cell_hi = F.ceil(F.col("_r0") / span * _GRID).cast("int") + 1
+    from shopsight.sources.joined import sized_broadcast
+    state = (first.join(sized_broadcast(tg, 200_000), keys)
+             .where(F.col("_r") < F.col("_n"))
+             .withColumn("qid", F.row_number().over(Window.partitionBy(*keys).orderBy("_r")) - 1)
+             .select(*keys, "qid", F.col("_r").cast("double").alias("q"), "_n", F.col("_r").alias("_r0"),
+                     F.col("_r").alias("_r1"), F.lit(0.0).alias("_frac"), "_sk")
+             .select(*keys, "qid", "q", "_n", "_r0", "_r1", "_frac",
+                     F.when(cell_lo <= 0, F.lit(-_INF)).otherwise(F.element_at("_sk", cell_lo + 1)).alias("_lo"),
+                     F.when(cell_hi >= _GRID, F.lit(_INF)).otherwise(F.element_at("_sk", cell_hi + 1)).alias("_hi")))
+    out = _solve(base, state, keys, user_keys, max_exact, max_rounds, accuracy)
+    return out.select(*user_keys, F.col("q").cast("long").alias("rank"), "value")
+
+
+def _solve(base: DataFrame, state: DataFrame, keys: list[str], user_keys: list[str], max_exact: int,
+           max_rounds: int, accuracy: int) -> DataFrame:
+    """Verify / refine / resolve brackets until every target is resolved."""
     cached: list[DataFrame] = []
     state = _cut(state, cached)
     cols = state.columns

@@ -227,3 +227,231 @@ def _campaign_summary(ws):
 
 def oracle() -> dict[str, str]:
     return dict(ORACLE)
+
+
+# ------------------------------------------------------------- tier 3: RFM
+from shopsight.operators import cohort as _cohort  # noqa: E402
+from shopsight.operators import rfm as _rfm  # noqa: E402
+
+_RFM_CTE = """
+, rfm AS (
+  SELECT customer_id,
+         CAST(FLOOR((epoch_us((SELECT MAX(ts) FROM clean) + INTERVAL 1 DAY) - epoch_us(MAX(ts))) / 86400000000.0)
+              AS BIGINT) AS Recency,
+         COUNT(transaction_id) AS Frequency,
+         COALESCE(SUM(gross_revenue), 0) AS Monetary
+  FROM clean GROUP BY customer_id
+), edges AS (
+  SELECT quantile_cont(Recency, [0, 0.25, 0.5, 0.75, 1]) AS re,
+         quantile_cont(Monetary, [0, 0.25, 0.5, 0.75, 1]) AS me, COUNT(*) AS n FROM rfm
+), scored AS (
+  SELECT customer_id, Recency, Frequency, Monetary,
+    CAST(5 - CASE WHEN Recency <= re[2] THEN 1 WHEN Recency <= re[3] THEN 2 WHEN Recency <= re[4] THEN 3 ELSE 4 END
+         AS VARCHAR) AS R_Score,
+    CASE WHEN frank <= FLOOR(1 + (n - 1) * 0.25) THEN '1' WHEN frank <= FLOOR(1 + (n - 1) * 0.5) THEN '2'
+         WHEN frank <= FLOOR(1 + (n - 1) * 0.75) THEN '3' ELSE '4' END AS F_Score,
+    CASE WHEN Monetary <= me[2] THEN '1' WHEN Monetary <= me[3] THEN '2' WHEN Monetary <= me[4] THEN '3' ELSE '4' END
+         AS M_Score
+  FROM (SELECT rfm.*, ROW_NUMBER() OVER (ORDER BY Frequency, customer_id) AS frank FROM rfm) CROSS JOIN edges
+), segmented AS (
+  SELECT *, R_Score || F_Score || M_Score AS RFM_Score,
+    CASE WHEN R_Score || F_Score || M_Score = '444' THEN 'Champions'
+         WHEN R_Score IN ('4', '3') AND F_Score IN ('4', '3') THEN 'Loyal Customers'
+         WHEN R_Score IN ('4', '3') AND M_Score IN ('4', '3') THEN 'Potential Loyalists'
+         WHEN R_Score IN ('2', '1') AND F_Score IN ('4', '3') THEN 'At Risk'
+         WHEN R_Score IN ('2', '1') AND F_Score IN ('2', '1') THEN 'Lost Customers'
+         ELSE 'Others' END AS Segment,
+    Monetary AS CLV
+  FROM scored
+)
+"""
+
+
+@query("rfm_base", _RFM_CTE + f"SELECT customer_id, Recency, Frequency, {r('Monetary')} FROM rfm")
+def _rfm_base(ws):
+    """A20."""
+    return _rfm.rfm_base(ws.clean())
+
+
+@query("rfm_scores", _RFM_CTE + f"""
+SELECT customer_id, Recency, Frequency, {r('Monetary')}, R_Score, F_Score, M_Score, RFM_Score, Segment, {r('CLV')}
+FROM segmented""")
+def _rfm_scores(ws):
+    """C1."""
+    return _rfm.rfm_scores(ws.clean())
+
+
+@query("rfm_segments", _RFM_CTE + "SELECT customer_id, RFM_Score, Segment FROM segmented")
+def _rfm_segments(ws):
+    """C2."""
+    return _rfm.rfm_scores(ws.clean()).select("customer_id", "RFM_Score", "Segment")
+
+
+@query("rfm_segment_distribution", _RFM_CTE + 'SELECT Segment, COUNT(*) AS "count" FROM segmented GROUP BY Segment')
+def _rfm_segment_distribution(ws):
+    """C3."""
+    return _rfm.segment_distribution(_rfm.rfm_scores(ws.clean()))
+
+
+# ---------------------------------------------------------- tier 4: cohorts
+_COHORT_CTE = """
+, cc AS (
+  SELECT strftime(signup_date, '%Y-%m') AS signup_month,
+         CAST(FLOOR(datediff('day', date_trunc('month', signup_date), date_trunc('month', ts)) / 30) AS BIGINT)
+           AS cohort_index,
+         COUNT(DISTINCT customer_id) AS customers
+  FROM clean WHERE signup_date IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2
+), ret AS (
+  SELECT cc.signup_month, cc.cohort_index, cc.customers,
+         CAST(cc.customers AS DOUBLE) / b.customers * 100 AS retention
+  FROM cc LEFT JOIN (SELECT signup_month, customers FROM cc
+                     WHERE cohort_index = (SELECT MIN(cohort_index) FROM cc)) b
+    ON cc.signup_month = b.signup_month
+)
+"""
+
+
+@query("cohort_counts", _COHORT_CTE + "SELECT signup_month, cohort_index, customers FROM cc")
+def _cohort_counts(ws):
+    """C4."""
+    return _cohort.cohort_counts(ws.clean())
+
+
+@query("cohort_retention_long", _COHORT_CTE + f"SELECT signup_month, cohort_index, customers, {r('retention')} FROM ret")
+def _cohort_retention_long(ws):
+    """C5 (long), base = globally lowest cohort index."""
+    return _cohort.cohort_retention(_cohort.cohort_counts(ws.clean()))
+
+
+@query("cohort_retention_wide")
+def _cohort_retention_wide(ws):
+    """C5 (wide pivot, retention rounded to 1 digit half-even)."""
+    return _cohort.cohort_retention_wide(_cohort.cohort_retention(_cohort.cohort_counts(ws.clean())))
+
+
+# ------------------------------------------------------ tier 2: profiling (cont.)
+NUMERIC_CLEAN = ["transaction_id", "customer_id", "product_id", "quantity", "discount_applied", "gross_revenue",
+                 "is_refunded", "campaign_id", "age", "base_price", "is_premium"]
+STRING_CLEAN = ["country", "gender", "loyalty_tier", "acquisition_channel", "category", "brand"]
+
+
+def _num_stats_sql(cols: list[str]) -> str:
+    parts = []
+    for i, c in enumerate(cols):
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(
+            f"SELECT {i} AS pos, '{c}' AS \"column\", COUNT({c}) AS count, AVG({x}) AS mean, STDDEV_SAMP({x}) AS std, "
+            f"MIN({x}) AS min, quantile_cont({x}, 0.25) AS q25, quantile_cont({x}, 0.5) AS q50, "
+            f"quantile_cont({x}, 0.75) AS q75, MAX({x}) AS max, skewness({x}) AS skew, kurtosis({x}) AS kurtosis "
+            f"FROM clean")
+    return " UNION ALL ".join(parts)
+
+
+_NUM_OUT = ", ".join(['"column"', "count"] + [r(c, 6) for c in
+                                               ("mean", "std", "min", "q25", "q50", "q75", "max", "skew", "kurtosis")])
+
+
+@query("numeric_summary", f"SELECT {_NUM_OUT} FROM ({_num_stats_sql(NUMERIC_CLEAN)})", digits=6)
+def _numeric_summary(ws):
+    """A16."""
+    return profile.numeric_summary(ws.clean())
+
+
+def _str_stats_sql(cols: list[str]) -> str:
+    parts = []
+    for c in cols:
+        parts.append(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, COUNT(*) AS n FROM clean "
+                     f"WHERE {c} IS NOT NULL GROUP BY {c}")
+    vc = " UNION ALL ".join(parts)
+    return f"""SELECT "column", SUM(n) AS count, COUNT(*) AS "unique",
+  arg_min(value, (-n, value)) AS top, MAX(n) AS freq FROM ({vc}) GROUP BY "column" """
+
+
+@query("column_summary", f"""
+SELECT "column", CAST(count AS BIGINT) AS count, CAST("unique" AS DOUBLE) AS "unique", top, CAST(freq AS DOUBLE) AS freq,
+       NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS min, NULL::DOUBLE AS q25, NULL::DOUBLE AS q50,
+       NULL::DOUBLE AS q75, NULL::DOUBLE AS max
+FROM ({_str_stats_sql(STRING_CLEAN)})
+UNION ALL
+SELECT "column", count, NULL::DOUBLE, NULL::VARCHAR, NULL::DOUBLE,
+       {", ".join(r(c, 6) for c in ("mean", "std", "min", "q25", "q50", "q75", "max"))}
+FROM ({_num_stats_sql(NUMERIC_CLEAN)})""", digits=6)
+def _column_summary(ws):
+    """A13 (unique/freq as doubles: they are null for numeric columns)."""
+    out = profile.column_summary(ws.clean())
+    return out.withColumn("unique", F.col("unique").cast("double")).withColumn("freq", F.col("freq").cast("double"))
+
+
+def _value_counts_sql(cols: list[str], top: int = 10) -> str:
+    parts = [f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, COUNT(*) AS count FROM clean "
+             f"WHERE {c} IS NOT NULL GROUP BY {c}" for c in cols]
+    vc = " UNION ALL ".join(parts)
+    return f"""SELECT "column", CAST(rank AS INTEGER) AS rank, value, count, {r('round_even(count / total, 2)', 4, 'share')}
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank,
+             SUM(count) OVER (PARTITION BY "column") AS total FROM ({vc}))
+WHERE rank <= {top}"""
+
+
+@query("value_counts", _value_counts_sql(STRING_CLEAN[:5]))
+def _value_counts(ws):
+    """First five string columns, top 10 values with shares."""
+    return profile.value_counts(ws.clean(), max_columns=5)
+
+
+@query("value_shares", _value_counts_sql(STRING_CLEAN))
+def _value_shares(ws):
+    """Every string column, top 10 values with shares."""
+    return profile.value_counts(ws.clean(), max_columns=None)
+
+
+_CORR5 = ["quantity", "discount_applied", "gross_revenue", "age", "base_price"]
+
+
+def _corr_sql(cols: list[str], complete: bool, table: str = "clean") -> str:
+    src = table
+    if complete:
+        src = f"(SELECT * FROM {table} WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in cols) + ")"
+    parts = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            parts.append(f"SELECT {i} AS i, {j} AS j, '{a}' AS \"row\", '{b}' AS col, "
+                         f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS corr FROM {src}")
+    return " UNION ALL ".join(parts)
+
+
+@query("correlation_matrix", f'SELECT "row", col, {r("corr")} FROM ({_corr_sql(_CORR5, True)})')
+def _correlation_matrix(ws):
+    """A19."""
+    return profile.correlation_matrix(ws.clean())
+
+
+@query("high_correlation_pairs", f"""
+SELECT "row" AS feature_a, col AS feature_b, {r('corr')} FROM ({_corr_sql(NUMERIC_CLEAN, False)})
+WHERE i < j AND ABS(corr) > 0.7""")
+def _high_correlation_pairs(ws):
+    """D3 + D11: all numeric columns, pairs with |r| > 0.7."""
+    return profile.high_correlation_pairs(ws.clean(), threshold=0.7)
+
+
+def _group_stats_sql(cols: list[str]) -> str:
+    parts = []
+    for c in cols:
+        m = []
+        for v in ("gross_revenue", "quantity"):
+            m += [f"COALESCE(SUM({v}), 0) AS {v}_sum", f"AVG({v}) AS {v}_mean", f"median({v}) AS {v}_median",
+                  f"STDDEV_SAMP({v}) AS {v}_std", f"COUNT({v}) AS {v}_count"]
+        parts.append(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, {', '.join(m)} FROM clean "
+                     f"WHERE {c} IS NOT NULL GROUP BY {c}")
+    return " UNION ALL ".join(parts)
+
+
+_GS_OUT = ", ".join(['"column"', "value"] + [
+    x for v in ("gross_revenue", "quantity") for x in
+    (r(f"{v}_sum", 4), r(f"{v}_mean", 6), r(f"{v}_median", 6), r(f"{v}_std", 6), f"{v}_count")])
+
+
+@query("group_statistics", f"SELECT {_GS_OUT} FROM ({_group_stats_sql(STRING_CLEAN)})", digits=6)
+def _group_statistics(ws):
+    """sum/mean/median/std/count of revenue and quantity by every categorical column."""
+    out = revenue.group_statistics(ws.clean())
+    return out.select(*[F.round(c, 4).alias(c) if c.endswith("_sum") else F.col(c) for c in out.columns])
