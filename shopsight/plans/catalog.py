@@ -19,14 +19,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def stable(df: DataFrame, digits: int = 4) -> DataFrame:
+def stable(df: DataFrame, digits: int = 4, per_col: dict[str, int] | None = None) -> DataFrame:
     """Round doubles and render dates/timestamps as text so results hash the
     same in every engine."""
     out = []
+    per_col = per_col or {}
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits)
+            c = F.round(c.cast("double"), per_col.get(f.name, digits))
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
@@ -35,10 +36,10 @@ def stable(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.select(*out)
 
 
-def query(name: str, sql: str | None = None, digits: int = 4):
+def query(name: str, sql: str | None = None, digits: int = 4, per_col: dict[str, int] | None = None):
     def deco(fn: Callable[[Workspace], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return stable(fn(Workspace(spark, sf_dir)), digits)
+            return stable(fn(Workspace(spark, sf_dir)), digits, per_col)
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
@@ -455,3 +456,151 @@ def _group_statistics(ws):
     """sum/mean/median/std/count of revenue and quantity by every categorical column."""
     out = revenue.group_statistics(ws.clean())
     return out.select(*[F.round(c, 4).alias(c) if c.endswith("_sum") else F.col(c) for c in out.columns])
+
+
+# ------------------------------------------------ tier 5: documented operators
+from shopsight.operators import features as _features  # noqa: E402
+from shopsight.operators import sampling as _sampling  # noqa: E402
+from shopsight.operators import timeseries as _ts  # noqa: E402
+
+
+@query("daily_decomposition", f"""
+, daily AS (SELECT CAST(ts AS DATE) AS date, SUM(gross_revenue) AS observed FROM clean GROUP BY 1)
+, span AS (SELECT MIN(date) AS d0, MAX(date) AS d1 FROM daily)
+, days AS (SELECT CAST(unnest(generate_series(d0, d1, INTERVAL 1 DAY)) AS DATE) AS date, d0 FROM span)
+, series AS (SELECT days.date, datediff('day', days.d0, days.date) AS t, COALESCE(daily.observed, 0) AS observed
+             FROM days LEFT JOIN daily ON days.date = daily.date)
+, tr AS (SELECT *, COUNT(*) OVER () AS n,
+           (SUM(observed) OVER (ORDER BY t ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)
+            - 0.5 * (LAG(observed, 15) OVER (ORDER BY t) + LEAD(observed, 15) OVER (ORDER BY t))) / 30 AS ma
+         FROM series)
+, tr2 AS (SELECT date, t, observed, CASE WHEN t >= 15 AND t < n - 15 THEN ma END AS trend, t % 30 AS phase FROM tr)
+, pa AS (SELECT phase, AVG(observed - trend) AS pa FROM tr2 GROUP BY phase)
+, pc AS (SELECT phase, pa - AVG(pa) OVER () AS seasonal FROM pa)
+SELECT strftime(date, '%Y-%m-%d') AS date, {r('observed')}, {r('trend', 2)}, {r('seasonal', 2)},
+       {r('observed - trend - seasonal', 2, 'resid')}
+FROM tr2 JOIN pc ON tr2.phase = pc.phase""", digits=2, per_col={"observed": 4})
+def _daily_decomposition(ws):
+    """Period 30, additive, zero-filled missing days."""
+    return _ts.daily_decomposition(ws.clean(), period=30)
+
+
+_DAYS = "CAST(FLOOR((epoch_us({a}) - epoch_us({b})) / 86400000000.0) AS BIGINT)"
+_CUST_CTE = f"""
+, cf AS (
+  SELECT customer_id, COUNT(*) AS total_purchases, SUM(quantity) AS total_quantity, AVG(quantity) AS avg_basket_size,
+         COALESCE(SUM(gross_revenue), 0) AS total_revenue, AVG(gross_revenue) AS avg_order_value,
+         {_DAYS.format(a="(SELECT MAX(ts) FROM clean) + INTERVAL 1 DAY", b="MAX(ts)")} AS days_since_last_purchase
+  FROM clean GROUP BY customer_id)
+"""
+
+
+@query("customer_features", _CUST_CTE + f"""
+SELECT customer_id, total_purchases, {r('total_quantity')}, {r('avg_basket_size', 6)}, {r('total_revenue')},
+       {r('avg_order_value', 6)}, days_since_last_purchase FROM cf""", digits=6)
+def _customer_features(ws):
+    """D10."""
+    out = _features.customer_features(ws.clean())
+    return out.withColumn("total_quantity", F.round("total_quantity", 4)).withColumn(
+        "total_revenue", F.round("total_revenue", 4))
+
+
+@query("churn_labels", _CUST_CTE + """
+SELECT customer_id, days_since_last_purchase, CAST(days_since_last_purchase > 90 AS INTEGER) AS churned FROM cf""")
+def _churn_labels(ws):
+    """Churned when the last purchase is more than 90 days old."""
+    return _features.churn_labels(_features.customer_features(ws.clean()), 90).select(
+        "customer_id", "days_since_last_purchase", "churned")
+
+
+def _key_sql(cols: list[tuple[str, str]], seed: int = 42) -> str:
+    parts = [f"'{seed}'"]
+    for c, kind in cols:
+        if kind == "d":
+            parts.append(f"CAST(CAST(ROUND(CAST({c} AS DOUBLE) * 10000) AS BIGINT) AS VARCHAR)")
+        elif kind == "t":
+            parts.append(f"strftime({c}, '%Y-%m-%d %H:%M:%S')")
+        else:
+            parts.append(f"CAST({c} AS VARCHAR)")
+    return "md5(concat_ws('|', " + ", ".join(parts) + "))"
+
+
+_CLEAN_KINDS = [("transaction_id", "i"), ("customer_id", "i"), ("product_id", "d"), ("ts", "t"), ("quantity", "d"),
+                ("discount_applied", "d"), ("gross_revenue", "d"), ("is_refunded", "i"), ("campaign_id", "i"),
+                ("signup_date", "t"), ("country", "s"), ("age", "d"), ("gender", "s"), ("loyalty_tier", "s"),
+                ("acquisition_channel", "s"), ("category", "s"), ("brand", "s"), ("base_price", "d"),
+                ("launch_date", "t"), ("is_premium", "d")]
+
+
+@query("discount_revenue_sample", f"""
+SELECT transaction_id, customer_id, {r('discount_applied')}, {r('gross_revenue')} FROM clean
+ORDER BY {_key_sql(_CLEAN_KINDS)} LIMIT 2000""")
+def _discount_revenue_sample(ws):
+    """2000 rows chosen by seeded row hash (bottom-k)."""
+    return _sampling.hash_sample(ws.clean(), 2000, seed=42).select(
+        "transaction_id", "customer_id", "discount_applied", "gross_revenue")
+
+
+_FEATS = _features.NUMERIC_FEATURES + _features.DERIVED_FEATURES + _features.CATEGORICAL_FEATURES
+
+
+def _codes(c: str) -> str:
+    return (f"(SELECT v AS {c}_v, CAST(dense_rank() OVER (ORDER BY v) - 1 AS DOUBLE) AS {c}_code "
+            f"FROM (SELECT DISTINCT CAST(COALESCE({c}, 'Unknown') AS VARCHAR) AS v FROM clean)) {c}_t")
+
+
+_ENC_CTE = f"""
+, enc AS (
+  SELECT CAST(quantity AS DOUBLE) AS quantity, CAST(discount_applied AS DOUBLE) AS discount_applied,
+         CAST(age AS DOUBLE) AS age, CAST(base_price AS DOUBLE) AS base_price,
+         CAST({_DAYS.format(a="ts", b="signup_date")} AS DOUBLE) AS days_since_signup,
+         CAST(COALESCE({_DAYS.format(a="ts", b="launch_date")}, 0) AS DOUBLE) AS product_age_days,
+         COALESCE(CAST(is_premium AS DOUBLE), 0) AS is_premium,
+         {", ".join(f"{c}_code AS {c}" for c in _features.CATEGORICAL_FEATURES)},
+         CAST(gross_revenue AS DOUBLE) AS gross_revenue
+  FROM clean
+  {" ".join(f"JOIN {_codes(c)} ON CAST(COALESCE(clean.{c}, 'Unknown') AS VARCHAR) = {c}_t.{c}_v"
+            for c in _features.CATEGORICAL_FEATURES)}
+), split AS (
+  SELECT *, CASE WHEN CAST(('0x' || substr({_key_sql([(f, 'd') for f in _FEATS + ['gross_revenue']])}, 1, 8))
+                           AS BIGINT) % 100 < 80 THEN 'train' ELSE 'validation' END AS split
+  FROM enc
+)
+"""
+
+
+@query("label_encoded_features", _ENC_CTE + f"SELECT {', '.join(r(f) for f in _FEATS + ['gross_revenue'])} FROM enc")
+def _label_encoded_features(ws):
+    """M1-M8: 13 model features (reference order) and the target."""
+    return _features.label_encoded_features(ws.clean())
+
+
+@query("train_validation_split", _ENC_CTE + f"""
+SELECT {', '.join(r(f) for f in _FEATS + ['gross_revenue'])}, split FROM split""")
+def _train_validation_split(ws):
+    """80/20 split by seeded row hash."""
+    return _sampling.train_validation_split(_features.label_encoded_features(ws.clean()), 20, 42)
+
+
+_SCALE_STATS = ", ".join(f"AVG({f}) AS m_{f}, STDDEV_POP({f}) AS s_{f}" for f in _FEATS)
+
+
+@query("scaled_features", _ENC_CTE + f"""
+, st AS (SELECT {_SCALE_STATS} FROM split WHERE split = 'train')
+SELECT {', '.join(r(f"({f} - m_{f}) / CASE WHEN s_{f} = 0 THEN 1 ELSE s_{f} END", 6, f) for f in _FEATS)},
+       {r('gross_revenue')}, split
+FROM split CROSS JOIN st""", digits=6)
+def _scaled_features(ws):
+    """Standardised with train-split mean and population std."""
+    d = _sampling.train_validation_split(_features.label_encoded_features(ws.clean()), 20, 42)
+    out = _features.scale_features(d, _FEATS, fit_on=d.where(F.col("split") == "train"))
+    return out.withColumn("gross_revenue", F.round("gross_revenue", 4))
+
+
+@query("one_hot_features")
+def _one_hot_features(ws):
+    """One-hot vectors of country, loyalty tier and category (as arrays)."""
+    from pyspark.ml.functions import vector_to_array
+    out = _features.one_hot_features(ws.clean())
+    return out.select("transaction_id", *[vector_to_array(f"{c}_onehot").alias(f"{c}_onehot")
+                                          for c in ("country", "loyalty_tier", "category")])
