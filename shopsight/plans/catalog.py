@@ -604,3 +604,87 @@ def _one_hot_features(ws):
     out = _features.one_hot_features(ws.clean())
     return out.select("transaction_id", *[vector_to_array(f"{c}_onehot").alias(f"{c}_onehot")
                                           for c in ("country", "loyalty_tier", "category")])
+
+
+# ------------------------------------------------------- tiers 6-8: models
+from shopsight.operators import models as _models  # noqa: E402
+
+
+def _model_data(ws: Workspace) -> DataFrame:
+    return _sampling.train_validation_split(_features.label_encoded_features(ws.clean()), 20, 42)
+
+
+def _lr(ws):
+    return ws.fitted("lr", lambda: _models.linear_regression_metrics(_model_data(ws)))
+
+
+def _gbt(ws):
+    return ws.fitted("gbt", lambda: _models.gbt_metrics(_model_data(ws)))
+
+
+def _net(ws):
+    return ws.fitted("net", lambda: _models.network_metrics(_model_data(ws)))
+
+
+def _clf(ws):
+    return ws.fitted("clf", lambda: _models.churn_classifier(_models.churn_dataset(ws.clean())))
+
+
+@query("linear_regression_metrics", digits=6)
+def _q_lr(ws):
+    """OLS, MAE/RMSE/R² on train and validation."""
+    return _lr(ws)[1]
+
+
+@query("actual_vs_predicted", digits=6)
+def _q_avp(ws):
+    """1000 validation rows, actual vs OLS prediction, y range."""
+    return _models.actual_vs_predicted(_model_data(ws), _lr(ws)[0])
+
+
+@query("gbt_metrics", digits=6)
+def _q_gbt(ws):
+    """100 trees, rate 0.05, depth 5."""
+    return _gbt(ws)[1]
+
+
+@query("gbt_feature_importance", digits=6)
+def _q_gbt_imp(ws):
+    """Top-10 feature importances of the boosted trees."""
+    return _models.feature_importance(_gbt(ws)[0], _features.feature_names(_model_data(ws)), ws.spark)
+
+
+@query("ann_metrics", digits=6)
+def _q_ann(ws):
+    """64-32-16-1 ReLU regressor, Adam, 30 epochs, data-parallel gradients."""
+    return _net(ws)[1]
+
+
+@query("training_history", digits=6)
+def _q_hist(ws):
+    """Per-epoch train / validation MSE of the network."""
+    return _net(ws)[2]
+
+
+@query("model_comparison", digits=6)
+def _q_cmp(ws):
+    """OLS vs 50-tree GBT on validation, with best flags."""
+    return ws.fitted("cmp", lambda: _models.model_comparison(_model_data(ws)).cache())
+
+
+@query("classifier_metrics", digits=6)
+def _q_clf(ws):
+    """Churn MLP (128-64-2), test loss and accuracy."""
+    return _clf(ws)[1]
+
+
+@query("classifier_history", digits=6)
+def _q_clf_hist(ws):
+    """Per-iteration objective of the MLP."""
+    return _clf(ws)[2]
+
+
+@query("confusion_matrix")
+def _q_conf(ws):
+    """Test-set confusion matrix of the churn MLP."""
+    return _clf(ws)[3]

@@ -12,6 +12,7 @@ from shopsight.sources.joined import join_facts
 from shopsight.sources.standin import load_tables
 
 _CLEAN_CACHE: dict[tuple[str, str], CleanModel] = {}
+_FIT_CACHE: dict[tuple[str, str, str], object] = {}
 
 
 class Workspace:
@@ -34,3 +35,10 @@ class Workspace:
     def clean(self) -> DataFrame:
         """the cleaned fact table every report reads."""
         return self.clean_model().transform(self.raw())
+
+    def fitted(self, name: str, make):
+        """Memoise a fitted model (or small result) per folder and session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _FIT_CACHE:
+            _FIT_CACHE[key] = make()
+        return _FIT_CACHE[key]
