@@ -56,7 +56,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], keys:
     for q in probs:
         grid += [max(q - margin, 0.0), min(q + margin, 1.0)]
     first = base.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
+        F.count("*").alias("_n"), F.approx_count_distinct("_v").alias("_nd"),
         F.percentile_approx("_v", F.array(*[F.lit(p) for p in grid]), accuracy).alias("_sk"))
     state = (first.select("*", F.posexplode(F.array(*[F.lit(q) for q in probs])).alias("qid", "q"))
              .withColumn("_h", (F.col("_n") - 1) * F.col("q"))
@@ -67,7 +67,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], keys:
                          .otherwise(F.element_at("_sk", F.col("qid") * 2 + 1)))
              .withColumn("_hi", F.when(F.col("q") + margin >= 1, F.lit(_INF))
                          .otherwise(F.element_at("_sk", F.col("qid") * 2 + 2)))
-             .select(*keys, "qid", "q", "_n", "_r0", "_r1", "_frac", "_lo", "_hi"))
+             .select(*keys, "qid", "q", "_n", "_nd", "_r0", "_r1", "_frac", "_lo", "_hi"))
     return _solve(base, state, keys, user_keys, max_exact, max_rounds, accuracy)
 
 
@@ -86,7 +86,8 @@ def exact_order_statistics(df: DataFrame, value_col: str, targets: DataFrame, ke
         tg = tg.withColumn("_k", F.lit(0))
     base = base.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     grid = F.array(*[F.lit(i / _GRID) for i in range(_GRID + 1)])
-    first = base.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", grid, accuracy).alias("_sk"))
+    first = base.groupBy(*keys).agg(F.count("*").alias("_n"), F.approx_count_distinct("_v").alias("_nd"),
+                                    F.percentile_approx("_v", grid, accuracy).alias("_sk"))
     span = F.greatest(F.col("_n") - 1, F.lit(1))
     cell_lo = F.floor(F.col("_r0") / span * _GRID).cast("int") - 1
     cell_hi = F.ceil(F.col("_r0") / span * _GRID).cast("int") + 1
@@ -94,9 +95,9 @@ def exact_order_statistics(df: DataFrame, value_col: str, targets: DataFrame, ke
     state = (first.join(sized_broadcast(tg, 200_000), keys)
              .where(F.col("_r") < F.col("_n"))
              .withColumn("qid", F.row_number().over(Window.partitionBy(*keys).orderBy("_r")) - 1)
-             .select(*keys, "qid", F.col("_r").cast("double").alias("q"), "_n", F.col("_r").alias("_r0"),
+             .select(*keys, "qid", F.col("_r").cast("double").alias("q"), "_n", "_nd", F.col("_r").alias("_r0"),
                      F.col("_r").alias("_r1"), F.lit(0.0).alias("_frac"), "_sk")
-             .select(*keys, "qid", "q", "_n", "_r0", "_r1", "_frac",
+             .select(*keys, "qid", "q", "_n", "_nd", "_r0", "_r1", "_frac",
                      F.when(cell_lo <= 0, F.lit(-_INF)).otherwise(F.element_at("_sk", cell_lo + 1)).alias("_lo"),
                      F.when(cell_hi >= _GRID, F.lit(_INF)).otherwise(F.element_at("_sk", cell_hi + 1)).alias("_hi")))
     out = _solve(base, state, keys, user_keys, max_exact, max_rounds, accuracy)
@@ -105,15 +106,25 @@ def exact_order_statistics(df: DataFrame, value_col: str, targets: DataFrame, ke
 
 def _solve(base: DataFrame, state: DataFrame, keys: list[str], user_keys: list[str], max_exact: int,
            max_rounds: int, accuracy: int) -> DataFrame:
-    """Verify / refine / resolve brackets until every target is resolved."""
+    """Resolve every target: keys with few distinct values directly, the rest
+    by verified, narrowing brackets."""
     cached: list[DataFrame] = []
     state = _cut(state, cached)
+    # Keys with at most ~max_exact distinct values: the whole key is one small
+    # bracket (nothing below it), so no verification round is needed.
+    direct = (state.where(F.col("_nd") <= max_exact)
+              .select(*keys, "qid", "q", "_r0", "_r1", "_frac", F.lit(-_INF).alias("_lo"), F.lit(_INF).alias("_hi"),
+                      F.lit(0).cast("long").alias("_below")))
+    resolved: list[DataFrame] = [_select_exact(base, direct, keys, state_rows=_count(direct))]
+    state = state.where(F.col("_nd") > max_exact).drop("_nd")
     cols = state.columns
+    if state.isEmpty():
+        return resolved[0].select(*user_keys, "q", "value")
 
-    resolved: list[DataFrame] = []
     for _ in range(max_rounds):
+        n_state = _count(state)
         inside_flag = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-        counts = _attach(base, state, keys).groupBy(*keys, "qid").agg(
+        counts = _attach(base, state, keys, n_state).groupBy(*keys, "qid").agg(
             F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
             F.count_if(inside_flag).alias("_inside"),
             F.approx_count_distinct(F.when(inside_flag, F.col("_v"))).alias("_distinct"))
@@ -122,7 +133,7 @@ def _solve(base: DataFrame, state: DataFrame, keys: list[str], user_keys: list[s
         st = _cut(st.withColumn("_ok", ok), cached)
 
         small = st.where(F.col("_ok") & (F.col("_distinct") <= max_exact))
-        resolved.append(_select_exact(base, small, keys))
+        resolved.append(_select_exact(base, small, keys, n_state))
 
         missed = (st.where(~F.col("_ok"))
                   .withColumn("_lo", F.when(F.col("_below") > F.col("_r0"), F.lit(-_INF)).otherwise(F.col("_lo")))
@@ -132,7 +143,7 @@ def _solve(base: DataFrame, state: DataFrame, keys: list[str], user_keys: list[s
         big = st.where(F.col("_ok") & (F.col("_distinct") > max_exact))
         if st.where(~F.col("_ok") | (F.col("_distinct") > max_exact)).isEmpty():
             break
-        state = _cut(missed.unionByName(_refine(base, big, keys, accuracy).select(*cols)), cached)
+        state = _cut(missed.unionByName(_refine(base, big, keys, accuracy, n_state).select(*cols)), cached)
     else:
         raise RuntimeError("exact_quantiles did not converge; raise max_rounds or max_exact")
 
@@ -142,6 +153,10 @@ def _solve(base: DataFrame, state: DataFrame, keys: list[str], user_keys: list[s
     return out.select(*user_keys, "q", "value")
 
 
+def _count(df: DataFrame) -> int:
+    return df.count()
+
+
 def _cut(df: DataFrame, cached: list[DataFrame]) -> DataFrame:
     """Materialise a small bracket table once (cache) and cut its lineage with a
     reliable checkpoint in the shared checkpoint folder (the cache keeps the
@@ -163,20 +178,29 @@ def exact_median_row(df: DataFrame, columns: Sequence[str], **kw) -> dict[str, f
     return {c: got.get(c) for c in columns}
 
 
-def _attach(base: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
-    """Pair each value with the brackets of its key (keys x probabilities rows;
-    broadcast only when its row count is checked small)."""
-    from shopsight.sources.joined import sized_broadcast
-    return base.join(sized_broadcast(brackets.select(*keys, "qid", "_lo", "_hi"), 200_000), keys)
+_BROADCAST_BRACKETS = 200_000
+
+
+def _attach(base: DataFrame, brackets: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
+    """Pair each value with the brackets of its key.  The bracket table has
+    keys x targets rows (``n_rows``, counted by the caller); it is broadcast
+    only below a fixed row bound, otherwise joined by shuffle."""
+    b = brackets.select(*keys, "qid", "_lo", "_hi")
+    if n_rows <= _BROADCAST_BRACKETS:
+        b = F.broadcast(b)
+    return base.join(b, keys)
 
 
-def _select_exact(base: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+def _select_exact(base: DataFrame, small: DataFrame, keys: list[str], state_rows: int) -> DataFrame:
     """Resolve verified brackets with at most ~``max_exact`` distinct values each."""
-    inside = (_attach(base, small, keys)
+    inside = (_attach(base, small, keys, state_rows)
               .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
               .groupBy(*keys, "qid", "_v").agg(F.count("*").alias("_c")))
     w = Window.partitionBy(*keys, "qid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = (inside.join(small.select(*keys, "qid", "q", "_below", "_r0", "_r1", "_frac"), [*keys, "qid"])
+    meta = small.select(*keys, "qid", "q", "_below", "_r0", "_r1", "_frac")
+    if state_rows <= _BROADCAST_BRACKETS:
+        meta = F.broadcast(meta)
+    cum = (inside.join(meta, [*keys, "qid"])
            .withColumn("_hiCum", F.col("_below") + F.sum("_c").over(w))
            .withColumn("_loCum", F.col("_hiCum") - F.col("_c")))
     hit0 = (F.col("_loCum") <= F.col("_r0")) & (F.col("_r0") < F.col("_hiCum"))
@@ -187,11 +211,11 @@ def _select_exact(base: DataFrame, small: DataFrame, keys: list[str]) -> DataFra
     return picked.select(*keys, "q", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_frac")).alias("value"))
 
 
-def _refine(base: DataFrame, big: DataFrame, keys: list[str], accuracy: int) -> DataFrame:
+def _refine(base: DataFrame, big: DataFrame, keys: list[str], accuracy: int, state_rows: int) -> DataFrame:
     """Narrow each large bracket using a fixed-grid sketch of the rows inside it.
     The new bracket spans the grid cells around the target plus one cell on each
     side; the next round verifies it exactly."""
-    inside = (_attach(base, big, keys)
+    inside = (_attach(base, big, keys, state_rows)
               .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))))
     grid = F.array(*[F.lit(i / _GRID) for i in range(_GRID + 1)])
     sk = inside.groupBy(*keys, "qid").agg(F.percentile_approx("_v", grid, accuracy).alias("_sk"))

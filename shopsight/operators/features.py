@@ -120,6 +120,12 @@ def scale_features(df: DataFrame, feats: Sequence[str], fit_on: DataFrame | None
     return df.select(*cols, *keep)
 
 
+def money_avg(col: str, scale: int = 4) -> F.Column:
+    """Average of a money column with an exact sum (decimal, ``scale`` digits)
+    so the result does not depend on summation order."""
+    return F.sum(F.col(col).cast(f"decimal(38,{scale})")).cast("double") / F.count(col)
+
+
 def customer_features(df: DataFrame, time_col: str = "ts", today: _dt.datetime | None = None) -> DataFrame:
     """Per customer: purchases, total and average basket size (quantity),
     total and average revenue, floored days since the last purchase (relative
@@ -130,7 +136,7 @@ def customer_features(df: DataFrame, time_col: str = "ts", today: _dt.datetime |
     agg = df.groupBy("customer_id").agg(
         F.count("*").alias("total_purchases"), F.sum("quantity").alias("total_quantity"),
         F.avg("quantity").alias("avg_basket_size"), F.coalesce(F.sum("gross_revenue"), F.lit(0.0)).alias("total_revenue"),
-        F.avg("gross_revenue").alias("avg_order_value"), F.max(time_col).alias("_last"))
+        money_avg("gross_revenue").alias("avg_order_value"), F.max(time_col).alias("_last"))
     return agg.select("customer_id", "total_purchases", "total_quantity", "avg_basket_size", "total_revenue",
                       "avg_order_value",
                       floor_days(F.lit(today).cast("timestamp_ntz"), F.col("_last")).alias("days_since_last_purchase"))

@@ -27,7 +27,7 @@ def stable(df: DataFrame, digits: int = 4, per_col: dict[str, int] | None = None
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), per_col.get(f.name, digits))
+            c = round_binary(c.cast("double"), per_col.get(f.name, digits))
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
@@ -36,6 +36,13 @@ def stable(df: DataFrame, digits: int = 4, per_col: dict[str, int] | None = None
     return df.select(*out)
 
 
+def round_binary(c, digits: int):
+    """round(x * 10^d) / 10^d on the binary value (half away from zero), the
+    rounding most SQL engines apply to doubles; equal inputs round equally."""
+    m = float(10 ** digits)
+    return F.round(c * F.lit(m)) / F.lit(m)
+
+
 def query(name: str, sql: str | None = None, digits: int = 4, per_col: dict[str, int] | None = None):
     def deco(fn: Callable[[Workspace], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -489,7 +496,8 @@ _DAYS = "CAST(FLOOR((epoch_us({a}) - epoch_us({b})) / 86400000000.0) AS BIGINT)"
 _CUST_CTE = f"""
 , cf AS (
   SELECT customer_id, COUNT(*) AS total_purchases, SUM(quantity) AS total_quantity, AVG(quantity) AS avg_basket_size,
-         COALESCE(SUM(gross_revenue), 0) AS total_revenue, AVG(gross_revenue) AS avg_order_value,
+         COALESCE(SUM(gross_revenue), 0) AS total_revenue,
+         CAST(SUM(CAST(gross_revenue AS DECIMAL(38, 4))) AS DOUBLE) / COUNT(gross_revenue) AS avg_order_value,
          {_DAYS.format(a="(SELECT MAX(ts) FROM clean) + INTERVAL 1 DAY", b="MAX(ts)")} AS days_since_last_purchase
   FROM clean GROUP BY customer_id)
 """

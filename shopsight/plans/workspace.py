@@ -15,16 +15,36 @@ _CLEAN_CACHE: dict[tuple[str, str], CleanModel] = {}
 _FIT_CACHE: dict[tuple[str, str, str], object] = {}
 
 
+_WS_CACHE: dict[tuple[str, str], "Workspace"] = {}
+
+
 class Workspace:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """Use ``Workspace.of(spark, folder)``: plans (tables, joined and cleaned
+    fact table) are built once per folder and session and reused; they are
+    lazy, so reuse costs nothing until a report runs."""
+
+    def __new__(cls, spark: SparkSession, sf_dir: str):
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+        ws = _WS_CACHE.get(key)
+        if ws is None:
+            ws = super().__new__(cls)
+            ws._init(spark, sf_dir)
+            _WS_CACHE[key] = ws
+        return ws
+
+    def _init(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.tables = load_tables(spark, self.sf_dir)
+        self._raw = None
+        self._clean = None
 
     def raw(self) -> DataFrame:
         """J1+J2: joined, not cleaned."""
-        t = self.tables
-        return join_facts(t["transactions"], t["customers"], t["products"])
+        if self._raw is None:
+            t = self.tables
+            self._raw = join_facts(t["transactions"], t["customers"], t["products"])
+        return self._raw
 
     def clean_model(self) -> CleanModel:
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
@@ -34,7 +54,9 @@ class Workspace:
 
     def clean(self) -> DataFrame:
         """the cleaned fact table every report reads."""
-        return self.clean_model().transform(self.raw())
+        if self._clean is None:
+            self._clean = self.clean_model().transform(self.raw())
+        return self._clean
 
     def fitted(self, name: str, make):
         """Memoise a fitted model (or small result) per folder and session."""
