@@ -69,3 +69,15 @@ def cohort_index(purchase_ts: str | Column, signup_ts: str | Column) -> Column:
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
+
+
+def visual_columns(df, time_col: str = "ts"):
+    """The derived columns of the reference's chart step (year_month,
+    weekday, month, year, hour, launch_year, age_group) in one projection."""
+    cols = [year_month(time_col).alias("year_month"), weekday_name(time_col).alias("weekday"),
+            F.month(time_col).alias("month"), F.year(time_col).alias("year"), F.hour(time_col).alias("hour")]
+    if "launch_date" in df.columns:
+        cols.append(F.year("launch_date").alias("launch_year"))
+    if "age" in df.columns:
+        cols.append(age_band("age").alias("age_group"))
+    return df.select("*", *cols)

@@ -109,13 +109,12 @@ def _solve(base: DataFrame, state: DataFrame, keys: list[str], user_keys: list[s
     """Resolve every target: keys with few distinct values directly, the rest
     by verified, narrowing brackets."""
     cached: list[DataFrame] = []
-    state = _cut(state, cached)
+    state = state.cache()  # one aggregate deep: a cache is enough; later rounds are checkpointed
+    cached.append(state)
     # Keys with at most ~max_exact distinct values: the whole key is one small
     # bracket (nothing below it), so no verification round is needed.
-    direct = (state.where(F.col("_nd") <= max_exact)
-              .select(*keys, "qid", "q", "_r0", "_r1", "_frac", F.lit(-_INF).alias("_lo"), F.lit(_INF).alias("_hi"),
-                      F.lit(0).cast("long").alias("_below")))
-    resolved: list[DataFrame] = [_select_exact(base, direct, keys, state_rows=_count(direct))]
+    direct = state.where(F.col("_nd") <= max_exact).select(*keys, "qid", "q", "_r0", "_r1", "_frac")
+    resolved: list[DataFrame] = [_select_direct(base, direct, keys, _count(direct))]
     state = state.where(F.col("_nd") > max_exact).drop("_nd")
     cols = state.columns
     if state.isEmpty():
@@ -130,7 +129,8 @@ def _solve(base: DataFrame, state: DataFrame, keys: list[str], user_keys: list[s
             F.approx_count_distinct(F.when(inside_flag, F.col("_v"))).alias("_distinct"))
         st = state.join(counts, [*keys, "qid"], "left").fillna(0, ["_below", "_inside", "_distinct"])
         ok = (F.col("_below") <= F.col("_r0")) & (F.col("_r1") < F.col("_below") + F.col("_inside"))
-        st = _cut(st.withColumn("_ok", ok), cached)
+        st = st.withColumn("_ok", ok).cache()
+        cached.append(st)
 
         small = st.where(F.col("_ok") & (F.col("_distinct") <= max_exact))
         resolved.append(_select_exact(base, small, keys, n_state))
@@ -191,6 +191,25 @@ def _attach(base: DataFrame, brackets: DataFrame, keys: list[str], n_rows: int)
     return base.join(b, keys)
 
 
+def _select_direct(base: DataFrame, targets: DataFrame, keys: list[str], n_targets: int) -> DataFrame:
+    """Keys with at most ~max_exact distinct values: (key, value, count) once,
+    a running count per key (bounded window), then the targets are looked up
+    among the distinct values (no per-target copy of the rows)."""
+    tk = targets.select(*keys).distinct()
+    meta = targets
+    if n_targets <= _BROADCAST_BRACKETS:
+        tk, meta = F.broadcast(tk), F.broadcast(targets)
+    d = base.join(tk, keys).groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    cum = d.withColumn("_hiCum", F.sum("_c").over(w)).withColumn("_loCum", F.col("_hiCum") - F.col("_c"))
+    hit0 = (F.col("_loCum") <= F.col("_r0")) & (F.col("_r0") < F.col("_hiCum"))
+    hit1 = (F.col("_loCum") <= F.col("_r1")) & (F.col("_r1") < F.col("_hiCum"))
+    picked = cum.join(meta, keys).where(hit0 | hit1).groupBy(*keys, "qid", "q", "_frac").agg(
+        F.max(F.when(hit0, F.col("_v"))).alias("_v0"),
+        F.max(F.when(hit1, F.col("_v"))).alias("_v1"))
+    return picked.select(*keys, "q", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_frac")).alias("value"))
+
+
 def _select_exact(base: DataFrame, small: DataFrame, keys: list[str], state_rows: int) -> DataFrame:
     """Resolve verified brackets with at most ~``max_exact`` distinct values each."""
     inside = (_attach(base, small, keys, state_rows)

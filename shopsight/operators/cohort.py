@@ -24,14 +24,15 @@ def cohort_counts(df: DataFrame, time_col: str = "ts", signup_col: str = "signup
             .orderBy("signup_month", "cohort_index"))
 
 
-def cohort_retention(counts: DataFrame, base: str = "first") -> DataFrame:
+def cohort_retention(counts: DataFrame, base: str = "first", lowest: int | None = None) -> DataFrame:
     """C5 (long form): retention % = customers / base customers x 100.
 
     ``base='first'`` (faithful, T11): the base column is the globally lowest
     cohort index, so a cohort without that index has null retention.
     ``base='zero'``: the base is each cohort's index 0."""
     if base == "first":
-        lowest = counts.agg(F.min("cohort_index")).first()[0]
+        if lowest is None:
+            lowest = counts.agg(F.min("cohort_index")).first()[0]
         if lowest is None:
             return counts.withColumn("retention", F.lit(None).cast("double"))
         base_idx = F.lit(lowest)
@@ -46,11 +47,30 @@ def cohort_retention(counts: DataFrame, base: str = "first") -> DataFrame:
             .drop("_base").orderBy("signup_month", "cohort_index"))
 
 
-def cohort_retention_wide(retention: DataFrame, digits: int | None = 1) -> DataFrame:
+def cohort_retention_wide(retention: DataFrame, digits: int | None = 1,
+                          values: list[int] | None = None) -> DataFrame:
     """C5 (wide form, R1): one row per signup month, one column per cohort
     index (the pivot values are the distinct indices, a small set)."""
     val = F.bround("retention", digits) if digits is not None else F.col("retention")
-    values = [r[0] for r in retention.select("cohort_index").distinct().orderBy("cohort_index").collect()]
+    if values is None:
+        values = cohort_indices(retention)
     return (retention.select("signup_month", "cohort_index", val.alias("retention"))
             .groupBy("signup_month").pivot("cohort_index", values).agg(F.first("retention"))
             .orderBy("signup_month"))
+
+
+def cohort_indices(counts: DataFrame) -> list[int]:
+    """Distinct cohort indices in order (bounded by the calendar span in months)."""
+    return [r[0] for r in counts.select("cohort_index").distinct().orderBy("cohort_index").collect()]
+
+
+def retention_matrix(df: DataFrame, digits: int | None = 1, time_col: str = "ts",
+                     signup_col: str = "signup_date") -> DataFrame:
+    """C4 + C5 wide in one call: one small job for the distinct indices, then
+    the pivot with explicit values (no extra distinct job inside ``pivot``)."""
+    counts = cohort_counts(df, time_col, signup_col)
+    values = cohort_indices(counts)
+    if not values:
+        return counts.select("signup_month")
+    ret = cohort_retention(counts, "first", lowest=values[0])
+    return cohort_retention_wide(ret, digits, values)

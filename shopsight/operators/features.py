@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +24,21 @@ def feature_names(df: DataFrame) -> list[str]:
     return [f for f in NUMERIC_FEATURES + DERIVED_FEATURES + CATEGORICAL_FEATURES if f in df.columns]
 
 
+def fit_label_indexer(df: DataFrame, cols: Sequence[str], out_cols: Sequence[str]) -> StringIndexerModel:
+    """Alphabetical label dictionaries for several string columns from ONE
+    exploded distinct (Spark's own alphabetical fit runs a job per column).
+    The dictionaries are bounded by the columns' cardinalities."""
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])).alias("_p")
+    ).select("_p.i", "_p.v").where(F.col("v").isNotNull()).distinct()
+    labels: list[list[str]] = [[] for _ in cols]
+    for r in pairs.collect():
+        labels[r["i"]].append(r["v"])
+    labels = [sorted(x) for x in labels]
+    return StringIndexerModel.from_arrays_of_labels(labels, inputCols=list(cols), outputCols=list(out_cols),
+                                                    handleInvalid="keep")
+
+
 def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """M3: sorted distinct values -> 0..k-1 (``StringIndexer`` alphabetAsc,
     fitted on all rows).  The nominal metadata is dropped so learners treat
@@ -31,8 +46,7 @@ def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     cols = [c for c in columns if c in df.columns]
     if not cols:
         return df
-    idx = StringIndexer(inputCols=cols, outputCols=[f"{c}__idx" for c in cols], stringOrderType="alphabetAsc",
-                        handleInvalid="keep").fit(df)
+    idx = fit_label_indexer(df, cols, [f"{c}__idx" for c in cols])
     out = idx.transform(df)
     for c in cols:
         out = out.withColumn(c, F.col(f"{c}__idx").cast("long").alias(c, metadata={})).drop(f"{c}__idx")
@@ -85,11 +99,12 @@ def validate_features(df: DataFrame, feats: Sequence[str], min_rows: int = 100)
 def one_hot_features(df: DataFrame, columns: Sequence[str] = ("country", "loyalty_tier", "category")) -> DataFrame:
     """One-hot vectors (all levels kept) for ``columns``."""
     cols = [c for c in columns if c in df.columns]
-    idx = StringIndexer(inputCols=cols, outputCols=[f"{c}_idx" for c in cols], stringOrderType="alphabetAsc",
-                        handleInvalid="keep").fit(df)
+    idx = fit_label_indexer(df, cols, [f"{c}_idx" for c in cols])
     enc = OneHotEncoder(inputCols=[f"{c}_idx" for c in cols], outputCols=[f"{c}_onehot" for c in cols],
                         dropLast=False, handleInvalid="keep")
     out = idx.transform(df)
+    for c in cols:  # sizes come from the data, not from indexer metadata
+        out = out.withColumn(f"{c}_idx", F.col(f"{c}_idx").alias(f"{c}_idx", metadata={}))
     out = enc.fit(out).transform(out)
     return out.drop(*[f"{c}_idx" for c in cols])
 

@@ -181,23 +181,40 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, comp
     five heatmap columns that exist), as a long table (row, col, corr).
 
     ``complete_rows`` first drops rows with a gap in any of the columns (A19);
-    otherwise each pair uses its own complete rows (pandas ``corr``).  All
-    pairs come from one aggregate."""
+    otherwise each pair uses its own complete rows (pandas ``corr``).
+
+    Plan: pass 1 gets means and gap counts; without gaps, pass 2 sums the
+    centred cross products (k(k+1)/2 plain sums that stay in whole-stage
+    codegen and are numerically stable).  With gaps, one aggregate of
+    pairwise ``corr`` handles each pair's own complete rows."""
     cols = [c for c in (columns if columns is not None else CORRELATION_COLUMNS) if c in df.columns]
+    spark = df.sparkSession
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     d = d.select(*[F.when(F.isnan(c) | is_infinite(F.col(c)), None).otherwise(F.col(c)).alias(c) for c in cols])
     if complete_rows:
         d = d.na.drop("any")
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    row = d.agg(*[F.corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs])
+    k = len(cols)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    first = d.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                  *[F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(cols)]).first()
+    values: dict[tuple[int, int], float | None] = {}
+    if all(first[f"g{i}"] == 0 for i in range(k)):
+        cen = [(F.col(c) - F.lit(first[f"m{i}"])) for i, c in enumerate(cols)] if first["m0"] is not None else None
+        if cen is not None:
+            row = d.agg(*[F.sum(cen[i] * cen[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
+            for i, j in pairs:
+                den = (row[f"s{i}_{i}"] or 0.0) * (row[f"s{j}_{j}"] or 0.0)
+                values[(i, j)] = row[f"s{i}_{j}"] / den ** 0.5 if den > 0 else None
+    else:
+        row = d.agg(*[F.corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+        for i, j in pairs:
+            v = row[f"c{i}_{j}"]
+            values[(i, j)] = None if v is None or v != v else v
     cells = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            x, y = (i, j) if i <= j else (j, i)
-            cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(a).alias("row"),
-                                  F.lit(b).alias("col"), F.col(f"c{x}_{y}").alias("corr")))
-    out = row.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
-    return (out.withColumn("corr", F.nanvl("corr", F.lit(None).cast("double")))
+            cells.append((i, j, a, b, values.get((min(i, j), max(i, j)))))
+    return (spark.createDataFrame(cells, "i int, j int, row string, col string, corr double")
             .orderBy("i", "j").select("row", "col", "corr"))
 
 

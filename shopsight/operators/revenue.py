@@ -134,11 +134,14 @@ def group_statistics(df: DataFrame, group_cols: Sequence[str] | None = None,
         aggs += [_sum0(v, f"{v}_sum"), F.avg(v).alias(f"{v}_mean"), F.stddev_samp(v).alias(f"{v}_std"),
                  F.count(v).alias(f"{v}_count")]
     base = long.groupBy("column", "value").agg(*aggs)
-    keyed = long.withColumnRenamed("value", "_val")
-    for v in values:
-        med = (exact_quantiles(keyed, v, [0.5], keys=["column", "_val"])
-               .select("column", F.col("_val").alias("value"), F.col("value").alias(f"{v}_median")))
-        base = base.join(med, ["column", "value"], "left")
+    # all medians in one distributed solve: key = (column, value, measure)
+    stacked = long.select("column", F.col("value").alias("_val"), F.explode(F.array(*[
+        F.struct(F.lit(v).alias("_m"), F.col(v).cast("double").alias("_x")) for v in values])).alias("_p")
+    ).select("column", "_val", "_p._m", "_p._x")
+    med = exact_quantiles(stacked, "_x", [0.5], keys=["column", "_val", "_m"])
+    med_wide = med.groupBy("column", "_val").agg(*[
+        F.max(F.when(F.col("_m") == v, F.col("value"))).alias(f"{v}_median") for v in values])
+    base = base.join(med_wide.withColumnRenamed("_val", "value"), ["column", "value"], "left")
     ordered = ["column", "value"]
     for v in values:
         ordered += [f"{v}_sum", f"{v}_mean", f"{v}_median", f"{v}_std", f"{v}_count"]

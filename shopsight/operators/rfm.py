@@ -37,18 +37,14 @@ def reference_day(df: DataFrame, time_col: str = "ts") -> _dt.datetime | None:
     return None if last is None else last + _dt.timedelta(days=1)
 
 
-def rfm_base(df: DataFrame, time_col: str = "ts", today: _dt.datetime | None = None) -> DataFrame:
-    """customer_id, Recency (floored days since the last purchase),
-    Frequency (non-null transaction ids), Monetary (revenue sum, 0 when all
-    revenue is null).  Rows with a gap or an infinity are dropped (F1/F7)."""
-    today = today if today is not None else reference_day(df, time_col)
-    spark = df.sparkSession
-    if today is None:
-        return spark.createDataFrame([], "customer_id long, Recency long, Frequency long, Monetary double")
-    agg = df.groupBy("customer_id").agg(
+def _customer_aggregate(df: DataFrame, time_col: str) -> DataFrame:
+    return df.groupBy("customer_id").agg(
         F.max(time_col).alias("_last"),
         F.count("transaction_id").alias("Frequency"),
         F.coalesce(F.sum("gross_revenue"), F.lit(0.0)).alias("Monetary"))
+
+
+def _finish_base(agg: DataFrame, today) -> DataFrame:
     out = agg.select(
         "customer_id",
         floor_days(F.lit(today).cast("timestamp_ntz"), F.col("_last")).alias("Recency"),
@@ -58,6 +54,17 @@ def rfm_base(df: DataFrame, time_col: str = "ts", today: _dt.datetime | None = N
     return out.na.drop("any")
 
 
+def rfm_base(df: DataFrame, time_col: str = "ts", today: _dt.datetime | None = None) -> DataFrame:
+    """customer_id, Recency (floored days since the last purchase),
+    Frequency (non-null transaction ids), Monetary (revenue sum, 0 when all
+    revenue is null).  Rows with a gap or an infinity are dropped (F1/F7)."""
+    today = today if today is not None else reference_day(df, time_col)
+    spark = df.sparkSession
+    if today is None:
+        return spark.createDataFrame([], "customer_id long, Recency long, Frequency long, Monetary double")
+    return _finish_base(_customer_aggregate(df, time_col), today)
+
+
 def _bucket(x: F.Column, edges: list[float]) -> F.Column:
     """1-based bucket of ``x`` among quartile ``edges`` (pandas ``qcut`` with the
     lowest edge included); with tied edges the lowest matching bucket wins."""
@@ -78,7 +85,7 @@ def _edges(df: DataFrame, cols: list[str]) -> dict[str, list[float]]:
     return {c: [got[(c, q)] for q in QUARTILES] for c in cols}
 
 
-def _frequency_score(rfm: DataFrame):
+def _frequency_score(rfm: DataFrame, max_exact: int = 100_000):
     """W1 + W3: F score of every customer without a global window."""
     counts = rfm.groupBy("Frequency").agg(F.count("*").alias("_cnt"))
     # one row per distinct Frequency value (at most sqrt(2 x rows) of them)
@@ -101,11 +108,23 @@ def _frequency_score(rfm: DataFrame):
     straddle = []
     if targets:
         spark = rfm.sparkSession
-        tdf = spark.createDataFrame([(f, k) for _, f, k in targets], "Frequency long, rank long")
-        freqs = sorted({f for _, f, _ in targets})
-        stats = exact_order_statistics(rfm.where(F.col("Frequency").isin(*freqs)), "customer_id", tdf,
-                                       keys=["Frequency"]).collect()
-        found = {(s["Frequency"], s["rank"]): s["value"] for s in stats}
+        sizes = {r["Frequency"]: r["_cnt"] for r in rows}
+        small = [(f, k) for _, f, k in targets if sizes[f] <= max_exact]
+        large = [(f, k) for _, f, k in targets if sizes[f] > max_exact]
+        found = {}
+        if small:  # groups of at most max_exact customers: a bounded window per group
+            w = Window.partitionBy("Frequency").orderBy("customer_id")
+            want = F.lit(False)
+            for f, k in small:
+                want = want | ((F.col("Frequency") == F.lit(f)) & (F.col("_rn") == F.lit(k)))
+            picked = (rfm.where(F.col("Frequency").isin(*sorted({f for f, _ in small})))
+                      .withColumn("_rn", F.row_number().over(w) - 1).where(want).collect())
+            found.update({(r["Frequency"], r["_rn"]): r["customer_id"] for r in picked})
+        if large:  # big groups: distributed exact order statistics
+            tdf = spark.createDataFrame(large, "Frequency long, rank long")
+            stats = exact_order_statistics(rfm.where(F.col("Frequency").isin(*sorted({f for f, _ in large}))),
+                                           "customer_id", tdf, keys=["Frequency"]).collect()
+            found.update({(s["Frequency"], s["rank"]): s["value"] for s in stats})
         straddle = [(i, f, found[(f, k)]) for i, f, k in targets]
     return offsets, edges, straddle
 
@@ -116,8 +135,16 @@ def rfm_scores(df: DataFrame, time_col: str = "ts", today: _dt.datetime | None =
     ensure_checkpoint_dir(df.sparkSession)
     # The customer table feeds ~8 small jobs: materialise it once (cache) and
     # cut its lineage with a reliable checkpoint so a lost executor does not
-    # re-run the fact-table aggregation.
-    rfm = rfm_base(df, time_col, today).cache().checkpoint()
+    # re-run the fact-table aggregation.  "Today" comes from the customer
+    # table (max of the last purchases), not from another fact-table pass.
+    agg = _customer_aggregate(df, time_col).cache().checkpoint()
+    if today is None:
+        last = agg.agg(F.max("_last")).first()[0]
+        today = None if last is None else last + _dt.timedelta(days=1)
+    if today is None:
+        rfm = df.sparkSession.createDataFrame([], "customer_id long, Recency long, Frequency long, Monetary double")
+    else:
+        rfm = _finish_base(agg, today)
     if rfm.isEmpty():  # T21: empty input -> empty result with the full schema
         empty = rfm.select("*", *[F.lit(None).cast("string").alias(c) for c in
                                   ("R_Score", "F_Score", "M_Score", "RFM_Score", "Segment")],

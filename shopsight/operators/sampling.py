@@ -54,3 +54,10 @@ def train_validation_split(df: DataFrame, validation_pct: int = 20, seed: int =
     """Adds ``split`` = 'train' / 'validation' (about ``validation_pct`` %)."""
     b = split_bucket(df, seed, columns)
     return df.withColumn("split", F.when(b < 100 - validation_pct, "train").otherwise("validation"))
+
+
+def preview(df: DataFrame, n: int = 5, order_by: Sequence[str] | None = None) -> DataFrame:
+    """L2: the first ``n`` rows in a stated order (a top-n per task plus a
+    bounded merge; without an order Spark's ``limit`` order is arbitrary)."""
+    cols = list(order_by) if order_by is not None else df.columns
+    return df.orderBy(*cols).limit(n)

@@ -334,7 +334,7 @@ def _cohort_retention_long(ws):
 @query("cohort_retention_wide")
 def _cohort_retention_wide(ws):
     """C5 (wide pivot, retention rounded to 1 digit half-even)."""
-    return _cohort.cohort_retention_wide(_cohort.cohort_retention(_cohort.cohort_counts(ws.clean())))
+    return _cohort.retention_matrix(ws.clean())
 
 
 # ------------------------------------------------------ tier 2: profiling (cont.)
@@ -696,3 +696,22 @@ def _q_clf_hist(ws):
 def _q_conf(ws):
     """Test-set confusion matrix of the churn MLP."""
     return _clf(ws)[3]
+
+
+# -------------------------------------------------------------- previews (L2)
+@query("clean_preview", f"""
+SELECT {CLEAN_SELECT} FROM clean
+ORDER BY transaction_id, customer_id, product_id, quantity, discount_applied, gross_revenue, is_refunded,
+         campaign_id LIMIT 5""")
+def _clean_preview(ws):
+    """L2: first five rows of the cleaned table (by transaction id, then row values)."""
+    return _sampling.preview(ws.clean(), 5, ["transaction_id", "customer_id", "product_id", "quantity",
+                                             "discount_applied", "gross_revenue", "is_refunded", "campaign_id"])
+
+
+@query("rfm_preview", _RFM_CTE + f"""
+SELECT customer_id, Recency, Frequency, {r('Monetary')}, R_Score, F_Score, M_Score, RFM_Score, Segment, {r('CLV')}
+FROM segmented ORDER BY customer_id LIMIT 10""")
+def _rfm_preview(ws):
+    """L2: first ten customers of the RFM table (customer id order, as the reference's sorted group-by)."""
+    return _sampling.preview(_rfm.rfm_scores(ws.clean()), 10, ["customer_id"])

@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference reads static tables only; it has no stream, watermark or state.
+Nothing here adds a streaming operator.  A fitted cleaning model
+(``shopsight.operators.clean.CleanModel``) is a pure projection plus filter, so
+``model.transform(stream_df)`` works on a streaming DataFrame unchanged.
+"""
