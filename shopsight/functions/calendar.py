@@ -51,11 +51,20 @@ def age_band_position(age: str | Column) -> Column:
 
 def floor_days(later: str | Column, earlier: str | Column) -> Column:
     """Whole days between two timestamps, floored like pandas ``.days``
-    (-25 hours gives -2)."""
-    micros = F.unix_micros(_c(later).cast("timestamp")) - F.unix_micros(_c(earlier).cast("timestamp"))
+    (-25 hours gives -2).  Computed on wall-clock (NTZ) values, so a daylight
+    saving change in the session time zone cannot turn 24 hours into 23."""
+    micros = F.timestamp_diff("MICROSECOND", _c(earlier).cast("timestamp_ntz"), _c(later).cast("timestamp_ntz"))
     return F.floor(micros / F.lit(_MICROS_PER_DAY)).cast("long")
 
 
+def ntz_lit(value) -> Column:
+    """A wall-clock timestamp literal (parsed from text, independent of the
+    driver's and the session's time zones)."""
+    if value is None:
+        return F.lit(None).cast("timestamp_ntz")
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
 def month_start(ts: str | Column) -> Column:
     """First day of the month as a date."""
     return F.trunc(_c(ts).cast("date"), "MM")

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shopsight.functions.calendar import ntz_lit
 from shopsight.functions.numeric import INTEGRAL_TYPES, finite_or_null, is_fractional, numeric_columns, string_columns
 from shopsight.functions.quantiles import exact_median_row
 
@@ -60,7 +61,7 @@ class CleanModel:
             elif f.name in self.strings:
                 out.append(F.coalesce(c, F.lit(UNKNOWN)).alias(f.name))
             elif f.name == "launch_date" and self.launch_fill is not None:
-                out.append(F.coalesce(c, F.lit(self.launch_fill).cast(f.dataType)).alias(f.name))
+                out.append(F.coalesce(c, ntz_lit(self.launch_fill).cast(f.dataType)).alias(f.name))
             elif is_fractional(df, f.name):
                 out.append(finite_or_null(c).alias(f.name))
             else:

@@ -8,7 +8,7 @@ base is a join on signup month, not a per-row lookup.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopsight.functions.calendar import cohort_index, year_month
@@ -29,22 +29,22 @@ def cohort_retention(counts: DataFrame, base: str = "first", lowest: int | None
 
     ``base='first'`` (faithful, T11): the base column is the globally lowest
     cohort index, so a cohort without that index has null retention.
-    ``base='zero'``: the base is each cohort's index 0."""
+    ``base='zero'``: the base is each cohort's index 0.
+
+    The base is found with windows over the cohort-count table, which has one
+    row per (signup month, index) pair (bounded by the calendar span), so no
+    extra job or self-join is needed."""
     if base == "first":
-        if lowest is None:
-            lowest = counts.agg(F.min("cohort_index")).first()[0]
-        if lowest is None:
-            return counts.withColumn("retention", F.lit(None).cast("double"))
-        base_idx = F.lit(lowest)
+        base_idx = F.lit(lowest) if lowest is not None else F.min("cohort_index").over(Window.partitionBy())
     elif base == "zero":
         base_idx = F.lit(0)
     else:
         raise ValueError("base must be 'first' or 'zero'")
-    sizes = counts.where(F.col("cohort_index") == base_idx).select(
-        "signup_month", F.col("customers").alias("_base"))
-    return (counts.join(sizes, "signup_month", "left")
-            .withColumn("retention", F.try_divide(F.col("customers").cast("double"), F.col("_base")) * 100)
-            .drop("_base").orderBy("signup_month", "cohort_index"))
+    by_month = Window.partitionBy("signup_month")
+    with_base = counts.withColumn("_bidx", base_idx).withColumn(
+        "_base", F.max(F.when(F.col("cohort_index") == F.col("_bidx"), F.col("customers"))).over(by_month))
+    return (with_base.withColumn("retention", F.try_divide(F.col("customers").cast("double"), F.col("_base")) * 100)
+            .drop("_base", "_bidx").orderBy("signup_month", "cohort_index"))
 
 
 def cohort_retention_wide(retention: DataFrame, digits: int | None = 1,

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopsight.functions.calendar import floor_days
+from shopsight.functions.calendar import floor_days, ntz_lit
 from shopsight.functions.quantiles import exact_order_statistics, exact_quantiles
 from shopsight.session import ensure_checkpoint_dir
 
@@ -47,7 +47,7 @@ def _customer_aggregate(df: DataFrame, time_col: str) -> DataFrame:
 def _finish_base(agg: DataFrame, today) -> DataFrame:
     out = agg.select(
         "customer_id",
-        floor_days(F.lit(today).cast("timestamp_ntz"), F.col("_last")).alias("Recency"),
+        floor_days(ntz_lit(today), F.col("_last")).alias("Recency"),
         "Frequency",
         F.when(F.isnan("Monetary") | (F.abs("Monetary") == float("inf")), None).otherwise(F.col("Monetary"))
         .alias("Monetary"))

@@ -23,6 +23,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # HotSpot does not JIT methods above 8000 bytes; a fused stage whose
+        # generated method is larger would run interpreted.  With this limit
+        # such subtrees fall back to (JIT-compiled) expression evaluation.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", os.environ.get("SHOPSIGHT_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )

@@ -95,3 +95,14 @@ def test_read_retail_csv(spark, tmp_path):
     assert rows[0]["ts"] == dt.datetime(2024, 1, 2, 10) and rows[1]["product_id"] is None
     assert t["products"].first()["launch_date"] is None  # bad text -> null (S3)
     assert t["customers"].first()["signup_date"] == dt.datetime(2023, 5, 1)
+
+
+def test_floor_days_ignores_daylight_saving(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("2024-03-10 00:00:00", "2024-03-11 00:00:00")], "a string, b string").select(
+            F.col("a").cast("timestamp_ntz").alias("a"), F.col("b").cast("timestamp_ntz").alias("b"))
+        assert df.select(floor_days("b", "a")).first()[0] == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
