@@ -17,8 +17,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), "word_bpe_49k.json", limit=2048)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopsight.llm.packing import pack_documents
+    return pack_documents(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=1, capacity=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op7_packing": op7_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
