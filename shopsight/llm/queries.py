@@ -17,6 +17,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), "word_bpe_49k.json", limit=2048)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopsight.llm.fingerprints import fingerprints
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopsight.llm.sharding import category_code, hilbert_shards, log_code
+    docs = _table(spark, sf_dir, "documents")
+    bits = 5
+    return hilbert_shards(docs, [category_code(docs["lang"], bits), category_code(docs["source"], bits), log_code(docs["n_chars"], bits)], bits, 16)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shopsight.llm.packing import pack_documents
     return pack_documents(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=1, capacity=2048)
@@ -24,6 +36,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_hilbert_shards": op6_hilbert_shards,
     "op7_packing": op7_packing,
 }
 
