@@ -17,6 +17,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), "word_bpe_49k.json", limit=2048)
 
 
+def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopsight.llm.simhash import simhash_groups
+    return simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, distance=3, seed=42)
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shopsight.llm.fingerprints import fingerprints
     return fingerprints(_table(spark, sf_dir, "documents"))
@@ -36,6 +41,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_simhash_groups": op3_simhash_groups,
     "op5_fingerprints": op5_fingerprints,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_packing": op7_packing,
