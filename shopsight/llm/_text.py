@@ -133,12 +133,19 @@ class Spans:
         if n <= 0:
             return np.zeros(0, np.uint64)
         value = (self._sums[size:] - self._sums[:n]) * self._down[:n]
-        return mix(value + np.uint64(size) * np.uint64(0xD6E8FEB86659FD93))
+        return mix(value + np.uint64(size * 0xD6E8FEB86659FD93 % (1 << 64)))
 
 
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
-    return Spans(BYTE_CODE[data]).hash(starts, ends)
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # a bounded number of bytes at a time
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE_BYTES, "right")))
+        base = starts[at]
+        out[at:to] = Spans(BYTE_CODE[data[base:ends[to - 1]]]).hash(starts[at:to] - base, ends[at:to] - base)
+        at = to
+    return out
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

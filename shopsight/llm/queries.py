@@ -22,6 +22,11 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, distance=3, seed=42)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopsight.llm.suffix_dedup import suffix_dedup
+    return suffix_dedup(_table(spark, sf_dir, "documents"), window=200, keep_first=False)
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shopsight.llm.fingerprints import fingerprints
     return fingerprints(_table(spark, sf_dir, "documents"))
@@ -39,12 +44,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=1, capacity=2048)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopsight.llm.substring_dedup import substring_repeats
+    return substring_repeats(_table(spark, sf_dir, "documents"), window=13)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_simhash_groups": op3_simhash_groups,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_fingerprints": op5_fingerprints,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_packing": op7_packing,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
