@@ -17,6 +17,8 @@ SLICE_BYTES = 4 << 20
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: For words of letters: ASCII letters, and any byte of other characters.
+NO_LETTER = np.array([b < 0x80 and not chr(b).isalpha() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
@@ -77,10 +79,10 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and past-the-end byte of each word, and each text's first word
-    (one entry more than texts)."""
-    solid = ~_SPACE[data]
+    (one entry more than texts).  ``space`` marks the bytes between words."""
+    solid = ~space[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()

@@ -44,6 +44,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=1, capacity=2048)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopsight.llm.toxicity import toxicity
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shopsight.llm.substring_dedup import substring_repeats
     return substring_repeats(_table(spark, sf_dir, "documents"), window=13)
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
