@@ -54,6 +54,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_repeats(_table(spark, sf_dir, "documents"), window=13)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopsight.llm.decontaminate import contaminated, split_items
+    items = _table(spark, sf_dir, "benchmark")
+    return contaminated(_table(spark, sf_dir, "documents"), items, *split_items(items))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_simhash_groups": op3_simhash_groups,
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
