@@ -2,7 +2,7 @@
 
 An item has a question and an answer (``split_items`` cuts one text in two: the
 last sentence is the answer; of a single sentence, the last third of its words).
-Words are runs of letters and digits, A-Z in lower case.  The impact of a term on
+Words are runs of letters and digits, in lower case.  The impact of a term on
 an item is its BM25 weight over the sum of the item's weights, so that a passage
 with all words of an item scores 1 and one threshold serves items of all lengths.
 
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopsight.llm._store import written
-from shopsight.llm._text import Spans, buffer, document_columns, lower, ranges, text_slices, word_codes, words
+from shopsight.llm._text import Spans, buffer, document_columns, ranges, text_slices, word_codes, words
 
 #: Bytes between words: all ASCII characters but letters and digits.
 _SPACE = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
@@ -49,7 +49,6 @@ _K1, _B = 1.2, 0.75
 
 
 def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    data = lower(data)
     starts, ends, first = words(data, offsets, _SPACE)
     return word_codes(data, starts, ends), first
 
@@ -190,7 +189,7 @@ def split_items(items: DataFrame, text_col: str = "text") -> tuple[Column, Colum
 
 def _measured(items: DataFrame, id_col: str, question: Column, answer: Column) -> DataFrame:
     """Distinct items with their number of words and distinct terms."""
-    some = items.select(items[id_col].alias("item_id"), F.coalesce(question, F.lit("")).alias("question"), F.coalesce(answer, F.lit("")).alias("answer")).distinct()
+    some = items.select(items[id_col].alias("item_id"), F.lower(F.coalesce(question, F.lit(""))).alias("question"), F.lower(F.coalesce(answer, F.lit(""))).alias("answer")).distinct()
     kind = some.schema["item_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +212,7 @@ def contaminated(docs: DataFrame, items: DataFrame, question: Column, answer: Co
     total = kept.agg(F.count("*").alias("items"), F.avg("n").alias("mean")).first()
     sizes = kept.groupBy("long").agg(F.sum(F.octet_length("question") + F.octet_length("answer")).alias("bytes")).orderBy("long").collect()
     frequency = written(kept.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
-    texts = document_columns(docs, id_col, text_col)
+    texts = document_columns(docs, id_col, text_col).withColumn("text", F.lower("text"))
     kinds = texts.schema["doc_id"].dataType.simpleString(), kept.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, question_overlap double, answer_overlap double"
     out = docs.sparkSession.createDataFrame([], schema)
