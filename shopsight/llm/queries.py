@@ -17,6 +17,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), "word_bpe_49k.json", limit=2048)
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopsight.llm.ngram_model import lm_scores
+    return lm_scores(_table(spark, sf_dir, "documents"), folds=10, order=3)
+
+
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shopsight.llm.simhash import simhash_groups
     return simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, distance=3, seed=42)
@@ -62,6 +67,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_lm_scores": op2_lm_scores,
     "op3_simhash_groups": op3_simhash_groups,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_fingerprints": op5_fingerprints,
