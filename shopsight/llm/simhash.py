@@ -190,5 +190,6 @@ def near_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     kept = written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
     same = F.col("_kept").eqNullSafe(df[id_col])
     once = df.join(kept.where("_rows = 1"), same, "left_semi")
-    again = df.join(kept.where("_rows > 1"), same, "left_semi").orderBy(text_col).dropDuplicates([id_col])
-    return once.unionByName(again)
+    again = df.join(kept.where("_rows > 1"), same, "left_semi")
+    again = again.groupBy(again[id_col].alias("_id")).agg(F.min_by(F.struct("*"), F.coalesce(again[text_col], F.lit(""))).alias("_row"))
+    return once.unionByName(again.select("_row.*"))

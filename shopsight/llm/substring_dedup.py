@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopsight.llm._repeats import Plan, repeated_spans
+from shopsight.llm._store import written
 from shopsight.llm._text import Spans, ranges, word_codes, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -136,13 +138,13 @@ def substring_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def dedup_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
     """The table with repeated passages taken out of the text; a text without any
-    stays as it is, one that loses all its words goes.  Ids must be distinct (the
-    first of rows that share an id decides for them) and not null."""
+    stays as it is, one that loses all its words goes."""
     def apply(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple:
         kept, n = _split(text, starts, ends)
-        return n - len(kept), " ".join(kept) if len(starts) else None
+        return n - len(kept), zlib.crc32(text.encode()), " ".join(kept) if len(starts) else None
 
-    cut = repeated_spans(df, _plan(window), _compare(window), True, apply, "n_removed bigint, kept string", id_col=id_col, text_col=text_col)
-    cut = cut.where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
-    joined = df.join(cut, df[id_col] == F.col("_id"), "left").where("_kept is null or _kept <> ''")
+    cut = repeated_spans(df, _plan(window), _compare(window), True, apply, "n_removed bigint, mark bigint, kept string", id_col=id_col, text_col=text_col)
+    cut = written(cut.where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("kept").alias("_kept"))).dropDuplicates(["_id", "_mark"])
+    same = df[id_col].eqNullSafe(F.col("_id")) & (F.crc32(F.coalesce(df[text_col], F.lit("")).cast("binary")) == F.col("_mark"))
+    joined = df.join(cut, same, "left").where("_kept is null or _kept <> ''")
     return joined.select(*(F.coalesce("_kept", df[c]).alias(c) if c == text_col else df[c] for c in df.columns))

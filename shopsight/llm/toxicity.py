@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shopsight.llm._store import written
 from shopsight.llm._text import BYTE_CODE, NO_LETTER, Spans, buffer, document_columns, id_crc, lower, ranges, text_slices, words
 
 CHAIN = 64
@@ -316,3 +317,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     tagged = tag_documents(docs, tagger, id_col=id_col, text_col=text_col)
     held = F.pmod(id_crc(F.col("doc_id")), F.lit(folds)) == 0
     return tagged.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_spans")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, **sample: int) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic; rows that share an id
+    (null included) go together."""
+    found = toxicity(docs, labels, id_col=id_col, text_col=text_col, folds=folds, **sample).where("predicted = 1")
+    found = written(found.select(F.col("doc_id").alias("_found")).distinct())
+    return docs.join(found, F.col("_found").eqNullSafe(docs[id_col]), "left_anti")
