@@ -36,8 +36,8 @@ from shopsight.llm._store import written
 from shopsight.llm._text import BYTE_CODE, NO_LETTER, Spans, buffer, document_columns, id_crc, lower, ranges, text_slices, words
 
 CHAIN = 64
-_PREFIXES = (0, 3, 4, 5, 6)  # 0: the whole word
-_SALT = [np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)) for k in range(8)]
+_PREFIXES = (0, 3, 4, 5, 6, 7, 8, 10)  # bytes; 0: the whole word
+_SALT = [np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)) for k in range(12)]
 
 
 def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
