@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from shopsight.llm._components import components
 from shopsight.llm._store import written
-from shopsight.llm._text import _SPACE, buffer, document_columns, lower, text_slices, words
+from shopsight.llm._text import _SPACE, buffer, by_ids, document_columns, lower, text_slices, words
 
 #: Variants that a task holds at a time.
 BLOCK = 1 << 21
@@ -188,8 +188,7 @@ def near_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Rows that share a kept id are one document; the first of them by text stays."""
     groups = simhash_groups(df, id_col=id_col, text_col=text_col, shingle=shingle, distance=distance)
     kept = written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
-    same = F.col("_kept").eqNullSafe(df[id_col])
-    once = df.join(kept.where("_rows = 1"), same, "left_semi")
-    again = df.join(kept.where("_rows > 1"), same, "left_semi")
+    once = by_ids(df, id_col, kept.where("_rows = 1"), "left_semi")
+    again = by_ids(df, id_col, kept.where("_rows > 1"), "left_semi")
     again = again.groupBy(again[id_col].alias("_id")).agg(F.min_by(F.struct("*"), F.coalesce(again[text_col], F.lit(""))).alias("_row"))
     return once.unionByName(again.select("_row.*"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from shopsight.llm._repeats import Plan, repeated_spans
 from shopsight.llm._store import written
-from shopsight.llm._text import Spans, ranges, word_codes, words
+from shopsight.llm._text import Spans, free_name, ranges, word_codes, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Phrases of one automaton.
@@ -144,7 +144,8 @@ def dedup_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return n - len(kept), zlib.crc32(text.encode()), " ".join(kept) if len(starts) else None
 
     cut = repeated_spans(df, _plan(window), _compare(window), True, apply, "n_removed bigint, mark bigint, kept string", id_col=id_col, text_col=text_col)
-    cut = written(cut.where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("kept").alias("_kept"))).dropDuplicates(["_id", "_mark"])
-    same = df[id_col].eqNullSafe(F.col("_id")) & (F.crc32(F.coalesce(df[text_col], F.lit("")).cast("binary")) == F.col("_mark"))
-    joined = df.join(cut, same, "left").where("_kept is null or _kept <> ''")
-    return joined.select(*(F.coalesce("_kept", df[c]).alias(c) if c == text_col else df[c] for c in df.columns))
+    own, mark, kept = (free_name(df, c) for c in ("_id", "_mark", "_kept"))
+    cut = written(cut.where("n_removed > 0").select(F.col("doc_id").alias(own), F.col("mark").alias(mark), F.col("kept").alias(kept))).dropDuplicates([own, mark])
+    same = df[id_col].eqNullSafe(F.col(own)) & (F.crc32(F.coalesce(df[text_col], F.lit("")).cast("binary")) == F.col(mark))
+    joined = df.join(cut, same, "left").where(F.col(kept).isNull() | (F.col(kept) != ""))
+    return joined.select(*(F.coalesce(F.col(kept), df[c]).alias(c) if c == text_col else df[c] for c in df.columns))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopsight.llm._store import written
-from shopsight.llm._text import BYTE_CODE, NO_LETTER, Spans, buffer, document_columns, id_crc, lower, ranges, text_slices, words
+from shopsight.llm._text import BYTE_CODE, NO_LETTER, Spans, buffer, by_ids, document_columns, id_crc, lower, ranges, text_slices, words
 
 CHAIN = 64
 _PREFIXES = (0, 3, 4, 5, 6, 7, 8, 10)  # bytes; 0: the whole word
@@ -323,5 +323,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     """The rows of ``docs`` that are not predicted toxic; rows that share an id
     (null included) go together."""
     found = toxicity(docs, labels, id_col=id_col, text_col=text_col, folds=folds, **sample).where("predicted = 1")
-    found = written(found.select(F.col("doc_id").alias("_found")).distinct())
-    return docs.join(found, F.col("_found").eqNullSafe(docs[id_col]), "left_anti")
+    return by_ids(docs, id_col, written(found.select("doc_id").distinct()), "left_anti")
