@@ -177,6 +177,21 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None, top: int =
             .orderBy("pos", "rank").drop("pos"))
 
 
+def value_shares(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Every value of each string column with its count and share of non-null
+    rows (rounded half-even to 2 digits), by column and falling count."""
+    cols = list(columns) if columns is not None else string_columns(df)
+    spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame([], "column string, value string, count long, share double")
+    vc = _long(df, cols, "string").where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("count"))
+    totals = vc.groupBy("column").agg(F.sum("count").alias("_total"))
+    pos = spark.createDataFrame([(i, c) for i, c in enumerate(cols)], "pos int, column string")
+    return (vc.join(F.broadcast(totals), "column").join(F.broadcast(pos), "column")
+            .select("pos", "column", "value", "count", F.bround(F.col("count") / F.col("_total"), 2).alias("share"))
+            .orderBy("pos", F.desc("count"), "value").drop("pos"))
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, complete_rows: bool = True) -> DataFrame:
     """Pearson correlation for every pair of ``columns`` (default: the
     five heatmap columns that exist), as a long table (row, col, corr).

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopsight.functions.calendar import floor_days, ntz_lit
-from shopsight.functions.quantiles import exact_order_statistics, exact_quantiles
+from shopsight.functions.quantiles import exact_quantiles
 from shopsight.session import ensure_checkpoint_dir
 
 QUARTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
@@ -85,7 +85,34 @@ def _edges(df: DataFrame, cols: list[str]) -> dict[str, list[float]]:
     return {c: [got[(c, q)] for q in QUARTILES] for c in cols}
 
 
-def _frequency_score(rfm: DataFrame, max_exact: int = 100_000):
+def _ids_at(rfm: DataFrame, targets: list[tuple[int, int]]) -> dict[tuple[int, int], object]:
+    """The customer_id at each (Frequency, 0-based rank by customer_id), whatever
+    the type of the ids and the size of the group: the groups are range-split,
+    the ranges counted, and only the range that holds a rank is ordered."""
+    parts = int(rfm.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = rfm.where(F.col("Frequency").isin(*sorted({f for f, _ in targets}))).select("Frequency", "customer_id")
+    ranged = some.repartitionByRange(parts, "Frequency", "customer_id").withColumn("_part", F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy("Frequency", "_part").agg(F.count("*").alias("n")).orderBy("Frequency", "_part").collect()
+    places = {}
+    for f, k in targets:
+        left = k
+        for s in (s for s in sizes if s["Frequency"] == f):
+            if left < s["n"]:
+                places[(f, s["_part"], left)] = (f, k)
+                break
+            left -= s["n"]
+    ranges = F.lit(False)
+    wanted = F.lit(False)
+    for f, part, left in places:
+        here = (F.col("Frequency") == F.lit(f)) & (F.col("_part") == F.lit(part))
+        ranges = ranges | here
+        wanted = wanted | (here & (F.col("_rn") == F.lit(left)))
+    w = Window.partitionBy("Frequency", "_part").orderBy("customer_id")
+    picked = ranged.where(ranges).withColumn("_rn", F.row_number().over(w) - 1).where(wanted).collect()
+    return {places[(r["Frequency"], r["_part"], r["_rn"])]: r["customer_id"] for r in picked}
+
+
+def _frequency_score(rfm: DataFrame):
     """W1 + W3: F score of every customer without a global window."""
     counts = rfm.groupBy("Frequency").agg(F.count("*").alias("_cnt"))
     # one row per distinct Frequency value (at most sqrt(2 x rows) of them)
@@ -107,24 +134,7 @@ def _frequency_score(rfm: DataFrame, max_exact: int = 100_000):
                 targets.append((i, r["Frequency"], e - r["_off"] - 1))  # 0-based rank inside the group
     straddle = []
     if targets:
-        spark = rfm.sparkSession
-        sizes = {r["Frequency"]: r["_cnt"] for r in rows}
-        small = [(f, k) for _, f, k in targets if sizes[f] <= max_exact]
-        large = [(f, k) for _, f, k in targets if sizes[f] > max_exact]
-        found = {}
-        if small:  # groups of at most max_exact customers: a bounded window per group
-            w = Window.partitionBy("Frequency").orderBy("customer_id")
-            want = F.lit(False)
-            for f, k in small:
-                want = want | ((F.col("Frequency") == F.lit(f)) & (F.col("_rn") == F.lit(k)))
-            picked = (rfm.where(F.col("Frequency").isin(*sorted({f for f, _ in small})))
-                      .withColumn("_rn", F.row_number().over(w) - 1).where(want).collect())
-            found.update({(r["Frequency"], r["_rn"]): r["customer_id"] for r in picked})
-        if large:  # big groups: distributed exact order statistics
-            tdf = spark.createDataFrame(large, "Frequency long, rank long")
-            stats = exact_order_statistics(rfm.where(F.col("Frequency").isin(*sorted({f for f, _ in large}))),
-                                           "customer_id", tdf, keys=["Frequency"]).collect()
-            found.update({(s["Frequency"], s["rank"]): s["value"] for s in stats})
+        found = _ids_at(rfm, [(f, k) for _, f, k in targets])
         straddle = [(i, f, found[(f, k)]) for i, f, k in targets]
     return offsets, edges, straddle
 

@@ -400,16 +400,23 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY "column" ORDER BY count DESC, va
 WHERE rank <= {top}"""
 
 
+def _value_shares_sql(cols: list[str]) -> str:
+    vc = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, COUNT(*) AS count FROM clean "
+                            f"WHERE {c} IS NOT NULL GROUP BY {c}" for c in cols)
+    return f"""SELECT "column", value, count, {r('round_even(count / total, 2)', 4, 'share')}
+FROM (SELECT *, SUM(count) OVER (PARTITION BY "column") AS total FROM ({vc}))"""
+
+
 @query("value_counts", _value_counts_sql(STRING_CLEAN[:5]))
 def _value_counts(ws):
     """First five string columns, top 10 values with shares."""
     return profile.value_counts(ws.clean(), max_columns=5)
 
 
-@query("value_shares", _value_counts_sql(STRING_CLEAN))
+@query("value_shares", _value_shares_sql(STRING_CLEAN))
 def _value_shares(ws):
-    """Every string column, top 10 values with shares."""
-    return profile.value_counts(ws.clean(), max_columns=None)
+    """Every string column, all values with shares."""
+    return profile.value_shares(ws.clean())
 
 
 _CORR5 = ["quantity", "discount_applied", "gross_revenue", "age", "base_price"]

@@ -141,3 +141,28 @@ def test_decomposition_is_additive(spark):
     assert np.allclose(inner["trend"] + inner["seasonal"] + inner["resid"], inner["observed"])
     assert out["trend"].isna().sum() == 30
     assert abs(out.groupby(np.arange(120) % 30)["seasonal"].first().sum()) < 1e-9
+
+
+def test_frequency_scores_of_ties_with_any_ids(spark):
+    """All customers tied; ids as text and beyond 2**53 keep their own order."""
+    import datetime as dt
+
+    import pandas as pd
+    from shopsight.operators import rfm
+    for ids in ([f"c{k:03d}" for k in range(37)], [2**53 + k for k in range(37)]):
+        day = dt.datetime(2024, 1, 1)
+        rows = [(c, k, day + dt.timedelta(days=k % 5), 10.0 + k) for k, c in enumerate(ids)]
+        kind = "string" if isinstance(ids[0], str) else "bigint"
+        df = spark.createDataFrame(rows, f"customer_id {kind}, transaction_id bigint, ts timestamp_ntz, gross_revenue double")
+        got = {r["customer_id"]: int(r["F_Score"]) for r in rfm.rfm_scores(df).collect()}
+        ranks = pd.Series(1, index=ids).rank(method="first")
+        want = (pd.qcut(ranks, 4, labels=False) + 1).to_dict()
+        assert got == want
+
+
+def test_value_shares_are_not_capped(spark):
+    from shopsight.operators import profile
+    df = spark.createDataFrame([(f"v{k % 40}", None) for k in range(100)], "a string, b string")
+    got = profile.value_shares(df).collect()
+    assert len(got) == 40 and sum(r["count"] for r in got) == 100
+    assert [r["count"] for r in got] == sorted((r["count"] for r in got), reverse=True)
