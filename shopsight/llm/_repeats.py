@@ -20,8 +20,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shopsight.llm._store import written
 from shopsight.llm._text import Spans, buffer, id_crc, ranges, shards_of, sliding_min, text_slices
@@ -233,16 +234,18 @@ def by_document(owner: dict[str, np.ndarray]) -> dict[tuple[int, int], np.ndarra
 
 
 def repeated_spans(df: DataFrame, plan: Plan, compare: Callable[..., Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], keep_first: bool,
-                   apply: Callable[[str | None, np.ndarray, np.ndarray], tuple], result: str, *, id_col: str, text_col: str) -> DataFrame:
+                   apply: Callable[[str | None, np.ndarray, np.ndarray], tuple], result: str, *, id_col: str, text_col: str, carry: Column | None = None) -> DataFrame:
     """``apply(text, starts, ends)`` of every document, with the disjoint spans
-    (in codes) whose windows are repeated; columns doc_id and ``result``.
+    (in codes) whose windows are repeated; columns doc_id, ``result`` and, if it
+    is given, ``carry`` of the document's row.
 
     ``compare(bodies, owner, asked)`` gets the asked pieces of whole buckets, as
     arrays of codes, and yields (record, first window, windows) repeated."""
     shards = places = shards_of(df, 2)
     kind = df.schema[id_col].dataType.simpleString()
     null_id = (1 << 63) - 1  # a null id comes after all others
-    docs = df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
+    more = [] if carry is None else [carry.alias("carry")]
+    docs = df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"), *more)
     docs = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(null_id))).withColumn("crc", id_crc(F.col("doc_id")))
     docs = docs.withColumn("place", F.pmod("crc", F.lit(places)).cast("int"))
     blocks = piece_blocks(docs.select("id", "crc", "text"), plan, shards)
@@ -312,8 +315,12 @@ def repeated_spans(df: DataFrame, plan: Plan, compare: Callable[..., Iterator[tu
             else:
                 begin = s["start"][who].astype(np.int64)
                 rows.append(apply(text, *merged(begin, begin + s["length"][who])))
-        kinds = {"bigint": pa.int64(), "string": pa.string()}
-        return pa.table([texts.column("doc_id"), *(pa.array(v, kinds[t]) for v, (_, t) in zip(zip(*rows) if rows else [[]] * len(fields), fields))], names=["doc_id", *(n for n, _ in fields)])
-
-    return (docs.select("place", "id", "doc_id", "text").groupBy("place").cogroup(spans.groupBy("place"))
-            .applyInArrow(finish, f"doc_id {kind}, {result}"))
+        kinds = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+        out = pa.table([texts.column("doc_id"), *(pa.array(v, kinds[t]) for v, (_, t) in zip(zip(*rows) if rows else [[]] * len(fields), fields))], names=["doc_id", *(n for n, _ in fields)])
+        return out.append_column("carry", texts.column("carry")) if carried else out
+
+    schema, carried = StructType.fromDDL(f"doc_id {kind}, {result}"), bool(more)
+    if carried:
+        schema = schema.add(docs.schema["carry"])
+    whole = docs.select("place", "id", "doc_id", "text", *(["carry"] if carried else []))
+    return whole.groupBy("place").cogroup(spans.groupBy("place")).applyInArrow(finish, schema)

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopsight.llm._repeats import Plan, repeated_spans
-from shopsight.llm._store import written
-from shopsight.llm._text import Spans, free_name, ranges, word_codes, words
+from shopsight.llm._text import Spans, ranges, word_codes, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Phrases of one automaton.
@@ -140,12 +138,13 @@ def dedup_passages(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """The table with repeated passages taken out of the text; a text without any
     stays as it is, one that loses all its words goes."""
     def apply(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple:
-        kept, n = _split(text, starts, ends)
-        return n - len(kept), zlib.crc32(text.encode()), " ".join(kept) if len(starts) else None
-
-    cut = repeated_spans(df, _plan(window), _compare(window), True, apply, "n_removed bigint, mark bigint, kept string", id_col=id_col, text_col=text_col)
-    own, mark, kept = (free_name(df, c) for c in ("_id", "_mark", "_kept"))
-    cut = written(cut.where("n_removed > 0").select(F.col("doc_id").alias(own), F.col("mark").alias(mark), F.col("kept").alias(kept))).dropDuplicates([own, mark])
-    same = df[id_col].eqNullSafe(F.col(own)) & (F.crc32(F.coalesce(df[text_col], F.lit("")).cast("binary")) == F.col(mark))
-    joined = df.join(cut, same, "left").where(F.col(kept).isNull() | (F.col(kept) != ""))
-    return joined.select(*(F.coalesce(F.col(kept), df[c]).alias(c) if c == text_col else df[c] for c in df.columns))
+        if not len(starts):
+            return False, text
+        kept = " ".join(_split(text, starts, ends)[0])
+        return not kept, kept
+
+    others = [c for c in df.columns if c != text_col]
+    carry = F.struct(*(df[c].alias(f"c{k}") for k, c in enumerate(others)), df[text_col].isNull().alias("null"))
+    cut = repeated_spans(df, _plan(window), _compare(window), True, apply, "gone boolean, kept string", id_col=id_col, text_col=text_col, carry=carry)
+    kept = F.when(F.col("carry.null"), F.lit(None)).otherwise(F.col("kept"))
+    return cut.where("not gone").select(*(kept.alias(c) if c == text_col else F.col(f"carry.c{others.index(c)}").alias(c) for c in df.columns))
