@@ -5,6 +5,7 @@ it is ``ts`` (``timestamp`` is a type keyword in most SQL dialects)."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,14 +43,25 @@ PRODUCTS_SCHEMA = T.StructType([
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | None = None) -> DataFrame:
-    """One table.  CSV is read with a header and an explicit schema (no
-    inference pass over the data); Parquet carries its own schema."""
+    """One table.  CSV columns are found by the names in the header, whatever
+    their order, and cast to the type that ``schema`` gives them (no inference
+    pass over the data).  Text that does not fit its type raises; a column that
+    the file lacks is absent; a column that the schema lacks stays text.
+    Parquet carries its own schema."""
     if fmt == "parquet":
         return spark.read.parquet(path)
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.csv(path)
+    raw = spark.read.option("header", True).csv(path)
+    types = {f.name: f.dataType for f in schema.fields} if schema is not None else {}
+    return raw.select(*[_typed(c, types[c]) if c in types else F.col(f"`{c}`") for c in raw.columns])
+
+
+def _typed(name: str, kind: T.DataType):
+    """A text column as ``kind``.  Whole numbers may be written as 7.0, as
+    pandas does for a column with gaps."""
+    c = F.col(name)
+    if isinstance(kind, T.IntegralType):
+        c = F.regexp_replace(c, r"\.0+$", "")
+    return c.cast(kind).alias(name)
 
 
 def _strict_ts(c):
@@ -83,6 +95,7 @@ def read_retail_files(spark: SparkSession, folder: str, fmt: str = "csv") -> dic
     for name in ("campaigns", "events"):
         try:
             out[name] = read_table(spark, f"{folder}/{name}.{ext}", fmt)
-        except Exception:  # optional tables; the reference reads them but never uses them
-            pass
+        except AnalysisException as e:  # these two files are optional
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     return out

@@ -106,3 +106,20 @@ def test_floor_days_ignores_daylight_saving(spark):
         assert df.select(floor_days("b", "a")).first()[0] == 1
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    from shopsight.sources.files import PRODUCTS_SCHEMA, read_table
+    (tmp_path / "p.csv").write_text("brand,extra,product_id,category,is_premium\nacme,x,3,toys,1.0\n")
+    t = read_table(spark, str(tmp_path / "p.csv"), "csv", PRODUCTS_SCHEMA)
+    assert t.columns == ["brand", "extra", "product_id", "category", "is_premium"]
+    assert tuple(t.first()) == ("acme", "x", 3, "toys", 1)
+    (tmp_path / "bad.csv").write_text("product_id,category\nthree,toys\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        read_table(spark, str(tmp_path / "bad.csv"), "csv", PRODUCTS_SCHEMA).collect()
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from shopsight.session import is_local
+    assert is_local("local[8]") and is_local("local")
+    assert not is_local("local-cluster[3,2,1024]") and not is_local("spark://host:7077") and not is_local("yarn")
