@@ -205,6 +205,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, comp
     pairwise ``corr`` handles each pair's own complete rows."""
     cols = [c for c in (columns if columns is not None else CORRELATION_COLUMNS) if c in df.columns]
     spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame([], "row string, col string, corr double")
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     d = d.select(*[F.when(F.isnan(c) | is_infinite(F.col(c)), None).otherwise(F.col(c)).alias(c) for c in cols])
     if complete_rows:

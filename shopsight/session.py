@@ -34,17 +34,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process, which sees its own folders."""
+    return master.split("[")[0] == "local"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, honouring ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared folder and is used as is.  Only
-    when it is unset (local tests) do we create a private scratch folder."""
+    On a cluster this setting names a shared folder and is used as is; unset, it
+    is an error there.  Local mode (tests) gets a private scratch folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not is_local(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="shopsight-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
