@@ -163,6 +163,12 @@ def customer_features(df: DataFrame, time_col: str = "ts", today: _dt.datetime |
                       floor_days(ntz_lit(today), F.col("_last")).alias("days_since_last_purchase"))
 
 
+def churn_cutoff(today: _dt.datetime, horizon_days: int = 90) -> _dt.datetime:
+    """Whoever bought after this moment has not churned, as more than
+    ``horizon_days`` whole days lie between it and the reference day."""
+    return today - _dt.timedelta(days=horizon_days + 1)
+
+
 def churn_labels(features: DataFrame, horizon_days: int = 90) -> DataFrame:
     """D13 (horizon is ours): churned = 1 when the last purchase is more than
     ``horizon_days`` before the reference day."""
