@@ -42,6 +42,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_digest(text: Column) -> Column:
+    """The SHA-256 of a text (null: empty).  What an operator finds out about a
+    text holds for every row with this digest, whatever its id."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
 def by_ids(df: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
     """The rows of ``df`` whose id (null equals null) is among ``ids`` (its first
     column; ``left_semi``) or is not (``left_anti``)."""

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from shopsight.llm._components import components
 from shopsight.llm._store import written
-from shopsight.llm._text import _SPACE, buffer, by_ids, document_columns, lower, text_slices, words
+from shopsight.llm._text import _SPACE, buffer, document_columns, free_name, lower, text_digest, text_slices, words
 
 #: Variants that a task holds at a time.
 BLOCK = 1 << 21
@@ -78,17 +78,21 @@ def simhash(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int) -> n
     return out
 
 
-def fingerprint_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and the fingerprint as a signed number, ``fp``."""
+def fingerprint_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, digest: bool = False) -> DataFrame:
+    """doc_id and the fingerprint as a signed number, ``fp``; ``digest``: the
+    text's digest too."""
     docs = document_columns(df, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    if digest:
+        docs = docs.withColumn("digest", text_digest(docs["text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             marks = simhash(*buffer(part.column("text")), shingle, seed)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(marks.view(np.int64))], names=["doc_id", "fp"])
+            more = {"digest": part.column("digest")} if digest else {}
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "fp": pa.array(marks.view(np.int64)), **more})
 
-    return docs.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.mapInArrow(run, f"doc_id {kind}, fp bigint" + ", digest binary" * digest)
 
 
 def _masks(bits: int, flips: int) -> np.ndarray:
@@ -172,23 +176,37 @@ def ball_links(marks: DataFrame, distance: int = 3, *, prefix_bits: int = 10, bl
     return sent.groupBy("prefix").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def simhash_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, seed: int = 42, prefix_bits: int = 10) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
-    marked = written(fingerprint_documents(df, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed))
+def _named(marked: DataFrame, distance: int, prefix_bits: int = 10) -> DataFrame:
+    """The component of each fingerprint, named by a fingerprint, and the least id
+    (``component_id``; null: none has one) of the component."""
     firsts = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     joined = components(ball_links(firsts, distance, prefix_bits=prefix_bits))
     named = firsts.join(joined, firsts["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    labels = named.join(least, "component").select("fp", "component_id")
+    return named.join(least, "component").select("fp", "component", "component_id")
+
+
+def simhash_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, seed: int = 42, prefix_bits: int = 10) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
+    marked = written(fingerprint_documents(df, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed))
+    labels = _named(marked, distance, prefix_bits).select("fp", "component_id")
     return marked.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of one document, the one with the least id, of each component.
-    Rows that share a kept id are one document; the first of them by text stays."""
-    groups = simhash_groups(df, id_col=id_col, text_col=text_col, shingle=shingle, distance=distance)
-    kept = written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
-    once = by_ids(df, id_col, kept.where("_rows = 1"), "left_semi")
-    again = by_ids(df, id_col, kept.where("_rows > 1"), "left_semi")
-    again = again.groupBy(again[id_col].alias("_id")).agg(F.min_by(F.struct("*"), F.coalesce(again[text_col], F.lit(""))).alias("_row"))
+    """One row of each component: the one with the least id (null: last), then the
+    least text.  Rows are told apart by id and text, never by the id alone."""
+    marked = written(fingerprint_documents(df, id_col=id_col, text_col=text_col, shingle=shingle, digest=True))
+    least = marked.join(_named(marked, distance), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = written(least.groupBy("doc_id", "digest", "component").agg(F.count("*").alias("n")))
+    rows = least.groupBy("component").agg(F.sum("n").alias("rows"))
+    id_, digest, component = (free_name(df, c) for c in ("_id", "_digest", "_component"))
+    kept = written(least.join(rows, "component").select(F.col("doc_id").alias(id_), F.col("digest").alias(digest), F.col("component").alias(component), "rows"))
+
+    def among(some: DataFrame, how: str) -> DataFrame:
+        return df.join(some.drop("rows"), F.col(id_).eqNullSafe(df[id_col]) & (F.col(digest) == text_digest(df[text_col])), how)
+
+    once = among(kept.where("rows = 1"), "left_semi")
+    again = among(kept.where("rows > 1"), "inner")
+    again = again.groupBy(component).agg(F.min_by(F.struct(*(df[c] for c in df.columns)), F.coalesce(df[text_col], F.lit(""))).alias("_row"))
     return once.unionByName(again.select("_row.*"))

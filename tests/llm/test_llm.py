@@ -256,3 +256,15 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF_SMALL}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcde")
+    rows = [(None, a, 1), (None, b, 2), (None, b, 2), (None, c, 3), (1, c, 4), (7, d, 5), (7, e, 6), (7, a, 7), (8, d, 8), (7, d, 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n int")
+    assert len({brute.simhash(t) for t in (a, b, c, d, e)}) == len({g for _, g in brute.groups([(k, t) for k, t in enumerate((a, b, c, d, e))])}) == 5
+    kept = simhash.near_dedup(df)
+    assert kept.columns == df.columns
+    assert sorted(tuple(r) for r in kept.select("n", "text").collect()) == [(2, b), (4, c), (5, d), (6, e), (7, a)]
+    near = spark.createDataFrame([(7, f"{a} {a} {a} {a}", 1), (7, f"{a} {a} {a}", 2), (None, "  ", 3), (None, None, 4)], "doc_id bigint, text string, n int")
+    assert sorted(r["n"] for r in simhash.near_dedup(near).collect()) == [2, 4]
