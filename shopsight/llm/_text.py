@@ -48,13 +48,6 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
-def by_ids(df: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
-    """The rows of ``df`` whose id (null equals null) is among ``ids`` (its first
-    column; ``left_semi``) or is not (``left_anti``)."""
-    name = free_name(df, "_found")
-    return df.join(ids.select(F.col(ids.columns[0]).alias(name)), F.col(name).eqNullSafe(df[id_col]), how)
-
-
 def id_crc(doc_id: Column) -> Column:
     """crc32 of the id written as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopsight.llm._store import written
-from shopsight.llm._text import Spans, buffer, by_ids, document_columns, ranges, text_slices, word_codes, words
+from shopsight.llm._text import Spans, buffer, document_columns, free_name, ranges, text_digest, text_slices, word_codes, words
 
 #: Bytes between words: all ASCII characters but letters and digits.
 _SPACE = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
@@ -250,7 +250,9 @@ def contaminated(docs: DataFrame, items: DataFrame, question: Column, answer: Co
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, question: Column, answer: Column, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose document holds no item; rows that share an id
-    (null included) go together."""
-    found = contaminated(docs, items, question, answer, id_col=id_col, text_col=text_col, **options).select("doc_id").distinct()
-    return by_ids(docs, id_col, written(found), "left_anti")
+    """The rows of ``docs`` whose text holds no item, each row by itself: texts are
+    searched under their digest, which also finds the rows."""
+    texts = docs.select(text_digest(docs[text_col]).alias("doc_id"), docs[text_col].alias("text"))
+    name = free_name(docs, "_found")
+    found = written(contaminated(texts, items, question, answer, **options).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(found, F.col(name) == text_digest(docs[text_col]), "left_anti")

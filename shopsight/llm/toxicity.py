@@ -29,11 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopsight.llm._store import written
-from shopsight.llm._text import BYTE_CODE, NO_LETTER, Spans, buffer, by_ids, document_columns, id_crc, lower, ranges, text_slices, words
+from shopsight.llm._text import BYTE_CODE, NO_LETTER, Spans, buffer, document_columns, id_crc, lower, ranges, text_slices, words
 
 CHAIN = 64
 _PREFIXES = (0, 3, 4, 5, 6, 7, 8, 10)  # bytes; 0: the whole word
@@ -320,7 +320,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, **sample: int) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic; rows that share an id
-    (null included) go together."""
-    found = toxicity(docs, labels, id_col=id_col, text_col=text_col, folds=folds, **sample).where("predicted = 1")
-    return by_ids(docs, id_col, written(found.select("doc_id").distinct()), "left_anti")
+    """The rows of ``docs`` whose text is not predicted toxic, each row by itself."""
+    tagger = train(docs, labels, F.pmod(id_crc(F.col("doc_id")), F.lit(folds)) != 0, id_col=id_col, text_col=text_col, **sample)
+    columns, at = [f"c{k}" for k in range(len(docs.columns))], docs.columns.index(text_col)
+    rows = docs.toDF(*columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = (pa.RecordBatch.from_arrays([*b.columns, pc.fill_null(b.column(at), "")], names=[*columns, "text"]) for b in batches)
+        for part in text_slices(texts, "text", 2 << 20):
+            largest, total = tagger.documents(*buffer(part.column("text")))[:2]
+            yield part.select(columns).filter(pa.array(tagger.scores(largest, total) < 0.5))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

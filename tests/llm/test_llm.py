@@ -268,3 +268,18 @@ def test_near_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark):
     assert sorted(tuple(r) for r in kept.select("n", "text").collect()) == [(2, b), (4, c), (5, d), (6, e), (7, a)]
     near = spark.createDataFrame([(7, f"{a} {a} {a} {a}", 1), (7, f"{a} {a} {a}", 2), (None, "  ", 3), (None, None, 4)], "doc_id bigint, text string, n int")
     assert sorted(r["n"] for r in simhash.near_dedup(near).collect()) == [2, 4]
+
+
+def test_filters_drop_the_bad_rows_and_no_others_of_their_id(spark):
+    bad, good = (" ".join(f"{x}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)) for x in ("vile", "kind"))
+    train = spark.createDataFrame([(k, f"{bad} some {k}" if k % 3 == 0 else f"{good} some {k}") for k in range(60)], "doc_id bigint, text string")
+    labels = train.select("doc_id", (F.col("text").startswith("vile")).cast("int").alias("toxic"))
+    mixed = spark.createDataFrame([(None, bad), (None, good), (None, None), (100, bad), (100, good), (100, good), (101, good)], "doc_id bigint, text string")
+    docs = train.union(mixed).withColumn("c0", F.lit(None).cast("int"))
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.where("doc_id is null or doc_id >= 100").collect()) == sorted(
+        [("None", good), ("None", "None"), ("100", good), ("100", good), ("101", good)])
+    items = spark.createDataFrame([(1, bad)], "item_id bigint, text string")
+    clean = decontaminate.decontaminate(mixed, items, *decontaminate.split_items(items))
+    assert sorted(((str(r["doc_id"]), str(r["text"])) for r in clean.collect())) == sorted([("None", good), ("None", "None"), ("100", good), ("100", good), ("101", good)])
