@@ -9,8 +9,10 @@ different pieces: one piece of each digest is asked for by content, and an
 operator of its own method compares their windows.
 
 A digest and its bucket are two 64-bit hashes; content decides all else.
-Documents are dealt to ``places`` by the checksum of their id; records that
-belong to a document travel there in packed blocks."""
+Documents (an id and a text) are dealt to ``places`` by the checksum of both;
+records that belong to a document travel there in packed blocks.  A document
+whose repeated rows outweigh a place is dealt to several, and its records are
+copied to all of them."""
 
 from __future__ import annotations
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from shopsight.llm._store import written
-from shopsight.llm._text import Spans, buffer, id_crc, ranges, shards_of, sliding_min, text_slices
+from shopsight.llm._text import Spans, buffer, ranges, shards_of, sliding_min, text_slices
 
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -82,7 +84,7 @@ def cut_pieces(codes: np.ndarray, first: np.ndarray, plan: Plan) -> dict[str, np
 PIECE = {"bucket": np.uint64, "digest": np.uint64, "start": np.uint32, "count": np.uint16, "twice": np.uint8}
 SPAN = {"start": np.uint32, "length": np.uint32}
 ASKED = {"bucket": np.uint64, "start": np.uint32, "count": np.uint16, "settled": np.uint8}
-#: What names a document: id, checksum of its text, checksum of its id.
+#: What names a document: id, checksum of its text, checksum of both.
 OWNER = {"id": np.int64, "text": np.uint32, "crc": np.uint32}
 
 
@@ -125,6 +127,55 @@ def unpack(table: pa.Table, kinds: dict[str, type]) -> tuple[dict[str, np.ndarra
     return {c: np.repeat(joined(c, t), each) for c, t in OWNER.items()}, {c: joined(c, t) for c, t in kinds.items()}
 
 
+@dataclass(frozen=True)
+class Places:
+    """``many`` places; ``hot``: (id, checksum of the text, places) of documents
+    that have several, at most ``many`` such."""
+
+    many: int
+    hot: list[tuple[int, int, int]]
+
+    def of(self, owner: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Record and place of every copy of records that go to their document."""
+        base = owner["crc"].astype(np.int64)
+        copies = np.ones(len(base), np.int64)
+        if self.hot:
+            marks = np.array([_mark(np.int64(i), np.int64(t)) for i, t, _ in self.hot], np.uint64)
+            order = np.argsort(marks)
+            mine = _mark(owner["id"], owner["text"].astype(np.int64))
+            at = order[np.minimum(np.searchsorted(marks[order], mine), len(marks) - 1)]
+            copies = np.where(marks[at] == mine, np.array([n for _, _, n in self.hot], np.int64)[at], 1)
+        record = np.repeat(np.arange(len(base)), copies)
+        return record, (base[record] + ranges(np.zeros(len(base), np.int64), copies)) % self.many
+
+
+def _mark(ids: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """One number for id and text; a document that shares another's only gets
+    copies that no row asks for."""
+    with np.errstate(over="ignore"):
+        return np.asarray(ids).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.asarray(text).astype(np.uint64)
+
+
+def deal(docs: DataFrame, many: int) -> tuple[DataFrame, Places]:
+    """``docs`` (id, text) with ``crc`` and ``place``.  Documents that have more
+    than an even place's share of bytes in several rows get several places; a row
+    goes to the one of its partition."""
+    docs = docs.withColumn("check", F.crc32(F.col("text").cast("binary")))
+    docs = docs.withColumn("crc", F.crc32(F.concat_ws(" ", "id", "check").cast("binary")))
+    weight = F.sum(F.octet_length("text") + F.lit(64)).alias("weight")
+    weights = written(docs.groupBy("id", "check").agg(F.count("*").alias("rows"), weight))
+    share = (weights.agg(F.sum("weight")).first()[0] or 0) / many
+    hot = weights.where((F.col("rows") > 1) & (F.col("weight") > share))
+    hot = hot.select("id", "check", F.least(F.lit(many), F.col("rows"), F.ceil(F.col("weight") / F.lit(share or 1.0))).cast("int").alias("copies"))
+    rows = [tuple(r) for r in hot.collect()]  # no more than there are places
+    base = F.col("crc")
+    if rows:
+        known = docs.sparkSession.createDataFrame(rows, "id bigint, check bigint, copies int")
+        docs = docs.join(F.broadcast(known), ["id", "check"], "left")
+        base = base + F.pmod(F.spark_partition_id(), F.coalesce("copies", F.lit(1)))
+    return docs.withColumn("place", F.pmod(base, F.lit(many)).cast("int")), Places(many, rows)
+
+
 def piece_blocks(docs: DataFrame, plan: Plan, shards: int) -> DataFrame:
     """Pieces of ``docs`` (id, crc, text), packed by shard of their bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +208,7 @@ def piece_blocks(docs: DataFrame, plan: Plan, shards: int) -> DataFrame:
     return docs.mapInArrow(run, packed_schema("shard", PIECE))
 
 
-def settle(plan: Plan, keep_first: bool, places: int) -> Callable[[pa.Table], pa.Table]:
+def settle(plan: Plan, keep_first: bool, places: Places) -> Callable[[pa.Table], pa.Table]:
     """For a shard's pieces: spans that equal pieces prove repeated, and the
     pieces whose content is needed.  ``keep_first``: only what also starts in a
     smaller document (``inside``: or earlier in the same one) is repeated;
@@ -194,8 +245,10 @@ def settle(plan: Plan, keep_first: bool, places: int) -> Callable[[pa.Table], pa
                                            (asked, "ask", ASKED, p | {"settled": whole.astype(np.uint8)})):
             who = np.flatnonzero(mask)
             who = who[np.lexsort((p["start"][who], owner["text"][who], owner["id"][who]))]
+            record, place_ = places.of({c: v[who] for c, v in owner.items()})
+            who = who[record]
             own = {c: v[who] for c, v in owner.items()}
-            batch = pack("place", (own["crc"] % np.uint32(places)).astype(np.int64), own, {c: columns[c][who] for c in kinds}, kinds)
+            batch = pack("place", place_, own, {c: columns[c][who] for c in kinds}, kinds)
             if batch is not None:
                 table_ = pa.Table.from_batches([batch])
                 table_ = table_.append_column("kind", pa.array([name] * batch.num_rows))
@@ -241,13 +294,13 @@ def repeated_spans(df: DataFrame, plan: Plan, compare: Callable[..., Iterator[tu
 
     ``compare(bodies, owner, asked)`` gets the asked pieces of whole buckets, as
     arrays of codes, and yields (record, first window, windows) repeated."""
-    shards = places = shards_of(df, 2)
+    shards = shards_of(df, 2)
     kind = df.schema[id_col].dataType.simpleString()
     null_id = (1 << 63) - 1  # a null id comes after all others
     more = [] if carry is None else [carry.alias("carry")]
     docs = df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"), *more)
-    docs = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(null_id))).withColumn("crc", id_crc(F.col("doc_id")))
-    docs = docs.withColumn("place", F.pmod("crc", F.lit(places)).cast("int"))
+    docs = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(null_id)))
+    docs, places = deal(docs, shards)
     blocks = piece_blocks(docs.select("id", "crc", "text"), plan, shards)
     settled = written(blocks.groupBy("shard").applyInArrow(settle(plan, keep_first, places), SETTLED))
     asked = settled.where("kind = 'ask'").select("place", *OWNER, "each", *ASKED)
@@ -257,14 +310,14 @@ def repeated_spans(df: DataFrame, plan: Plan, compare: Callable[..., Iterator[tu
         if not requests.num_rows or not texts.num_rows:
             return schema.empty_table()
         owner, a = unpack(requests, ASKED)
-        groups = by_document(owner)
+        groups = by_document(owner)  # a document's repeated rows answer once
         out = []
         for part in text_slices(texts.combine_chunks().to_batches(), "text", plan.slice_bytes):
             data, offsets = buffer(part.column("text"))
             codes, first = plan.codes(data, offsets)
             raw = data.tobytes()
             ids = part.column("id").to_pylist()
-            who = [groups.get((ids[k], zlib.crc32(raw[offsets[k]:offsets[k + 1]]))) for k in range(len(ids))]
+            who = [groups.pop((ids[k], zlib.crc32(raw[offsets[k]:offsets[k + 1]])), None) for k in range(len(ids))]
             rows = [k for k, w in enumerate(who) if w is not None]
             if not rows:
                 continue
@@ -294,8 +347,10 @@ def repeated_spans(df: DataFrame, plan: Plan, compare: Callable[..., Iterator[tu
         record, start, count = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((owner["text"][record], owner["id"][record]))
         record, start, count = record[order], start[order], count[order]
+        copy, place_ = places.of({c: v[record] for c, v in owner.items()})
+        record, start, count = record[copy], start[copy], count[copy]
         own = {c: v[record] for c, v in owner.items()}
-        batch = pack("place", (own["crc"] % np.uint32(places)).astype(np.int64), own, {"start": a["start"][record] + start, "length": count + plan.window - 1}, SPAN)
+        batch = pack("place", place_, own, {"start": a["start"][record] + start, "length": count + plan.window - 1}, SPAN)
         return pa.Table.from_batches([batch]) if batch is not None else out.empty_table()
 
     columns = ["place", *OWNER, "each", *SPAN]

@@ -4,13 +4,14 @@ on a table of edge cases."""
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from shopsight.llm import decontaminate, fingerprints, ngram_model, packing, sharding, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
+from shopsight.llm import _repeats, decontaminate, fingerprints, ngram_model, packing, sharding, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
 from shopsight.llm.queries import QUERIES
 from tests.conftest import SF_SMALL
 from tests.llm import brute
@@ -283,3 +284,27 @@ def test_filters_drop_the_bad_rows_and_no_others_of_their_id(spark):
     items = spark.createDataFrame([(1, bad)], "item_id bigint, text string")
     clean = decontaminate.decontaminate(mixed, items, *decontaminate.split_items(items))
     assert sorted(((str(r["doc_id"]), str(r["text"])) for r in clean.collect())) == sorted([("None", good), ("None", "None"), ("100", good), ("100", good), ("101", good)])
+
+
+def test_documents_without_an_id_and_repeated_rows_spread_over_places(spark):
+    texts = [f"{PASSAGE} text{k} " + " ".join(f"own{k}x{j}" for j in range(40)) for k in range(40)]
+    rows = [((1 << 63) - 1, t) for t in texts] + [(5, texts[0])] * 200
+    docs = spark.createDataFrame(rows, "id bigint, text string").repartition(16)
+    dealt, places = _repeats.deal(docs, 16)
+    found = dealt.groupBy("id", "place").agg(F.count("*")).collect()
+    assert len({r["place"] for r in found if r["id"] == 5}) > 4
+    assert len({r["place"] for r in found if r["id"] != 5}) > 4
+    owner = {c: np.array([r[c]], t) for r in dealt.where("id = 5").select("id", F.col("check").alias("text"), "crc").limit(1).collect() for c, t in _repeats.OWNER.items()}
+    assert {r["place"] for r in found if r["id"] == 5} <= set(places.of(owner)[1].tolist())
+    assert dealt.count() == len(rows)
+
+
+def test_repeats_of_documents_without_an_id(spark):
+    texts = [f"{PASSAGE} text{k} " + " ".join(f"own{k}x{j}" for j in range(40)) for k in range(12)]
+    rows = [(None, t) for t in texts] + [(5, texts[0])] * 30 + [(6, texts[1])] * 3 + [(None, None)] * 20
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    got = suffix_dedup.suffix_dedup(df, window=200, keep_first=False).select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(tuple(r) for r in got) == sorted(brute.byte_repeats(rows))
+    last = [((1 << 63) - 1 if i is None else i, t) for i, t in rows]
+    got = substring_dedup.substring_repeats(df).select("n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(tuple(r) for r in got) == sorted((n, m, brute.sha(" ".join(kept))) for n, m, kept in brute.word_repeats(last))
