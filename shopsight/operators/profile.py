@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shopsight.functions.numeric import (is_fractional, is_infinite, numeric_columns, sample_kurtosis,
                                          sample_skewness, string_columns)
@@ -151,6 +152,26 @@ def column_summary(df: DataFrame) -> DataFrame:
     return F.broadcast(pos).join(out, "column").orderBy("pos").drop("pos")
 
 
+def timestamp_summary(df: DataFrame) -> DataFrame:
+    """What ``describe(include='all')`` gives for date and timestamp columns:
+    count, mean, min, quartiles and max, in schema order, to the microsecond
+    (means and interpolated quartiles rounded down)."""
+    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
+    spark = df.sparkSession
+    stats = ["mean", "min", "q25", "q50", "q75", "max"]
+    if not cols:
+        return spark.createDataFrame([], ", ".join(["column string", "count long", *(f"{c} timestamp" for c in stats)]))
+    long = _long(df.select(*[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in cols]), cols, "long")
+    pos = spark.createDataFrame([(i, c) for i, c in enumerate(cols)], "pos int, column string")
+    moments = long.groupBy("column").agg(F.count("value").alias("count"), F.sum(F.col("value").cast("decimal(20,0)")).alias("_sum"),
+                                         F.min("value").alias("min"), F.max("value").alias("max"))
+    moments = moments.withColumn("mean", F.expr("CASE WHEN count > 0 THEN _sum div count END"))
+    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], keys=["column"]).groupBy("column").agg(
+        *[F.max(F.when(F.col("q") == x, F.floor("value"))).alias(c) for c, x in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))])
+    return (F.broadcast(pos).join(moments, "column", "left").join(q, "column", "left").orderBy("pos")
+            .select("column", F.coalesce("count", F.lit(0)).alias("count"), *[F.timestamp_micros(c).alias(c) for c in stats]))
+
+
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None, top: int = 10,
                  max_columns: int | None = 5) -> DataFrame:
     """The ``top`` most frequent values of each string column with

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopsight.functions.numeric import numeric_columns
 from shopsight.operators import profile, revenue
 from shopsight.plans.oracle import ORACLE, register
 from shopsight.plans.workspace import Workspace
@@ -390,6 +391,28 @@ def _column_summary(ws):
     return out.withColumn("unique", F.col("unique").cast("double")).withColumn("freq", F.col("freq").cast("double"))
 
 
+TIMESTAMP_CLEAN = ["ts", "signup_date", "launch_date"]
+
+
+def _ts_stats_sql(cols: list[str]) -> str:
+    def text(micros: str, name: str) -> str:
+        return f"strftime(make_timestamp(CAST({micros} AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS {name}"
+
+    parts = []
+    for c in cols:
+        x = f"epoch_us(CAST({c} AS TIMESTAMP))"
+        quartiles = [text(f"FLOOR(quantile_cont({x}, {p}))", n) for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]
+        parts.append(f"SELECT '{c}' AS \"column\", COUNT({c}) AS count, {text(f'SUM({x}) // COUNT({c})', 'mean')}, {text(f'MIN({x})', 'min')}, "
+                     f"{', '.join(quartiles)}, {text(f'MAX({x})', 'max')} FROM clean")
+    return " UNION ALL ".join(parts)
+
+
+@query("timestamp_summary", _ts_stats_sql(TIMESTAMP_CLEAN))
+def _timestamp_summary(ws):
+    """The date and timestamp columns."""
+    return profile.timestamp_summary(ws.clean())
+
+
 def _value_counts_sql(cols: list[str], top: int = 10) -> str:
     parts = [f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, COUNT(*) AS count FROM clean "
              f"WHERE {c} IS NOT NULL GROUP BY {c}" for c in cols]
@@ -440,6 +463,13 @@ def _correlation_matrix(ws):
     return profile.correlation_matrix(ws.clean())
 
 
+@query("numeric_correlations", f'SELECT "row", col, {r("corr")} FROM ({_corr_sql(NUMERIC_CLEAN, False)})')
+def _numeric_correlations(ws):
+    """D3: all pairs of numeric columns."""
+    df = ws.clean()
+    return profile.correlation_matrix(df, numeric_columns(df), complete_rows=False)
+
+
 @query("high_correlation_pairs", f"""
 SELECT "row" AS feature_a, col AS feature_b, {r('corr')} FROM ({_corr_sql(NUMERIC_CLEAN, False)})
 WHERE i < j AND ABS(corr) > 0.7""")

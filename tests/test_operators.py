@@ -166,3 +166,20 @@ def test_value_shares_are_not_capped(spark):
     got = profile.value_shares(df).collect()
     assert len(got) == 40 and sum(r["count"] for r in got) == 100
     assert [r["count"] for r in got] == sorted((r["count"] for r in got), reverse=True)
+
+
+def test_summaries_and_correlations_leave_no_column_out(spark):
+    from shopsight.plans.catalog import ALL_COLUMNS, NUMERIC_CLEAN, QUERIES
+    from tests.conftest import SF_SMALL
+    found = [r["column"] for name in ("column_summary", "timestamp_summary") for r in QUERIES[name](spark, SF_SMALL).collect()]
+    assert sorted(found) == sorted(ALL_COLUMNS)
+    pairs = {(r["row"], r["col"]) for r in QUERIES["numeric_correlations"](spark, SF_SMALL).collect()}
+    assert pairs == {(a, b) for a in NUMERIC_CLEAN for b in NUMERIC_CLEAN}
+
+
+def test_timestamp_summary(spark):
+    rows = [(T(2024, 1, 1), None), (T(2024, 1, 2), None), (T(2024, 1, 4), None), (None, None)]
+    out = profile.timestamp_summary(spark.createDataFrame(rows, "a timestamp, b timestamp"))
+    assert [tuple(r) for r in out.collect()] == [
+        ("a", 3, T(2024, 1, 2, 8), T(2024, 1, 1), T(2024, 1, 1, 12), T(2024, 1, 2), T(2024, 1, 3), T(2024, 1, 4)),
+        ("b", 0, *[None] * 6)]
