@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,45 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), items, *split_items(items))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopsight.llm.resampling import resample
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), ngrams=(1, 1), buckets=10_000, min_words=20, percent=10, seed=2024)
+
+
+def turned(doc_id: Column, text: Column) -> Column:
+    """The text that op12's contract has searched: where the id's checksum ends in 0,
+    the words from some place on repeat; a null id changes nothing."""
+    def bound(value: Column, body: Callable[[Column], Column]) -> Column:  # computed once, not for each word
+        return F.get(F.transform(F.array(value), body), 0)
+
+    def places(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = h_tenth % n
+        return F.struct(w.alias("words"), a.alias("a"), (1 + F.floor((n - a) / (3 + h_tenth % 8)).cast("long")).alias("p"))
+
+    def turn(s: Column) -> Column:
+        return F.array_join(F.transform(s["words"], lambda x, i: F.when(i < s["a"], x).otherwise(F.get(s["words"], (s["a"] + (i - s["a"]) % s["p"]).cast("int")))), " ")
+
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    h_tenth = F.floor(h / 10).cast("long")
+    words = F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
+    changed = bound(words, lambda w: F.when(F.size(w) > 0, bound(places(w), turn)))
+    return F.when(h % 10 == 0, F.coalesce(changed, text)).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopsight.llm.periodic_runs import periodic_runs, run_digests
+    docs = _table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", turned(docs["doc_id"], docs["text"]).alias("text"))
+    return run_digests(periodic_runs(docs, min_length=6, exponent=4))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopsight.llm.quality_rules import quality
+    found = quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_lm_scores": op2_lm_scores,
@@ -76,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_resampling": op11_resampling,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}

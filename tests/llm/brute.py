@@ -5,7 +5,10 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
+from fractions import Fraction
 
+import numpy as np
 import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -147,3 +150,68 @@ def holders(docs, items, gram=5):
             for i, at in where.get(tuple(w[k:k + gram]), ()):
                 covered[d, i] |= set(range(at, at + gram))
     return {k for k, c in covered.items() if len(c) >= 0.9 * len(items[k[1]])}
+
+
+def turned(doc_id, text):
+    """The words that op12's contract has searched."""
+    w = (text or "").encode().split()
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10 == 0 and w and doc_id is not None:
+        n, g = len(w), h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[a + (i - a) % p] if i >= a else w[i] for i in range(n)]
+    return w
+
+
+def periodic(w, min_length=6, exponent=4):
+    """(start, length, period) of every run of a sequence, by trying every period."""
+    found, number = {}, {}
+    w = np.array([number.setdefault(x, len(number)) for x in w], np.int64)
+    for q in range(1, len(w) // exponent + 1):
+        edge = np.diff(np.concatenate(([0], (w[q:] == w[:-q]).astype(np.int8), [0])))
+        for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+            if j + q - i >= max(min_length, exponent * q):
+                found.setdefault((i, j + q - i), q)
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def periodic_digest(w):
+    runs = periodic(w)
+    top = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if runs else None
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return (len(runs), *((*top, 1000 * top[1] // top[2]) if top else (None,) * 4), sha("".join(f"{s},{n},{q}\n" for s, n, q in runs)),
+            hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest())
+
+
+def quality_counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
+    seen = Counter(grams)
+    again = {i + k for i, g in enumerate(grams) if seen[g] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again),
+            len(w) < 50 or 100 * len(again) > 50 * len(w))
+
+
+def resampled(docs, target, ngrams=(1, 1), buckets=10_000, min_words=20, percent=10, seed=2024):
+    """(doc_id, n_features, weight, score, rank) of every document."""
+    def scan(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return len(w), [zlib.crc32(" ".join(w[i:i + n]).encode()) % buckets for n in range(ngrams[0], ngrams[1] + 1) for i in range(len(w) - n + 1)]
+
+    texts = [scan(t) for _, t in docs]
+    s, t = Counter(b for _, f in texts for b in f), Counter(b for x in target for b in scan(x)[1])
+    s_all, t_all = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (s_all + buckets) / ((s[b] + 1) * (t_all + buckets)))) for b in range(buckets)]
+    out = []
+    for (i, _), (n, f) in zip(docs, texts):
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append([i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n])
+    able = sorted((r for r in out if r[5] >= min_words), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1], r[2], r[5]))
+    for k, r in enumerate(able[:percent * len(able) // 100]):
+        r[4] = k + 1
+    return [tuple(r[:5]) for r in out]
