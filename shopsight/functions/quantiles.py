@@ -9,14 +9,15 @@ billions of distinct doubles) lands in a single task.  Here the work is split:
    ``[lo, hi]`` that should hold the target ranks;
 2. one aggregate counts, per target, the rows below the bracket and inside it,
    which verifies the bracket exactly (a miss widens it to +-infinity);
-3. brackets holding more than ``max_exact`` distinct values are narrowed with a sketch of
-   the rows inside them (fixed grid); small ones are resolved exactly with a
-   window over the distinct values inside the bracket.
+3. the values inside the brackets are counted and ranked: brackets with at most
+   ``max_exact`` distinct values by a window each, larger ones (and, widened to
+   everything, the rare ones that a sketch missed) by a range-split of the distinct
+   values and prefix counts of the ranges (``ranking.rows_before``), whatever their size.
 
-Only bracket tables (keys x probabilities rows) are kept between rounds; they
-are checkpointed to the shared checkpoint folder so lineage does not grow.
-Hot values are harmless: rows are pre-aggregated to (value, count) before any
-window, and every aggregate is partial/final with map-side combine.
+There are no further rounds.  Only bracket tables (keys x probabilities rows) are kept
+between the steps, and released when the result is written to the shared checkpoint
+folder.  Hot values are harmless: rows are pre-aggregated to (value, count)
+before any window, and every aggregate is partial/final with map-side combine.
 
 Interpolation: with ``h = (n-1)q`` and ``r = floor(h)``, the result is
 ``v[r] + (v[r+1] - v[r]) * (h - r)`` over the sorted non-null values.
@@ -29,14 +30,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopsight.functions.ranking import rows_before
 from shopsight.session import ensure_checkpoint_dir
 
 _INF = float("inf")
-_GRID = 64  # grid cells used when narrowing a large bracket
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], keys: Sequence[str] = (),
-                    accuracy: int = 10000, max_exact: int = 100_000, max_rounds: int = 10) -> DataFrame:
+                    accuracy: int = 10000, max_exact: int = 100_000) -> DataFrame:
     """Return ``keys..., q, value`` with the exact linear-interpolated quantile
     ``q`` of ``value_col`` per key.  Nulls and NaN are ignored (pandas rule);
     keys without values produce no rows."""
@@ -68,112 +69,59 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], keys:
              .withColumn("_hi", F.when(F.col("q") + margin >= 1, F.lit(_INF))
                          .otherwise(F.element_at("_sk", F.col("qid") * 2 + 2)))
              .select(*keys, "qid", "q", "_n", "_nd", "_r0", "_r1", "_frac", "_lo", "_hi"))
-    return _solve(base, state, keys, user_keys, max_exact, max_rounds, accuracy)
+    return _solve(base, state, keys, user_keys, max_exact)
 
 
-def exact_order_statistics(df: DataFrame, value_col: str, targets: DataFrame, keys: Sequence[str] = (),
-                           accuracy: int = 10000, max_exact: int = 100_000, max_rounds: int = 10) -> DataFrame:
-    """Return ``keys..., rank, value``: for every row of ``targets`` (``keys...,
-    rank``) the value at that 0-based rank of the ascending non-null values of
-    its key (ranks beyond a key's size are skipped)."""
-    user_keys = list(keys)
-    keys = user_keys or ["_k"]
-    ensure_checkpoint_dir(df.sparkSession)
-    base = df.select(*[F.col(k) for k in user_keys], F.col(value_col).cast("double").alias("_v"))
-    tg = targets.select(*user_keys, F.col("rank").cast("long").alias("_r"))
-    if not user_keys:
-        base = base.withColumn("_k", F.lit(0))
-        tg = tg.withColumn("_k", F.lit(0))
-    base = base.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    grid = F.array(*[F.lit(i / _GRID) for i in range(_GRID + 1)])
-    first = base.groupBy(*keys).agg(F.count("*").alias("_n"), F.approx_count_distinct("_v").alias("_nd"),
-                                    F.percentile_approx("_v", grid, accuracy).alias("_sk"))
-    span = F.greatest(F.col("_n") - 1, F.lit(1))
-    cell_lo = F.floor(F.col("_r0") / span * _GRID).cast("int") - 1
-    cell_hi = F.ceil(F.col("_r0") / span * _GRID).cast("int") + 1
-    from shopsight.sources.joined import sized_broadcast
-    state = (first.join(sized_broadcast(tg, 200_000), keys)
-             .where(F.col("_r") < F.col("_n"))
-             .withColumn("qid", F.row_number().over(Window.partitionBy(*keys).orderBy("_r")) - 1)
-             .select(*keys, "qid", F.col("_r").cast("double").alias("q"), "_n", "_nd", F.col("_r").alias("_r0"),
-                     F.col("_r").alias("_r1"), F.lit(0.0).alias("_frac"), "_sk")
-             .select(*keys, "qid", "q", "_n", "_nd", "_r0", "_r1", "_frac",
-                     F.when(cell_lo <= 0, F.lit(-_INF)).otherwise(F.element_at("_sk", cell_lo + 1)).alias("_lo"),
-                     F.when(cell_hi >= _GRID, F.lit(_INF)).otherwise(F.element_at("_sk", cell_hi + 1)).alias("_hi")))
-    out = _solve(base, state, keys, user_keys, max_exact, max_rounds, accuracy)
-    return out.select(*user_keys, F.col("q").cast("long").alias("rank"), "value")
-
-
-def _solve(base: DataFrame, state: DataFrame, keys: list[str], user_keys: list[str], max_exact: int,
-           max_rounds: int, accuracy: int) -> DataFrame:
-    """Resolve every target: keys with few distinct values directly, the rest
-    by verified, narrowing brackets."""
-    cached: list[DataFrame] = []
-    state = state.cache()  # one aggregate deep: a cache is enough; later rounds are checkpointed
-    cached.append(state)
+def _solve(base: DataFrame, state: DataFrame, keys: list[str], user_keys: list[str], max_exact: int) -> DataFrame:
+    """Resolve every target: keys with few distinct values directly, the rest by
+    verified brackets."""
+    kept = [state := state.cache()]
     # Keys with at most ~max_exact distinct values: the whole key is one small
-    # bracket (nothing below it), so no verification round is needed.
+    # bracket (nothing below it), so no verification is needed.
     direct = state.where(F.col("_nd") <= max_exact).select(*keys, "qid", "q", "_r0", "_r1", "_frac")
-    resolved: list[DataFrame] = [_select_direct(base, direct, keys, _count(direct))]
+    out = _select_direct(base, direct, keys, direct.count())
     state = state.where(F.col("_nd") > max_exact).drop("_nd")
-    cols = state.columns
-    if state.isEmpty():
-        return resolved[0].select(*user_keys, "q", "value")
-
-    for _ in range(max_rounds):
-        n_state = _count(state)
-        inside_flag = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-        counts = _attach(base, state, keys, n_state).groupBy(*keys, "qid").agg(
-            F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
-            F.count_if(inside_flag).alias("_inside"),
-            F.approx_count_distinct(F.when(inside_flag, F.col("_v"))).alias("_distinct"))
-        st = state.join(counts, [*keys, "qid"], "left").fillna(0, ["_below", "_inside", "_distinct"])
-        ok = (F.col("_below") <= F.col("_r0")) & (F.col("_r1") < F.col("_below") + F.col("_inside"))
-        st = st.withColumn("_ok", ok).cache()
-        cached.append(st)
-
-        small = st.where(F.col("_ok") & (F.col("_distinct") <= max_exact))
-        resolved.append(_select_exact(base, small, keys, n_state))
-
-        missed = (st.where(~F.col("_ok"))
-                  .withColumn("_lo", F.when(F.col("_below") > F.col("_r0"), F.lit(-_INF)).otherwise(F.col("_lo")))
-                  .withColumn("_hi", F.when(F.col("_r1") >= F.col("_below") + F.col("_inside"), F.lit(_INF))
-                              .otherwise(F.col("_hi")))
-                  .select(*cols))
-        big = st.where(F.col("_ok") & (F.col("_distinct") > max_exact))
-        if st.where(~F.col("_ok") | (F.col("_distinct") > max_exact)).isEmpty():
-            break
-        state = _cut(missed.unionByName(_refine(base, big, keys, accuracy, n_state).select(*cols)), cached)
-    else:
-        raise RuntimeError("exact_quantiles did not converge; raise max_rounds or max_exact")
-
-    out = resolved[0]
-    for r in resolved[1:]:
-        out = out.unionByName(r)
-    return out.select(*user_keys, "q", "value")
-
-
-def _count(df: DataFrame) -> int:
-    return df.count()
-
-
-def _cut(df: DataFrame, cached: list[DataFrame]) -> DataFrame:
-    """Materialise a small bracket table once (cache) and cut its lineage with a
-    reliable checkpoint in the shared checkpoint folder (the cache keeps the
-    checkpoint from recomputing the aggregate behind it)."""
-    df = df.cache()
-    cached.append(df)
-    return df.checkpoint()
-
-
-def exact_median_row(df: DataFrame, columns: Sequence[str], **kw) -> dict[str, float | None]:
+    n_state = state.count()
+    if not n_state:
+        return _released(out.select(*user_keys, "q", "value"), kept)
+
+    inside_flag = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    counts = _attach(base, state, keys, n_state).groupBy(*keys, "qid").agg(
+        F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
+        F.count_if(inside_flag).alias("_inside"),
+        F.approx_count_distinct(F.when(inside_flag, F.col("_v"))).alias("_distinct"))
+    state = state.join(counts, [*keys, "qid"], "left").fillna(0, ["_below", "_inside", "_distinct"])
+    ok = (F.col("_below") <= F.col("_r0")) & (F.col("_r1") < F.col("_below") + F.col("_inside"))
+    state = state.withColumn("_ok", ok).cache()
+    kept.append(state)
+
+    small = F.col("_ok") & (F.col("_distinct") <= max_exact)
+    out = out.unionByName(_select_exact(base, state.where(small), keys, n_state))
+    large = (state.where(~small).withColumn("_lo", F.when(F.col("_ok"), F.col("_lo")).otherwise(F.lit(-_INF)))
+             .withColumn("_hi", F.when(F.col("_ok"), F.col("_hi")).otherwise(F.lit(_INF)))
+             .withColumn("_below", F.when(F.col("_ok"), F.col("_below")).otherwise(F.lit(0))))
+    if not large.isEmpty():
+        out = out.unionByName(_select_ranked(base, large, keys, n_state))
+    return _released(out.select(*user_keys, "q", "value"), kept)
+
+
+def _released(out: DataFrame, kept: list[DataFrame]) -> DataFrame:
+    """The result (a row a key and quantile), written to the shared checkpoint folder, so
+    that the tables it came from need not stay cached."""
+    out = out.checkpoint()
+    for df in kept:
+        df.unpersist()
+    return out
+
+
+def exact_median_row(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     """Exact median of each column (one small driver-side dict, one entry per column)."""
     if not columns:
         return {}
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns
     ])).alias("_s")).select("_s.column", "_s.v")
-    rows = exact_quantiles(long, "v", [0.5], keys=["column"], **kw).collect()
+    rows = exact_quantiles(long, "v", [0.5], keys=["column"]).collect()
     got = {r["column"]: r["value"] for r in rows}
     return {c: got.get(c) for c in columns}
 
@@ -230,18 +178,20 @@ def _select_exact(base: DataFrame, small: DataFrame, keys: list[str], state_rows
     return picked.select(*keys, "q", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_frac")).alias("value"))
 
 
-def _refine(base: DataFrame, big: DataFrame, keys: list[str], accuracy: int, state_rows: int) -> DataFrame:
-    """Narrow each large bracket using a fixed-grid sketch of the rows inside it.
-    The new bracket spans the grid cells around the target plus one cell on each
-    side; the next round verifies it exactly."""
-    inside = (_attach(base, big, keys, state_rows)
-              .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))))
-    grid = F.array(*[F.lit(i / _GRID) for i in range(_GRID + 1)])
-    sk = inside.groupBy(*keys, "qid").agg(F.percentile_approx("_v", grid, accuracy).alias("_sk"))
-    span = F.greatest(F.col("_inside") - 1, F.lit(1))
-    cell_lo = F.floor((F.col("_r0") - F.col("_below")) / span * _GRID).cast("int") - 1
-    cell_hi = F.ceil((F.col("_r1") - F.col("_below")) / span * _GRID).cast("int") + 1
-    return big.join(sk, [*keys, "qid"]).select(
-        *keys, "qid", "q", "_n", "_r0", "_r1", "_frac",
-        F.when(cell_lo <= 0, F.col("_lo")).otherwise(F.element_at("_sk", cell_lo + 1)).alias("_lo"),
-        F.when(cell_hi >= _GRID, F.col("_hi")).otherwise(F.element_at("_sk", cell_hi + 1)).alias("_hi"))
+def _select_ranked(base: DataFrame, large: DataFrame, keys: list[str], state_rows: int) -> DataFrame:
+    """Resolve brackets of any size: their distinct values are range-split, and a
+    value's place in its bracket is its place among all less that of the first."""
+    inside = (_attach(base, large, keys, state_rows)
+              .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+              .groupBy(*keys, "qid", "_v").agg(F.count("*").alias("_c")))
+    placed = rows_before(inside, [F.col(c) for c in (*keys, "qid", "_v")], count_col="_c", name="_at")
+    first = placed.groupBy(*keys, "qid").agg(F.min("_at").alias("_from"))  # one row a bracket
+    meta = large.select(*keys, "qid", "q", "_below", "_r0", "_r1", "_frac").join(first, [*keys, "qid"])
+    if state_rows <= _BROADCAST_BRACKETS:
+        meta = F.broadcast(meta)
+    cum = placed.join(meta, [*keys, "qid"]).withColumn("_loCum", F.col("_below") + F.col("_at") - F.col("_from"))
+    hit0, hit1 = ((F.col("_loCum") <= F.col(r)) & (F.col(r) < F.col("_loCum") + F.col("_c")) for r in ("_r0", "_r1"))
+    picked = cum.where(hit0 | hit1).groupBy(*keys, "qid", "q", "_frac").agg(
+        F.max(F.when(hit0, F.col("_v"))).alias("_v0"),
+        F.max(F.when(hit1, F.col("_v"))).alias("_v1"))
+    return picked.select(*keys, "q", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_frac")).alias("value"))

@@ -6,23 +6,20 @@ Monetary are exact distributed quantiles (five numbers each); scoring is a
 ``when`` chain over literals, so no window ever spans all customers.
 
 The F score is the quartile of ``rank(method='first')`` of Frequency (ties in
-ascending customer_id order).  Instead of a global row_number, the rank edges
-``1 + (n-1)q`` are located among the per-Frequency counts (one small
-aggregate); only the Frequency groups that straddle an edge (at most three)
-need an order inside the group, and each contributes one exact order statistic
-of customer_id.
+ascending customer_id order).  The ranks come from a range-split of the customers and
+prefix counts of the ranges (``functions.ranking``), not from a global window.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopsight.functions.calendar import floor_days, ntz_lit
 from shopsight.functions.quantiles import exact_quantiles
+from shopsight.functions.ranking import rows_before
 from shopsight.session import ensure_checkpoint_dir
 
 QUARTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
@@ -85,104 +82,39 @@ def _edges(df: DataFrame, cols: list[str]) -> dict[str, list[float]]:
     return {c: [got[(c, q)] for q in QUARTILES] for c in cols}
 
 
-def _ids_at(rfm: DataFrame, targets: list[tuple[int, int]]) -> dict[tuple[int, int], object]:
-    """The customer_id at each (Frequency, 0-based rank by customer_id), whatever
-    the type of the ids and the size of the group: the groups are range-split,
-    the ranges counted, and only the range that holds a rank is ordered."""
-    parts = int(rfm.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = rfm.where(F.col("Frequency").isin(*sorted({f for f, _ in targets}))).select("Frequency", "customer_id")
-    ranged = some.repartitionByRange(parts, "Frequency", "customer_id").withColumn("_part", F.spark_partition_id()).checkpoint()
-    sizes = ranged.groupBy("Frequency", "_part").agg(F.count("*").alias("n")).orderBy("Frequency", "_part").collect()
-    places = {}
-    for f, k in targets:
-        left = k
-        for s in (s for s in sizes if s["Frequency"] == f):
-            if left < s["n"]:
-                places[(f, s["_part"], left)] = (f, k)
-                break
-            left -= s["n"]
-    ranges = F.lit(False)
-    wanted = F.lit(False)
-    for f, part, left in places:
-        here = (F.col("Frequency") == F.lit(f)) & (F.col("_part") == F.lit(part))
-        ranges = ranges | here
-        wanted = wanted | (here & (F.col("_rn") == F.lit(left)))
-    w = Window.partitionBy("Frequency", "_part").orderBy("customer_id")
-    picked = ranged.where(ranges).withColumn("_rn", F.row_number().over(w) - 1).where(wanted).collect()
-    return {places[(r["Frequency"], r["_part"], r["_rn"])]: r["customer_id"] for r in picked}
-
-
-def _frequency_score(rfm: DataFrame):
-    """W1 + W3: F score of every customer without a global window."""
-    counts = rfm.groupBy("Frequency").agg(F.count("*").alias("_cnt"))
-    # one row per distinct Frequency value (at most sqrt(2 x rows) of them)
-    w = Window.orderBy("Frequency").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).cache()
-    n = rfm.count()
-    # a rank r is in bucket <= i when r <= 1 + (n-1)q_i, i.e. r <= floor(1 + (n-1)q_i)
-    edges = [int(math.floor(1 + (n - 1) * q)) for q in QUARTILES[1:]]
-    # groups with an edge strictly inside them need an in-group order (at most one group per edge)
-    hit = None
-    for i, e in enumerate(edges, start=1):
-        cond = (F.col("_off") < F.lit(e)) & (F.col("_off") + F.col("_cnt") > F.lit(e))
-        hit = F.when(cond, F.lit(i)) if hit is None else hit.when(cond, F.lit(i))
-    rows = offsets.where(hit.isNotNull()).collect()
-    targets = []
-    for r in rows:
-        for i, e in enumerate(edges, start=1):
-            if r["_off"] < e < r["_off"] + r["_cnt"]:
-                targets.append((i, r["Frequency"], e - r["_off"] - 1))  # 0-based rank inside the group
-    straddle = []
-    if targets:
-        found = _ids_at(rfm, [(f, k) for _, f, k in targets])
-        straddle = [(i, f, found[(f, k)]) for i, f, k in targets]
-    return offsets, edges, straddle
+def frequency_ranks(customers: DataFrame) -> DataFrame:
+    """``rank`` = 1, 2, 3, ... of every customer by Frequency, ties by customer_id
+    (null ids last).  The customers are range-split and the ranges counted, so no task orders
+    them all and a common Frequency is spread over ranges by its customers."""
+    ranked = rows_before(customers, [F.col("Frequency"), F.col("customer_id").asc_nulls_last()], name="rank")
+    return ranked.withColumn("rank", F.col("rank") + 1)
 
 
 def rfm_scores(df: DataFrame, time_col: str = "ts", today: _dt.datetime | None = None) -> DataFrame:
     """C1 + C2: customer_id, Recency, Frequency, Monetary, R_Score, F_Score,
     M_Score, RFM_Score, Segment, CLV (= Monetary)."""
     ensure_checkpoint_dir(df.sparkSession)
-    # The customer table feeds ~8 small jobs: materialise it once (cache) and
-    # cut its lineage with a reliable checkpoint so a lost executor does not
-    # re-run the fact-table aggregation.  "Today" comes from the customer
-    # table (max of the last purchases), not from another fact-table pass.
-    agg = _customer_aggregate(df, time_col).cache().checkpoint()
+    # The customer table feeds several small jobs: it is written once to the shared
+    # checkpoint folder.  "Today" comes from it (max of the last purchases), not
+    # from another fact-table pass.
+    agg = _customer_aggregate(df, time_col).checkpoint()
     if today is None:
         last = agg.agg(F.max("_last")).first()[0]
         today = None if last is None else last + _dt.timedelta(days=1)
-    if today is None:
+    n = 0 if today is None else _finish_base(agg, today).count()
+    if not n:  # T21: empty input -> empty result with the full schema
         rfm = df.sparkSession.createDataFrame([], "customer_id long, Recency long, Frequency long, Monetary double")
-    else:
-        rfm = _finish_base(agg, today)
-    if rfm.isEmpty():  # T21: empty input -> empty result with the full schema
-        empty = rfm.select("*", *[F.lit(None).cast("string").alias(c) for c in
-                                  ("R_Score", "F_Score", "M_Score", "RFM_Score", "Segment")],
-                           F.col("Monetary").alias("CLV"))
-        return empty
+        return rfm.select("*", *[F.lit(None).cast("string").alias(c) for c in
+                                 ("R_Score", "F_Score", "M_Score", "RFM_Score", "Segment")],
+                          F.col("Monetary").alias("CLV"))
+    rfm = _finish_base(agg, today)
     e = _edges(rfm, ["Recency", "Monetary"])
-    r_edges, m_edges = e["Recency"], e["Monetary"]
-    offsets, f_edges, straddle = _frequency_score(rfm)
-
-    # F score from the group's rank span [off+1, off+cnt] and, for straddling
-    # groups, the customer_id threshold inside the group.
-    lo_rank = F.col("_off") + 1
-    hi_rank = F.col("_off") + F.col("_cnt")
-    f_expr = None
-    for i, e in enumerate(f_edges, start=1):
-        cond = hi_rank <= F.lit(e)
-        for (j, freq, cid) in straddle:
-            if j == i:
-                cond = cond | ((F.col("Frequency") == F.lit(freq)) & (F.col("customer_id") <= F.lit(cid)))
-        f_expr = F.when(cond, F.lit(i)) if f_expr is None else f_expr.when(cond, F.lit(i))
-    f_expr = f_expr.otherwise(F.lit(4))
-
-    from shopsight.sources.joined import sized_broadcast
-    scored = (rfm.join(sized_broadcast(offsets.select("Frequency", "_off", "_cnt")), "Frequency")
-              .select("customer_id", "Recency", "Frequency", "Monetary",
-                      (5 - _bucket(F.col("Recency"), r_edges)).cast("string").alias("R_Score"),
-                      f_expr.cast("string").alias("F_Score"),
-                      _bucket(F.col("Monetary"), m_edges).cast("string").alias("M_Score")))
+    f_edges = [1 + (n - 1) * q for q in QUARTILES]
+    scored = frequency_ranks(rfm).select(
+        "customer_id", "Recency", "Frequency", "Monetary",
+        (5 - _bucket(F.col("Recency"), e["Recency"])).cast("string").alias("R_Score"),
+        _bucket(F.col("rank"), f_edges).cast("string").alias("F_Score"),
+        _bucket(F.col("Monetary"), e["Monetary"]).cast("string").alias("M_Score"))
     scored = scored.withColumn("RFM_Score", F.concat("R_Score", "F_Score", "M_Score"))
     return scored.withColumn("Segment", segment_rule()).withColumn("CLV", F.col("Monetary"))
 

@@ -282,6 +282,14 @@ def _rfm_base(ws):
     return _rfm.rfm_base(ws.clean())
 
 
+@query("frequency_ranks", _RFM_CTE + """
+SELECT customer_id, Frequency, frank AS "rank" FROM (
+  SELECT customer_id, Frequency, ROW_NUMBER() OVER (ORDER BY Frequency, customer_id) AS frank FROM rfm)""")
+def _frequency_ranks(ws):
+    """The rank of every customer by Frequency."""
+    return _rfm.frequency_ranks(_rfm.rfm_base(ws.clean()).select("customer_id", "Frequency"))
+
+
 @query("rfm_scores", _RFM_CTE + f"""
 SELECT customer_id, Recency, Frequency, {r('Monetary')}, R_Score, F_Score, M_Score, RFM_Score, Segment, {r('CLV')}
 FROM segmented""")

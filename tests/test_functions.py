@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from shopsight.functions.calendar import age_band, cohort_index, floor_days
 from shopsight.functions.numeric import sample_kurtosis, sample_skewness
-from shopsight.functions.quantiles import exact_order_statistics, exact_quantiles
+from shopsight.functions.quantiles import exact_quantiles
+from shopsight.functions.ranking import rows_before
 
 
 def test_age_bands_right_closed(spark):
@@ -65,11 +66,38 @@ def test_exact_quantiles_ignore_null_and_nan(spark):
     assert got["value"] == 2.0
 
 
-def test_order_statistics(spark):
-    df = spark.createDataFrame([(i % 2, float(i)) for i in range(101)], "k int, v double")
-    targets = spark.createDataFrame([(0, 0), (0, 10), (1, 49)], "k int, rank long")
-    got = {(r["k"], r["rank"]): r["value"] for r in exact_order_statistics(df, "v", targets, ["k"]).collect()}
-    assert got == {(0, 0): 0.0, (0, 10): 20.0, (1, 49): 99.0}
+@pytest.mark.parametrize("max_exact", [100_000, 3])
+def test_exact_quantiles_of_one_hot_value_and_empty_keys(spark, max_exact):
+    rows = [("a", 2.0)] * 5000 + [("a", float(k)) for k in range(100, 110)] + [("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    hot = [2.0] * 5000 + [float(k) for k in range(100, 110)]
+    got = {(r["k"], r["q"]): r["value"] for r in exact_quantiles(df, "v", [0.5, 0.999], keys=["k"], max_exact=max_exact).collect()}
+    assert got == {("a", 0.5): 2.0, ("a", 0.999): pytest.approx(np.quantile(hot, 0.999))}
+    assert exact_quantiles(df.where("false"), "v", [0.5], keys=["k"]).count() == 0
+
+
+def test_quantiles_that_a_sketch_misses(spark):
+    """With a coarse sketch, whole keys are ranked and the result stays exact."""
+    vals = np.random.default_rng(3).normal(size=4000)
+    df = spark.createDataFrame(pd.DataFrame({"v": vals})).repartition(8)
+    probs = [0.01, 0.37, 0.5, 0.93]
+    got = {r["q"]: r["value"] for r in exact_quantiles(df, "v", probs, accuracy=400, max_exact=10).collect()}
+    assert got == {q: pytest.approx(np.quantile(vals, q), abs=1e-12) for q in probs}
+
+
+def test_rows_before_counts_every_row_once(spark):
+    rows = [(k % 7, k, 1 + k % 3) for k in range(500)]
+    df = spark.createDataFrame(rows, "a int, _at int, n int").repartition(6)
+    want = {(a, b): i for i, (a, b, _) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])))}
+    got = rows_before(df, [F.col("a").desc(), F.col("_at")], parts=5)
+    assert got.columns == ["a", "_at", "n", "before"]
+    assert {(r["a"], r["_at"]): r["before"] for r in got.collect()} == want
+    total, ahead = 0, {}
+    for a, b, n in sorted(rows, key=lambda r: (-r[0], r[1])):
+        ahead[(a, b)] = total
+        total += n
+    got = rows_before(df, [F.col("a").desc(), F.col("_at")], count_col="n", parts=5)
+    assert {(r["a"], r["_at"]): r["before"] for r in got.collect()} == ahead
 
 
 def test_visual_columns(spark):
