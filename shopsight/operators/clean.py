@@ -1,8 +1,8 @@
 """F1-F8: the cleaning pipeline as a fitted transformer.
 
 ``Cleaner.fit`` runs one aggregate (null counts, global minimum timestamp) and
-the distributed exact medians of the numeric columns that have gaps; the result
-is a handful of numbers.  ``CleanModel.transform`` is then a pure projection +
+the distributed exact medians of the numeric columns; the result is a handful of
+numbers.  ``CleanModel.transform`` is then a pure projection +
 filter, so it is lazy, pipelined into whatever query follows, and works on
 streaming DataFrames too.
 """
@@ -36,7 +36,7 @@ def drop_incomplete(df: DataFrame, subset: list[str] | None = None) -> DataFrame
 
 @dataclass
 class CleanModel:
-    medians: dict[str, float]            # numeric columns with gaps -> median fill
+    medians: dict[str, float]            # numeric columns -> median fill
     to_double: list[str]                 # integral columns that had gaps (pandas makes them float)
     strings: list[str]                   # string columns -> 'Unknown'
     launch_fill: object | None           # min(ts) for launch_date gaps
@@ -56,7 +56,7 @@ class CleanModel:
                     src = src.cast("double")
                 fill = F.lit(self.medians[f.name])
                 if f.name not in self.to_double and isinstance(f.dataType, INTEGRAL_TYPES):
-                    fill = fill.cast(f.dataType)
+                    fill = F.round(fill).cast(f.dataType)  # the column had no gap at fit and stays integral
                 out.append(F.coalesce(src, fill).alias(f.name))
             elif f.name in self.strings:
                 out.append(F.coalesce(c, F.lit(UNKNOWN)).alias(f.name))
@@ -89,7 +89,8 @@ class Cleaner:
             aggs.append(F.min(self.time_col).alias("__min_ts"))
         row = df.agg(*aggs).first().asDict() if aggs else {}
         gaps = [c for c in nums if row.get(c, 0) > 0]
-        medians = exact_median_row(replace_infinite(df.select(*gaps), gaps), gaps) if gaps else {}
+        # every column's median is kept: rows seen later may have gaps where these had none
+        medians = exact_median_row(replace_infinite(df.select(*nums), nums), nums)
         medians = {k: v for k, v in medians.items() if v is not None}
         to_double = [c for c in gaps if isinstance(df.schema[c].dataType, INTEGRAL_TYPES)]
         return CleanModel(medians, to_double, strs, row.get("__min_ts"), self.time_col, self.exclude)

@@ -74,3 +74,20 @@ def retention_matrix(df: DataFrame, digits: int | None = 1, time_col: str = "ts"
         return counts.select("signup_month")
     ret = cohort_retention(counts, "first", lowest=values[0])
     return cohort_retention_wide(ret, digits, values)
+
+
+def cohort_sketches(df: DataFrame, time_col: str = "ts", signup_col: str = "signup_date", precision: int = 12) -> DataFrame:
+    """A23, approximate: an HLL sketch of the customers per (signup_month,
+    cohort_index).  Sketches of 2**``precision`` cells can be stored and merged into any
+    roll-up without the customers; the relative standard error is about
+    1.04 / sqrt(2**precision)."""
+    return (df.where(F.col(signup_col).isNotNull() & F.col(time_col).isNotNull())
+            .groupBy(year_month(signup_col).alias("signup_month"), cohort_index(time_col, signup_col).alias("cohort_index"))
+            .agg(F.hll_sketch_agg(F.col("customer_id"), precision).alias("sketch")))
+
+
+def sketched_customers(sketches: DataFrame, *by: str) -> DataFrame:
+    """Estimated distinct customers of stored sketches, merged to the columns ``by``
+    (none: one row for all)."""
+    merged = F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).alias("customers")
+    return sketches.groupBy(*by).agg(merged)

@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopsight.functions.calendar import floor_days, ntz_lit
 from shopsight.functions.quantiles import exact_median_row
+from shopsight.functions.ranking import rows_before
+from shopsight.functions.sized import broadcast_if_small
 from shopsight.operators.clean import UNKNOWN
 
 # Model inputs in the reference's order, and the target.
@@ -24,33 +26,36 @@ def feature_names(df: DataFrame) -> list[str]:
     return [f for f in NUMERIC_FEATURES + DERIVED_FEATURES + CATEGORICAL_FEATURES if f in df.columns]
 
 
-def fit_label_indexer(df: DataFrame, cols: Sequence[str], out_cols: Sequence[str]) -> StringIndexerModel:
-    """Alphabetical label dictionaries for several string columns from ONE
-    exploded distinct (Spark's own alphabetical fit runs a job per column).
-    The dictionaries are bounded by the columns' cardinalities."""
+def value_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """M3's dictionary as a table: ``column, value, code``, where ``code`` is the dense
+    rank 0..k-1 of a column's distinct non-null values in ascending order.  One exploded
+    distinct, then prefix counts over ranges of (column, value), so a column may
+    have any number of values; it is written once to the shared checkpoint folder."""
     pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])).alias("_p")
-    ).select("_p.i", "_p.v").where(F.col("v").isNotNull()).distinct()
-    labels: list[list[str]] = [[] for _ in cols]
-    for r in pairs.collect():
-        labels[r["i"]].append(r["v"])
-    labels = [sorted(x) for x in labels]
-    return StringIndexerModel.from_arrays_of_labels(labels, inputCols=list(cols), outputCols=list(out_cols),
-                                                    handleInvalid="keep")
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("_p")
+    ).select("_p.column", "_p.value").where(F.col("value").isNotNull()).distinct()
+    placed = rows_before(pairs, [F.col("column"), F.col("value")], name="_at")
+    first = placed.groupBy("column").agg(F.min("_at").alias("_from"))  # one row a column
+    return placed.join(F.broadcast(first), "column").select("column", "value", (F.col("_at") - F.col("_from")).alias("code")).checkpoint()
+
+
+def with_codes(df: DataFrame, columns: Sequence[str], codes: DataFrame, suffix: str = "") -> DataFrame:
+    """``df`` with each of ``columns`` replaced by its code (or, with a ``suffix``, the
+    code added under that name).  A value that the dictionary lacks, and a null, get no
+    code.  A column's dictionary is broadcast if its bytes allow, else joined by shuffle;
+    nulls keep out of that shuffle's hot key by AQE's skew splitting."""
+    for c in columns:
+        part = broadcast_if_small(codes.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code")))
+        df = df.join(part, F.col(c).cast("string") == F.col("_value"), "left").drop("_value")
+        df = df.withColumn(c + suffix, F.col("_code")).drop("_code")
+    return df
 
 
 def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """M3: sorted distinct values -> 0..k-1 (``StringIndexer`` alphabetAsc,
-    fitted on all rows).  The nominal metadata is dropped so learners treat
-    the codes as plain numbers, as the reference does (T13)."""
+    """M3: sorted distinct values -> 0..k-1, fitted on all rows.  The codes are plain
+    numbers to learners, as in the reference (T13)."""
     cols = [c for c in columns if c in df.columns]
-    if not cols:
-        return df
-    idx = fit_label_indexer(df, cols, [f"{c}__idx" for c in cols])
-    out = idx.transform(df)
-    for c in cols:
-        out = out.withColumn(c, F.col(f"{c}__idx").cast("long").alias(c, metadata={})).drop(f"{c}__idx")
-    return out
+    return with_codes(df, cols, value_codes(df, cols)) if cols else df
 
 
 def label_encoded_features(df: DataFrame, time_col: str = "ts") -> DataFrame:
@@ -103,16 +108,20 @@ def validate_features(df: DataFrame, feats: Sequence[str], min_rows: int = 100)
 
 
 def one_hot_features(df: DataFrame, columns: Sequence[str] = ("country", "loyalty_tier", "category")) -> DataFrame:
-    """One-hot vectors (all levels kept) for ``columns``."""
+    """One-hot vectors (all levels kept, by ascending value; a null has no level)
+    for ``columns``, as sparse ML vectors ``<column>_onehot``."""
     cols = [c for c in columns if c in df.columns]
-    idx = fit_label_indexer(df, cols, [f"{c}_idx" for c in cols])
-    enc = OneHotEncoder(inputCols=[f"{c}_idx" for c in cols], outputCols=[f"{c}_onehot" for c in cols],
-                        dropLast=False, handleInvalid="keep")
-    out = idx.transform(df)
-    for c in cols:  # sizes come from the data, not from indexer metadata
-        out = out.withColumn(f"{c}_idx", F.col(f"{c}_idx").alias(f"{c}_idx", metadata={}))
-    out = enc.fit(out).transform(out)
-    return out.drop(*[f"{c}_idx" for c in cols])
+    if not cols:
+        return df
+    codes = value_codes(df, cols)
+    sizes = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count("*").alias("n")).collect()}  # one row a column
+    out = with_codes(df, cols, codes, "_idx")
+    for c in cols:
+        size = max(sizes.get(c, 0), 1)
+        slot = F.coalesce(F.col(f"{c}_idx"), F.lit(size)).cast("int")
+        out = out.withColumn(f"{c}_idx", slot.alias(f"{c}_idx", metadata={"ml_attr": {"type": "nominal", "num_vals": int(size) + 1}}))
+    enc = OneHotEncoder(inputCols=[f"{c}_idx" for c in cols], outputCols=[f"{c}_onehot" for c in cols], dropLast=True)
+    return enc.fit(out).transform(out).drop(*[f"{c}_idx" for c in cols])
 
 
 def scale_features(df: DataFrame, feats: Sequence[str], fit_on: DataFrame | None = None,
@@ -173,3 +182,24 @@ def churn_labels(features: DataFrame, horizon_days: int = 90) -> DataFrame:
     """D13 (horizon is ours): churned = 1 when the last purchase is more than
     ``horizon_days`` before the reference day."""
     return features.withColumn("churned", (F.col("days_since_last_purchase") > horizon_days).cast("int"))
+
+
+def repurchases(df: DataFrame, time_col: str = "ts", horizon_days: int = 90, today: _dt.datetime | None = None) -> DataFrame:
+    """D13 per purchase: transaction_id, customer_id, ``ts``, the customer's next purchase
+    time (by time, then transaction_id) and ``repurchased``: 1 if it comes within
+    ``horizon_days`` whole days, 0 if it does not, null where the reference day (latest
+    time + 1 day) is too near to tell.  Purchases without a customer or a time are left out.
+
+    ``lead`` over a customer would order a heavy customer in one task; here all purchases
+    get row numbers by (customer, time, id) from range prefix counts, and each is joined
+    with the next number, so a heavy customer is spread over ranges and tasks."""
+    rows = df.where(F.col("customer_id").isNotNull() & F.col(time_col).isNotNull()).select("transaction_id", "customer_id", F.col(time_col).alias("ts"))
+    if today is None:
+        last = rows.agg(F.max("ts")).first()[0]
+        today = None if last is None else last + _dt.timedelta(days=1)
+    placed = rows_before(rows, [F.col("customer_id"), F.col("ts"), F.col("transaction_id")], name="_at")
+    after = placed.select((F.col("_at") - 1).alias("_at"), F.col("customer_id").alias("_who"), F.col("ts").alias("next_ts"))
+    both = placed.join(after, "_at", "left").withColumn("next_ts", F.when(F.col("_who") == F.col("customer_id"), F.col("next_ts")))
+    days, left = floor_days(F.col("next_ts"), F.col("ts")), floor_days(ntz_lit(today), F.col("ts"))
+    flag = F.when(days <= horizon_days, 1).when(days.isNotNull() | (left > horizon_days), 0)
+    return both.select("transaction_id", "customer_id", "ts", "next_ts", flag.alias("repurchased"))

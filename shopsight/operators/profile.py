@@ -270,3 +270,20 @@ def high_correlation_pairs(df: DataFrame, threshold: float = 0.7, columns: Seque
             .where((F.col("pi") < F.col("pj")) & (F.abs("corr") > threshold))
             .select(F.col("row").alias("feature_a"), F.col("col").alias("feature_b"), "corr")
             .orderBy(F.desc(F.abs("corr")), "feature_a", "feature_b"))
+
+
+def drop_correlated(df: DataFrame, threshold: float = 0.7, columns: Sequence[str] | None = None) -> DataFrame:
+    """Which of the numeric columns to keep.  The columns are taken in order; one
+    whose |r| with a column kept before it exceeds ``threshold`` is dropped for the
+    strongest such column.  One row a column: column, kept, dropped_for, corr.  The
+    choice itself runs over the k x k correlations, not over rows."""
+    cols = list(columns) if columns is not None else numeric_columns(df)
+    r = {(x["row"], x["col"]): x["corr"] for x in correlation_matrix(df, cols, complete_rows=False).collect()}
+    kept, rows = [], []
+    for c in cols:
+        near = [(abs(r[(k, c)]), k) for k in kept if r[(k, c)] is not None and abs(r[(k, c)]) > threshold]
+        best = max(near, key=lambda x: x[0])[1] if near else None
+        if best is None:
+            kept.append(c)
+        rows.append((c, best is None, best, None if best is None else float(r[(best, c)])))
+    return df.sparkSession.createDataFrame(rows, "column string, kept boolean, dropped_for string, corr double")

@@ -166,13 +166,11 @@ def refunds_by_category(df: DataFrame, flag: str = "is_refunded") -> DataFrame:
 def campaign_summary(df: DataFrame, campaigns: DataFrame | None = None, key: str = "campaign_id",
                      flag: str = "is_refunded") -> DataFrame:
     """Revenue, orders, refunds and customers per campaign.  When a
-    ``campaigns`` table is given its attributes are left-joined (broadcast only
-    behind a row-count check)."""
+    ``campaigns`` table is given its attributes are left-joined."""
     out = df.groupBy(key).agg(
         _sum0(REVENUE, "revenue"), F.count("*").alias("orders"),
         F.coalesce(F.sum(F.col(flag).cast("long")), F.lit(0)).alias("refunds"),
         F.countDistinct("customer_id").alias("customers"))
     if campaigns is not None:
-        from shopsight.sources.joined import sized_broadcast
-        out = out.join(sized_broadcast(campaigns), key, "left")
+        out = out.join(campaigns, key, "left")
     return out.orderBy(key)

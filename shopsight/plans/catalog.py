@@ -340,6 +340,15 @@ def _cohort_retention_long(ws):
     return _cohort.cohort_retention(_cohort.cohort_counts(ws.clean()))
 
 
+@query("cohort_customers_approx")
+def _cohort_customers_approx(ws):
+    """A23, approximate: customers per cohort and index from stored HLL sketches, and
+    the roll-up of each cohort (index null)."""
+    sketches = _cohort.cohort_sketches(ws.clean()).checkpoint()
+    return _cohort.sketched_customers(sketches, "signup_month", "cohort_index").unionByName(
+        _cohort.sketched_customers(sketches, "signup_month"), allowMissingColumns=True)
+
+
 @query("cohort_retention_wide")
 def _cohort_retention_wide(ws):
     """C5 (wide pivot, retention rounded to 1 digit half-even)."""
@@ -625,14 +634,14 @@ _ENC_CTE = f"""
 @query("label_encoded_features", _ENC_CTE + f"SELECT {', '.join(r(f) for f in _FEATS + ['gross_revenue'])} FROM enc")
 def _label_encoded_features(ws):
     """M1-M8: 13 model features (reference order) and the target."""
-    return _features.label_encoded_features(ws.clean())
+    return ws.model_table().drop("split")
 
 
 @query("train_validation_split", _ENC_CTE + f"""
 SELECT {', '.join(r(f) for f in _FEATS + ['gross_revenue'])}, split FROM split""")
 def _train_validation_split(ws):
     """80/20 split by seeded row hash."""
-    return _sampling.train_validation_split(_features.label_encoded_features(ws.clean()), 20, 42)
+    return ws.model_table()
 
 
 _SCALE_STATS = ", ".join(f"AVG({f}) AS m_{f}, STDDEV_POP({f}) AS s_{f}" for f in _FEATS)
@@ -645,12 +654,71 @@ SELECT {', '.join(r(f"({f} - m_{f}) / CASE WHEN s_{f} = 0 THEN 1 ELSE s_{f} END"
 FROM split CROSS JOIN st""", digits=6)
 def _scaled_features(ws):
     """Standardised with train-split mean and population std."""
-    d = _sampling.train_validation_split(_features.label_encoded_features(ws.clean()), 20, 42)
+    d = ws.model_table()
     out = _features.scale_features(d, _FEATS, fit_on=d.where(F.col("split") == "train"))
     return out.withColumn("gross_revenue", F.round("gross_revenue", 4))
 
 
-@query("one_hot_features")
+@query("min_max_features", _ENC_CTE + f"""
+, st AS (SELECT {', '.join(f"MIN({f}) AS lo_{f}, MAX({f}) AS hi_{f}" for f in _FEATS)} FROM split WHERE split = 'train')
+SELECT {', '.join(r(f"({f} - lo_{f}) / CASE WHEN hi_{f} = lo_{f} THEN 1 ELSE hi_{f} - lo_{f} END", 6, f) for f in _FEATS)},
+       {r('gross_revenue')}, split
+FROM split CROSS JOIN st""", digits=6)
+def _min_max_features(ws):
+    """Scaled to the train split's range."""
+    d = ws.model_table()
+    out = _features.scale_features(d, _FEATS, fit_on=d.where(F.col("split") == "train"), method="minmax")
+    return out.withColumn("gross_revenue", F.round("gross_revenue", 4))
+
+
+@query("repurchases", f"""
+, nx AS (SELECT transaction_id, customer_id, ts, LEAD(ts) OVER (PARTITION BY customer_id ORDER BY ts, transaction_id) AS next_ts
+         FROM clean WHERE customer_id IS NOT NULL AND ts IS NOT NULL)
+, dd AS (SELECT *, {_DAYS.format(a="next_ts", b="ts")} AS days,
+                {_DAYS.format(a="(SELECT MAX(ts) FROM clean) + INTERVAL 1 DAY", b="ts")} AS remaining FROM nx)
+SELECT transaction_id, customer_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, strftime(next_ts, '%Y-%m-%d %H:%M:%S') AS next_ts,
+       CAST(CASE WHEN days <= 90 THEN 1 WHEN days IS NOT NULL OR remaining > 90 THEN 0 END AS INTEGER) AS repurchased FROM dd""")
+def _repurchases(ws):
+    """Each purchase with the customer's next one."""
+    return _features.repurchases(ws.clean())
+
+
+@query("date_parts", """
+SELECT transaction_id, CAST(year(ts) AS INTEGER) AS year, CAST(hour(ts) AS INTEGER) AS hour, CAST(year(launch_date) AS INTEGER) AS launch_year
+FROM clean""")
+def _date_parts(ws):
+    """Year and hour of the purchase, year of the launch."""
+    from shopsight.functions.calendar import visual_columns
+    return visual_columns(ws.clean()).select("transaction_id", *[F.col(c).cast("int").alias(c) for c in ("year", "hour", "launch_year")])
+
+
+_CF_COLUMNS = ["total_purchases", "total_quantity", "avg_basket_size", "total_revenue", "avg_order_value", "days_since_last_purchase"]
+_CF_PAIRS = [(a, b) for b in range(len(_CF_COLUMNS)) for a in range(b)]
+
+
+@query("uncorrelated_features", _CUST_CTE + f"""
+, rs AS (SELECT {', '.join(f'corr({_CF_COLUMNS[a]}, {_CF_COLUMNS[b]}) AS r{a}_{b}' for a, b in _CF_PAIRS)} FROM cf)
+, pr(a, b, r) AS ({' UNION ALL '.join(f'SELECT {a}, {b}, r{a}_{b} FROM rs' for a, b in _CF_PAIRS)})
+, names(i, "column") AS (VALUES {', '.join(f"({i}, '{c}')" for i, c in enumerate(_CF_COLUMNS))})
+, near AS (SELECT i, COALESCE(list(a) FILTER (abs(r) > 0.7), []) AS others FROM names LEFT JOIN pr ON b = i GROUP BY i)
+, picked AS (SELECT * FROM (WITH RECURSIVE g(i, kept) AS (
+    SELECT 0, [0] UNION ALL
+    SELECT near.i, CASE WHEN list_has_any(near.others, g.kept) THEN g.kept ELSE list_append(g.kept, near.i) END FROM g JOIN near ON near.i = g.i + 1)
+  SELECT kept FROM g ORDER BY i DESC LIMIT 1))
+, best AS (SELECT b, arg_max(a, abs(r)) AS a, arg_max(r, abs(r)) AS r FROM pr, picked WHERE list_contains(kept, a) AND NOT list_contains(kept, b) AND abs(r) > 0.7 GROUP BY b)
+SELECT n."column", list_contains(kept, n.i) AS kept, o."column" AS dropped_for, {r('best.r', 6, 'corr')}
+FROM names n CROSS JOIN picked LEFT JOIN best ON best.b = n.i LEFT JOIN names o ON o.i = best.a""", digits=6)
+def _uncorrelated_features(ws):
+    """Which customer features stay when correlated ones go."""
+    return profile.drop_correlated(_features.customer_features(ws.clean()), 0.7, _CF_COLUMNS)
+
+
+@query("one_hot_features", """
+, codes AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS c, {c} AS v, CAST(ROW_NUMBER() OVER (ORDER BY {c}) AS INTEGER) AS k, COUNT(*) OVER () AS n FROM (SELECT DISTINCT {c} FROM clean)"
+                                     for c in ("country", "loyalty_tier", "category")) + """)
+SELECT transaction_id, """ + ", ".join(f"list_transform(range(1, {c}_t.n + 1), lambda x: CASE WHEN x = {c}_t.k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS {c}_onehot"
+                                       for c in ("country", "loyalty_tier", "category")) + """
+FROM clean """ + " ".join(f"JOIN codes {c}_t ON {c}_t.c = '{c}' AND {c}_t.v = clean.{c}" for c in ("country", "loyalty_tier", "category")))
 def _one_hot_features(ws):
     """One-hot vectors of country, loyalty tier and category (as arrays)."""
     from pyspark.ml.functions import vector_to_array
@@ -664,7 +732,7 @@ from shopsight.operators import models as _models  # noqa: E402
 
 
 def _model_data(ws: Workspace) -> DataFrame:
-    return _sampling.train_validation_split(_features.label_encoded_features(ws.clean()), 20, 42)
+    return ws.model_table()
 
 
 def _lr(ws):
@@ -707,6 +775,13 @@ def _q_gbt_imp(ws):
     return _models.feature_importance(_gbt(ws)[0], _features.feature_names(_model_data(ws)), ws.spark)
 
 
+@query("boosting_history", digits=6)
+def _q_gbt_hist(ws):
+    """Train and validation MSE of the boosted trees by number of trees."""
+    d = _model_data(ws)
+    return _models.boosting_history(d, _gbt(ws)[0], _features.feature_names(d))
+
+
 @query("ann_metrics", digits=6)
 def _q_ann(ws):
     """64-32-16-1 ReLU regressor, Adam, 30 epochs, data-parallel gradients."""
@@ -727,19 +802,19 @@ def _q_cmp(ws):
 
 @query("classifier_metrics", digits=6)
 def _q_clf(ws):
-    """Churn MLP (128-64-2), test loss and accuracy."""
+    """Churn network (128-64-1, sigmoid), test loss and accuracy."""
     return _clf(ws)[1]
 
 
 @query("classifier_history", digits=6)
 def _q_clf_hist(ws):
-    """Per-iteration objective of the MLP."""
+    """Loss and accuracy of both splits by epoch."""
     return _clf(ws)[2]
 
 
 @query("confusion_matrix")
 def _q_conf(ws):
-    """Test-set confusion matrix of the churn MLP."""
+    """Test-set confusion matrix of the churn network."""
     return _clf(ws)[3]
 
 

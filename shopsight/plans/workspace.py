@@ -1,66 +1,103 @@
-"""Per-folder workspace: stand-in tables, the joined fact table and the cleaned
-table.  The fitted cleaning statistics (a handful of numbers) are memoised per
-folder and session, like the reference's cached loader, so a sequence of
-reports over one data set fits them once."""
+"""Per-folder workspace: stand-in tables, the joined fact table, the cleaned table and
+the model table, with the numbers and models fitted on them (S4, like the reference's
+cached loader).
+
+Everything kept belongs to one state of the input files: their paths, lengths and times
+are listed whenever a workspace is asked for, and once they differ, tables are released
+and fitted results forgotten.  Tables are persisted (memory and disk) only if the input
+files hold at most ``persist_max_bytes``; larger ones are read again by each report."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shopsight.operators.clean import Cleaner, CleanModel
+from shopsight.session import ensure_checkpoint_dir
 from shopsight.sources.joined import join_facts
-from shopsight.sources.standin import load_tables
+from shopsight.sources.standin import TABLES, load_tables
 
-_CLEAN_CACHE: dict[tuple[str, str], CleanModel] = {}
-_FIT_CACHE: dict[tuple[str, str, str], object] = {}
+PERSIST_MAX_BYTES = 4 << 30
+_WS_CACHE: dict[tuple[str, str], "Workspace"] = {}
 
 
-_WS_CACHE: dict[tuple[str, str], "Workspace"] = {}
+def file_state(spark: SparkSession, paths: list[str]) -> tuple[tuple[str, int, int], ...]:
+    """(path, length, time) of every data file below ``paths``, by Hadoop's listing, so
+    any file system that Spark reads will do.  Names that Spark ignores are left out."""
+    found = []
+    for path in paths:
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+        while files.hasNext():
+            f = files.next()
+            if not f.getPath().getName().startswith(("_", ".")):
+                found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 class Workspace:
-    """Use ``Workspace.of(spark, folder)``: plans (tables, joined and cleaned
-    fact table) are built once per folder and session and reused; they are
-    lazy, so reuse costs nothing until a report runs."""
+    """``Workspace(spark, folder)`` gives the same object while the folder's files stay
+    as they are."""
 
-    def __new__(cls, spark: SparkSession, sf_dir: str):
-        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    def __new__(cls, spark: SparkSession, sf_dir: str, persist_max_bytes: int = PERSIST_MAX_BYTES):
+        folder = sf_dir.rstrip("/")
+        key = (spark.sparkContext.applicationId, folder)
+        state = file_state(spark, [f"{folder}/{t}.parquet" for t in TABLES])
         ws = _WS_CACHE.get(key)
+        if ws is not None and ws.state != state:
+            ws.release()
+            ws = None
         if ws is None:
             ws = super().__new__(cls)
-            ws._init(spark, sf_dir)
+            ws._init(spark, folder, state, persist_max_bytes)
             _WS_CACHE[key] = ws
         return ws
 
-    def _init(self, spark: SparkSession, sf_dir: str):
+    def _init(self, spark: SparkSession, folder: str, state, persist_max_bytes: int):
+        ensure_checkpoint_dir(spark)
         self.spark = spark
-        self.sf_dir = sf_dir.rstrip("/")
-        self.tables = load_tables(spark, self.sf_dir)
-        self._raw = None
-        self._clean = None
+        self.sf_dir = folder
+        self.state = state
+        self.tables = load_tables(spark, folder)
+        self._persists = sum(length for _, length, _ in state) <= persist_max_bytes
+        self._kept: list[DataFrame] = []
+        self._made: dict[str, object] = {}
+
+    def _table(self, name: str, make) -> DataFrame:
+        """A table planned once and persisted where the input is small enough."""
+        def kept():
+            df = make()
+            if self._persists:
+                self._kept.append(df.persist())
+            return df
+        return self.fitted(name, kept)
 
     def raw(self) -> DataFrame:
         """J1+J2: joined, not cleaned."""
-        if self._raw is None:
-            t = self.tables
-            self._raw = join_facts(t["transactions"], t["customers"], t["products"])
-        return self._raw
+        t = self.tables
+        return self.fitted("raw", lambda: join_facts(t["transactions"], t["customers"], t["products"]))
 
     def clean_model(self) -> CleanModel:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _CLEAN_CACHE:
-            _CLEAN_CACHE[key] = Cleaner().fit(self.raw())
-        return _CLEAN_CACHE[key]
+        return self.fitted("clean_model", lambda: Cleaner().fit(self.raw()))
 
     def clean(self) -> DataFrame:
         """the cleaned fact table every report reads."""
-        if self._clean is None:
-            self._clean = self.clean_model().transform(self.raw())
-        return self._clean
+        return self._table("clean", lambda: self.clean_model().transform(self.raw()))
+
+    def model_table(self) -> DataFrame:
+        """Encoded features, target and split."""
+        from shopsight.operators.features import label_encoded_features
+        from shopsight.operators.sampling import train_validation_split
+        return self._table("model_table", lambda: train_validation_split(label_encoded_features(self.clean()), 20, 42))
 
     def fitted(self, name: str, make):
-        """Memoise a fitted model (or small result) per folder and session."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _FIT_CACHE:
-            _FIT_CACHE[key] = make()
-        return _FIT_CACHE[key]
+        """Memoise a fitted model, plan or small result for this state of the files."""
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
+
+    def release(self) -> None:
+        """Unpersist the tables and forget what was fitted on them."""
+        for df in self._kept:
+            df.unpersist()
+        self._kept.clear()
+        self._made.clear()

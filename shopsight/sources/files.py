@@ -55,6 +55,23 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: T.Struc
     return raw.select(*[_typed(c, types[c]) if c in types else F.col(f"`{c}`") for c in raw.columns])
 
 
+def read_inferred(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A CSV file of unknown columns: the table with inferred types, and ``rejects``
+    (``record``: the text of each line that does not fit the header).  One pass infers
+    the types; reading keeps every column of a line, so that the same lines are
+    rejected whatever a report selects."""
+    reader = spark.read.option("header", True).option("columnPruning", False)
+    kinds = reader.option("inferSchema", True).csv(path).schema
+    bad = "_rejected"
+    while bad in kinds.fieldNames():
+        bad += "_"
+    raw = reader.option("inferSchema", False).schema(T.StructType([*kinds.fields, T.StructField(bad, T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).csv(path)
+    # Spark refuses to read the rejected text alone; a hash of all columns keeps them in the scan
+    raw = raw.where(F.hash(*[F.col(f"`{c}`") for c in raw.columns]) >= -(1 << 31))
+    fits = F.col(f"`{bad}`").isNull()
+    return raw.where(fits).drop(bad), raw.where(~fits).select(F.col(f"`{bad}`").alias("record"))
+
+
 def _typed(name: str, kind: T.DataType):
     """A text column as ``kind``.  Whole numbers may be written as 7.0, as
     pandas does for a column with gaps."""
@@ -76,7 +93,8 @@ def _lenient_ts(c):
 
 def read_retail_files(spark: SparkSession, folder: str, fmt: str = "csv") -> dict[str, DataFrame]:
     """Read ``transactions``, ``customers``, ``products``, ``campaigns`` and
-    ``events`` from ``folder`` and apply the date parsing rules.  Optional
+    ``events`` from ``folder`` and apply the date parsing rules.  The types of the last
+    two are inferred, and ``campaigns_rejects`` / ``events_rejects`` hold their lines that do not fit.  Optional
     columns missing from a file are simply absent (presence is tested by the
     operators, as the reference does)."""
     ext = "csv" if fmt == "csv" else "parquet"
@@ -94,7 +112,10 @@ def read_retail_files(spark: SparkSession, folder: str, fmt: str = "csv") -> dic
     out = {"transactions": tx, "customers": cu, "products": pr}
     for name in ("campaigns", "events"):
         try:
-            out[name] = read_table(spark, f"{folder}/{name}.{ext}", fmt)
+            if fmt == "csv":
+                out[name], out[f"{name}_rejects"] = read_inferred(spark, f"{folder}/{name}.csv")
+            else:
+                out[name] = read_table(spark, f"{folder}/{name}.{ext}", fmt)
         except AnalysisException as e:  # these two files are optional
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise

@@ -3,22 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Dimension sides up to this many rows are broadcast; above it the join stays a
-# shuffle join and AQE may still switch strategy (or split skewed keys) at run time.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (``limit`` stops the scan),
-    so it stays cheap even when the side turns out to be large."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
 
 def _check_no_collision(left: DataFrame, right: DataFrame, key: str) -> None:
     clash = (set(left.columns) & set(right.columns)) - {key}
@@ -26,18 +10,18 @@ def _check_no_collision(left: DataFrame, right: DataFrame, key: str) -> None:
         raise ValueError(f"column names appear on both join sides: {sorted(clash)}")
 
 
-def join_facts(transactions: DataFrame, customers: DataFrame, products: DataFrame,
-               broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def join_facts(transactions: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
     """``transactions ⟕ customers ⟕ products`` on ``customer_id`` / ``product_id``.
 
-    Left joins keep every transaction; unmatched dimension columns are null.
-    Dimension sides are broadcast only behind a row-count check; otherwise the
-    sort-merge join runs with AQE skew splitting for hot customers.  A null
-    fact key never matches (plain SQL equi-join semantics)."""
+    Left joins keep every transaction; unmatched dimension columns are null.  Nothing
+    is counted or hinted here: Catalyst broadcasts a side whose estimated bytes are
+    below ``spark.sql.autoBroadcastJoinThreshold``, AQE one whose measured bytes are,
+    and else the sort-merge join runs with AQE skew splitting for hot customers.  A
+    null fact key never matches (plain SQL equi-join semantics)."""
     _check_no_collision(transactions, customers, "customer_id")
-    df = transactions.join(sized_broadcast(customers, broadcast_max_rows), "customer_id", "left")
+    df = transactions.join(customers, "customer_id", "left")
     _check_no_collision(df, products, "product_id")
-    df = df.join(sized_broadcast(products, broadcast_max_rows), "product_id", "left")
+    df = df.join(products, "product_id", "left")
     order = transactions.columns + [c for c in customers.columns if c != "customer_id"] + \
         [c for c in products.columns if c != "product_id"]
     return df.select(*order)

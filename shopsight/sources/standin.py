@@ -64,6 +64,10 @@ def standin_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"transactions": transactions, "customers": customers, "products": products}
 
 
+#: The tables that the stand-ins are built from.
+TABLES = ("lineitem", "orders", "customer", "nation", "part")
+
+
 def load_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Tables for a test folder: the stand-ins built from the TPC-H-like tables."""
     return standin_tables(spark, sf_dir)
