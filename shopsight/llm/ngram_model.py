@@ -153,7 +153,8 @@ def _dealt(df: DataFrame, tasks: int) -> DataFrame:
 
 def _level(counts: DataFrame, order: int, top: bool, folder: str, tasks: int) -> DataFrame:
     """Writes the arrays of one order; gives rows for the rest (columns kind, a,
-    b, x0..x3): contexts (0), counts of counts (1), tokens (2), lower n-grams (3)."""
+    b, x0..x3): contexts (0), counts of counts (1), tokens (2), lower n-grams (3),
+    hash ranges with the rows of their array (4)."""
     names = [f"w{k}" for k in range(order)]
     merged = _dealt(counts, tasks).groupBy("part", *names).agg(F.sum("n").alias("n")).sortWithinPartitions("part")
 
@@ -177,6 +178,7 @@ def _level(counts: DataFrame, order: int, top: bool, folder: str, tasks: int) ->
                 yield rows(0, context, None, *sums)
             yield rows(1, np.arange(1, 5), None, np.bincount(np.minimum(n, 5), minlength=6)[1:5].astype(np.int64))
             _save(folder, f"ngram{order}", part, fold(*keys), n)
+            yield rows(4, np.array([part]), None, np.array([len(n)]))
 
     return written(merged.mapInArrow(run, _HEAD))
 
@@ -204,6 +206,7 @@ class Model:
     left: int  # sum of the lowest order's counts
     open: float  # probability that the lowest order leaves
     bits: int  # of a hash, for its range
+    sizes: dict[str, dict[int, int]]  # rows of each range's array that was written
     _maps: dict[tuple[str, int], np.ndarray | None] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -214,8 +217,11 @@ class Model:
         if at not in self._maps:
             while len(self._maps) >= MAPPED:
                 del self._maps[next(iter(self._maps))]
-            path = f"{self.folder}/{name}-{part}.npy"
-            self._maps[at] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            size = self.sizes[name].get(part, 0)
+            found = np.load(f"{self.folder}/{name}-{part}.npy", mmap_mode="r") if size else None  # raises where it cannot be opened
+            if found is not None and found.shape[1] != size:
+                raise ValueError(f"{name}-{part}.npy holds {found.shape[1]} rows instead of {size}")
+            self._maps[at] = found
         return self._maps[at]
 
     def look_up(self, name: str, keys: np.ndarray, columns: int) -> list[np.ndarray]:
@@ -270,13 +276,14 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     bits = max(1, tasks - 1).bit_length() + 1
     folder = _local(spark)
     counts = _count(document_columns(docs, id_col, text_col).select("text"), order, bits)
-    discount, raw, left = {}, None, None
+    discount, raw, left, sizes = {}, None, None, {}
     for n in range(order, 1, -1):
         rest = _level(counts, n, n == order, folder, tasks)
+        sizes[f"ngram{n}"] = {r["a"]: r["x0"] for r in rest.where("kind = 4").select("a", "x0").collect()}  # one row a hash range
         raw = rest.where("kind = 2").groupBy("a").agg(F.sum("x0").alias("count")) if n == order else raw
         discount[n] = discounts({r["a"]: r["n"] for r in rest.where("kind = 1").groupBy("a").agg(F.sum("x0").alias("n")).collect()})
         contexts = rest.where("kind = 0").groupBy("a").agg(*(F.sum(f"x{k}").alias(f"x{k}") for k in range(4)))
-        _write_contexts(contexts, n, discount[n], folder, tasks, bits)
+        sizes[f"context{n}"] = _write_contexts(contexts, n, discount[n], folder, tasks, bits)
         lower_ = rest.where("kind = 3")
         if n == 2:
             left = lower_.groupBy("a").agg(F.sum("x0").alias("left"))
@@ -286,11 +293,11 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     few = [F.sum((F.col("left") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]
     sums = tokens_.agg(F.sum("count").alias("total"), F.count("*").alias("v"), F.sum("left").alias("left"), *few,
                        F.sum((F.col("left") > 2).cast("long")).alias("more")).first()
-    _write_tokens(tokens_, folder, tasks, bits)
+    sizes["token"] = _write_tokens(tokens_, folder, tasks, bits)
     discount[1] = discounts({k: sums[f"n{k}"] or 0 for k in (1, 2, 3, 4)})
     d = discount[1]
     open_ = (d[0] * sums["n1"] + d[1] * sums["n2"] + d[2] * sums["more"]) / sums["left"] if sums["left"] else 1.0
-    return Model(folder, order, discount, sums["total"] or 0, sums["v"], sums["left"] or 0, open_, bits)
+    return Model(folder, order, discount, sums["total"] or 0, sums["v"], sums["left"] or 0, open_, bits, sizes)
 
 
 def _with_parts(df: DataFrame, order: int, bits: int) -> DataFrame:
@@ -306,33 +313,31 @@ def _with_parts(df: DataFrame, order: int, bits: int) -> DataFrame:
     return df.mapInArrow(run, ", ".join(["part int", *(f"{c} bigint" for c in names), "n bigint"]))
 
 
-def _write_contexts(contexts: DataFrame, order: int, taken: tuple[float, float, float], folder: str, tasks: int, bits: int) -> None:
+def _write_contexts(contexts: DataFrame, order: int, taken: tuple[float, float, float], folder: str, tasks: int, bits: int) -> dict[int, int]:
     rest = sum((F.col(f"x{k + 1}") * F.lit(d) for k, d in enumerate(taken)), F.lit(0.0)) / F.col("x0")
     rows = contexts.withColumnRenamed("a", "key").select(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("part"), "key", F.col("x0").cast("double").alias("total"), rest.alias("rest"))
-    _write(rows, f"context{order}", folder, tasks)
+    return _write(rows, f"context{order}", folder, tasks)
 
 
-def _write_tokens(rows: DataFrame, folder: str, tasks: int, bits: int) -> None:
+def _write_tokens(rows: DataFrame, folder: str, tasks: int, bits: int) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = fold(batch.column("a").to_numpy()) if batch.num_rows else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(64 - bits)).astype(np.int32)), pa.array(key.view(np.int64)), batch.column("count"), batch.column("left")],
                                              names=["part", "key", "count", "left"])
 
-    _write(rows.mapInArrow(run, "part int, key bigint, count bigint, left bigint"), "token", folder, tasks)
+    return _write(rows.mapInArrow(run, "part int, key bigint, count bigint, left bigint"), "token", folder, tasks)
 
 
-def _write(rows: DataFrame, name: str, folder: str, tasks: int) -> None:
-    """Sorted arrays of a table, a file for each hash range."""
+def _write(rows: DataFrame, name: str, folder: str, tasks: int) -> dict[int, int]:
+    """Sorted arrays of a table, a file for each hash range; the rows of each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
         for part, found in _parts(batches):
             key = found.pop("key").view(np.uint64)
             _save(folder, name, part, key, *found.values())
-            n += len(key)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(key)], pa.int64())], names=["part", "n"])
 
-    _dealt(rows, tasks).sortWithinPartitions("part").mapInArrow(run, "n bigint").agg(F.sum("n")).first()
+    return {r["part"]: r["n"] for r in _dealt(rows, tasks).sortWithinPartitions("part").mapInArrow(run, "part int, n bigint").collect()}
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

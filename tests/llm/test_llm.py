@@ -1,6 +1,7 @@
 """The training-data operators against plain versions, on a whole small table and
 on a table of edge cases."""
 
+import os
 import struct
 import zlib
 
@@ -79,6 +80,19 @@ def test_ngram_scores_of_edge_cases(edge, empty):
     assert (alone["held_out"], alone["train_tokens"], alone["n_known"], alone["score"]) == (True, 0, 0, 0.0)
 
 
+def test_a_missing_array_of_the_model_raises(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    model = ngram_model.train(docs, order=2)
+    assert sum(model.sizes["token"].values()) == model.vocabulary
+    part = next(iter(model.sizes["ngram2"]))
+    os.remove(f"{model.folder}/ngram2-{part}.npy")
+    with pytest.raises(Exception, match="ngram2"):
+        ngram_model.score(docs, model).collect()
+    model.folder += "-elsewhere"  # as on an executor that does not share the folder
+    with pytest.raises(Exception, match="No such file"):
+        ngram_model.score(docs, model).collect()
+
+
 def test_simhash_groups(spark, rows):
     got = by_id(QUERIES["op3_simhash_groups"](spark, SF_SMALL), "fingerprint", "component_id")
     assert got == {i: w for (i, _), w in zip(rows, brute.groups(rows))}
