@@ -7,9 +7,9 @@ the log loss, each split and leaf held to the monotonic constraints: ``Rule.tren
 -1 means that a larger value never raises the score, +1 that it never lowers it.  A
 forest is one set of numpy node arrays; all rows walk all trees at once.
 
-The fit uses at most ``sample_rows`` labelled documents, those with the least hash of
-their id, so that it has a fixed size; documents of one fold (checksum of the id)
-are never used, so that they can test the result.  All else is computed over all
+The fit uses about ``sample_rows`` labelled documents, chosen by the hash of their id,
+so that it has a fixed size (of rows of one id, the one of least counts); documents of
+one fold (checksum of the id) are never used, so that they can test the result.  All else is computed over all
 documents.
 
 Defined results: a null or empty text has zero counts and fails the base rule; a null
@@ -243,8 +243,10 @@ def train(counts: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label
     """The forest of the labelled rows of ``counts`` (ids of fold 0 left out)."""
     marked = (labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("good")).where("doc_id is not null and good is not null")
               .where(F.pmod(id_crc(F.col("doc_id")), F.lit(folds)) != 0).groupBy("doc_id").agg(F.min("good").alias("good")))
-    rows = counts.join(marked, "doc_id").select(F.xxhash64("doc_id").alias("at"), "doc_id", *COUNTS, "good")
-    rows = rows.orderBy("at", "doc_id", *COUNTS).limit(sample_rows).toPandas()
+    # about sample_rows ids, by the hash of the id alone: no task sends more than its share
+    most = int(min(1.0, sample_rows / max(marked.count(), 1)) * (1 << 30))
+    some = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < most)
+    rows = counts.join(some, "doc_id").groupBy("doc_id", "good").agg(F.min(F.struct(*COUNTS)).alias("c")).select("doc_id", "c.*", "good").toPandas().sort_values("doc_id")
     return fit_forest(features(rows[COUNTS].to_numpy(dtype=np.int64), rules), rows["good"].to_numpy() > 0, [r.trend for r in rules], **trees)
 
 
