@@ -713,12 +713,10 @@ def _uncorrelated_features(ws):
     return profile.drop_correlated(_features.customer_features(ws.clean()), 0.7, _CF_COLUMNS)
 
 
-@query("one_hot_features", """
-, codes AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS c, {c} AS v, CAST(ROW_NUMBER() OVER (ORDER BY {c}) AS INTEGER) AS k, COUNT(*) OVER () AS n FROM (SELECT DISTINCT {c} FROM clean)"
-                                     for c in ("country", "loyalty_tier", "category")) + """)
-SELECT transaction_id, """ + ", ".join(f"list_transform(range(1, {c}_t.n + 1), lambda x: CASE WHEN x = {c}_t.k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS {c}_onehot"
-                                       for c in ("country", "loyalty_tier", "category")) + """
-FROM clean """ + " ".join(f"JOIN codes {c}_t ON {c}_t.c = '{c}' AND {c}_t.v = clean.{c}" for c in ("country", "loyalty_tier", "category")))
+_ONE_HOT = ("country", "loyalty_tier", "category")
+
+
+@query("one_hot_features")
 def _one_hot_features(ws):
     """One-hot vectors of country, loyalty tier and category (as arrays)."""
     from pyspark.ml.functions import vector_to_array
@@ -727,6 +725,17 @@ def _one_hot_features(ws):
                                           for c in ("country", "loyalty_tier", "category")])
 
 
+@query("one_hot_positions", "".join(f", {c}_k AS (SELECT {c} AS {c}_v, CAST(ROW_NUMBER() OVER (ORDER BY {c}) AS INTEGER) AS {c}_position, CAST(COUNT(*) OVER () AS INTEGER) AS {c}_levels "
+                                    f"FROM (SELECT DISTINCT {c} FROM clean))" for c in _ONE_HOT) + """
+SELECT transaction_id, """ + ", ".join(f"{c}_position, {c}_levels" for c in _ONE_HOT) + " FROM clean " + " ".join(f"JOIN {c}_k ON {c} = {c}_v" for c in _ONE_HOT))
+def _one_hot_positions(ws):
+    """Where each one-hot vector has its one (from 1), and its length."""
+    from pyspark.ml.functions import vector_to_array
+    out = _features.one_hot_features(ws.clean(), _ONE_HOT)
+    return out.select("transaction_id", *[x for c in _ONE_HOT for x in (
+        F.array_position(vector_to_array(f"{c}_onehot"), 1.0).cast("int").alias(f"{c}_position"), F.size(vector_to_array(f"{c}_onehot")).alias(f"{c}_levels"))])
+
+
 # ------------------------------------------------------- tiers 6-8: models
 from shopsight.operators import models as _models  # noqa: E402
 
