@@ -1,8 +1,11 @@
 """Packing: cutting-stock column generation over a histogram of piece lengths.
 
 Every document's token ids (with an end id) are cut into full sequences and one
-rest.  The histogram of lengths, rounded up to ``grain`` tokens and so of a
-fixed size, goes to the driver, where a linear program over patterns (how many
+rest.  The exact histogram of lengths, of ``capacity`` rows at most, goes to the
+driver.  Pieces of one length are bundled, so many at a time that a sequence of
+them alone holds most, and bundles are rounded up to ``grain`` tokens: sixteen
+pieces of any length are a whole number of grains, so short texts lose nothing to
+the rounding.  Then a linear program over patterns (how many
 pieces of each length share a sequence) is solved by column generation: duals
 price the lengths, a knapsack by dynamic programming finds the best new pattern,
 until the bound on the optimum is met.  Whole numbers of each pattern are kept
@@ -11,8 +14,9 @@ the documents of each length and deals them to the patterns' places.
 
 Defined results: null text is empty and packs its end id alone; repeated rows
 and null ids are packed like any others; pieces of one length are ranked by a
-hash and then by id, ties in any order; an empty table gives no rows; extra
-columns are ignored.
+hash and then by id, ties in any order; a very long text is encoded whole and has
+as many pieces as it needs; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopsight.functions.sized import BROADCAST_MAX_BYTES
 from shopsight.llm._store import written
 from shopsight.llm._text import document_columns, text_slices
 from shopsight.llm.token_counts import pieces, tokenizer_path
@@ -185,35 +190,62 @@ def solve_patterns(sizes: list[int], counts: list[int], room: int, gap: float =
     return found
 
 
-def pack(parts: DataFrame, capacity: int, *, grain: int = 16, order: tuple[str, ...] = ("doc_id", "start"), sub_buckets: int = 256) -> DataFrame:
+def bundle(length: int, capacity: int, grain: int) -> int:
+    """How many pieces of a length go together: as many as let one sequence of
+    them alone hold most, the fewest of those."""
+    def held(k: int) -> int:
+        return k * (capacity // grain // -(-k * length // grain))
+
+    return max(range(1, min(grain, capacity // length) + 1), key=lambda k: (held(k), -k))
+
+
+def pack(parts: DataFrame, capacity: int, *, grain: int = 16, order: tuple[str, ...] = ("doc_id", "start"), sub_rows: int = 500_000) -> DataFrame:
     """``parts`` (with a ``length`` up to ``capacity``) plus sequence_id and
     offset.  Reads ``parts`` several times: give it a written table.  Ranks come
-    from counts of (length class, sub-bucket), so no length is ranked in one
-    task; the counts are at most classes times ``sub_buckets`` rows."""
+    from counts of (length, sub-bucket); a length has a sub-bucket for each
+    ``sub_rows`` of its pieces, so no length is ranked in one task.  ``capacity``
+    is a multiple of ``grain``."""
+    if capacity % grain:
+        raise ValueError("capacity is a multiple of grain")
     spark = parts.sparkSession
-    size = F.ceil(F.col("length") / grain).cast("int").alias("_class")
-    sub = F.pmod(F.xxhash64(*order, "length"), F.lit(sub_buckets)).cast("int").alias("_sub")
-    ranked = parts.select("*", size, sub)
-    per_class = {r["_class"]: r["n"] for r in ranked.groupBy("_class").agg(F.count("*").alias("n")).collect()}
-    found = solve_patterns(list(per_class), list(per_class.values()), -(-capacity // grain))
-    rows, base, taken = [], 0, dict.fromkeys(per_class, 0)
+    per_length = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    demand: dict[int, int] = {}  # bundles and single pieces of each class
+    lengths = []
+    for length, n in sorted(per_length.items()):
+        k = bundle(length, capacity, grain)
+        row = [length, max(1, -(-n // sub_rows)), k, n // k * k]
+        for size, many in ((-(-k * length // grain), n // k), (-(-length // grain), n % k)):
+            row += [size, demand.get(size, 0)]
+            demand[size] = demand.get(size, 0) + many
+        lengths.append(tuple(row))
+    demand = {c: n for c, n in demand.items() if n}
+    found = solve_patterns(list(demand), list(demand.values()), capacity // grain)
+    rows, base, taken = [], 0, dict.fromkeys(demand, 0)
     for pattern, times in found:
         for c, n in pattern.items():
             rows.append((c, taken[c], taken[c] + n * times, n, base))
             taken[c] += n * times
         base += times
+    # Both tables are of a size fixed by capacity and grain.
+    known = spark.createDataFrame(lengths, "length long, _subs int, _k long, _bundled long, _bundle_class int, _bundle_base long, _single_class int, _single_base long")
     places = spark.createDataFrame(rows, "_class int, _from long, _to long, _each long, _base long")
-    counts = ranked.groupBy("_class", "_sub").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_class").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_class", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_class", "_sub").orderBy(*order)
+    dealt = parts.join(F.broadcast(known), "length")
+    dealt = dealt.withColumn("_sub", F.expr(f"pmod(xxhash64({', '.join(order)}, length), _subs)").cast("int"))
+    counts = dealt.groupBy("length", "_sub").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("length").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("length", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("length", "_sub").orderBy(*order)
     rank = (F.col("_start") + F.row_number().over(within) - 1).alias("_rank")
-    # places and starts are of a size fixed by capacity, grain and sub_buckets
-    dealt = (ranked.join(F.broadcast(starts), ["_class", "_sub"]).select(*parts.columns, "_class", rank).alias("r")
-             .join(F.broadcast(places).alias("p"), F.expr("r._class = p._class AND r._rank >= p._from AND r._rank < p._to"))
-             .select(*(F.col(f"r.{c}") for c in parts.columns), F.expr("p._base + (r._rank - p._from) div p._each").alias("sequence_id")))
+    if 64 * sum(r[1] for r in lengths) <= BROADCAST_MAX_BYTES:  # its rows at most
+        starts = F.broadcast(starts)
+    ranked = dealt.join(starts, ["length", "_sub"]).select(*parts.columns, *known.columns[2:], rank)
+    bundled = F.col("_rank") < F.col("_bundled")
+    items = ranked.select(*parts.columns, F.when(bundled, F.col("_bundle_class")).otherwise(F.col("_single_class")).alias("_class"),
+                          F.when(bundled, F.expr("_bundle_base + _rank div _k")).otherwise(F.expr("_single_base + _rank - _bundled")).alias("_item"))
+    packed = (items.alias("r").join(F.broadcast(places).alias("p"), F.expr("r._class = p._class AND r._item >= p._from AND r._item < p._to"))
+              .select(*(F.col(f"r.{c}") for c in parts.columns), F.expr("p._base + (r._item - p._from) div p._each").alias("sequence_id")))
     ahead = Window.partitionBy("sequence_id").orderBy(F.desc("length"), *order).rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)))
+    return packed.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)))
 
 
 def pack_documents(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, *, id_col: str = "doc_id", text_col: str = "text", grain: int = 16) -> DataFrame:

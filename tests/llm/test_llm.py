@@ -161,6 +161,16 @@ def test_packing_round_trip(spark, rows):
     assert len(sequences) <= -(-sum(map(len, ids.values())) // 2048) + 2
 
 
+@pytest.mark.parametrize("length, most", [(3, 9), (17, 43), (65, 168), (129, 358), (2048, 5000)])
+def test_equal_short_pieces_waste_little(spark, length, most):
+    parts = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.lit(length).cast("long").alias("length"))
+    packed = packing.pack(parts, 2048, sub_rows=300)
+    assert packed.count() == 5000
+    used = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.countDistinct("offset").alias("places"), F.count("*").alias("pieces")).collect()
+    assert len(used) <= most
+    assert all(r["n"] == r["end"] <= 2048 and r["places"] == r["pieces"] for r in used)
+
+
 def test_toxicity_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
