@@ -8,7 +8,8 @@ Equal pieces are settled by their digests.  What is left are buckets with
 different pieces: one piece of each digest is asked for by content, and an
 operator of its own method compares their windows.
 
-A digest and its bucket are two 64-bit hashes; content decides all else.
+Pieces are equal if both their bucket and their digest (XXH3 of the codes, each
+64 bits) are; content decides all else.
 Documents (an id and a text) are dealt to ``places`` by the checksum of both;
 records that belong to a document travel there in packed blocks.  A document
 whose repeated rows outweigh a place is dealt to several, and its records are
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from shopsight.llm._store import written
-from shopsight.llm._text import Spans, buffer, ranges, shards_of, sliding_min, text_slices
+from shopsight.llm._text import Spans, buffer, ranges, sequence_digests, shards_of, sliding_min, text_slices
 
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -77,7 +78,7 @@ def cut_pieces(codes: np.ndarray, first: np.ndarray, plan: Plan) -> dict[str, np
         right = (_LOW - (sliding_min((grams & _HIGH) | (_LOW - place), width) & _LOW)).astype(np.int64)
         twice = left[begin] != right[at[begin + count - 1]]
     row = np.searchsorted(first, start, "right") - 1
-    return dict(row=row, start=start - first[row], count=count, bucket=bucket[begin], digest=spans.hash(start, start + count + window - 1), twice=twice)
+    return dict(row=row, start=start - first[row], count=count, bucket=bucket[begin], digest=sequence_digests(codes, start, start + count + window - 1), twice=twice)
 
 
 #: Packed columns of pieces and of spans, with their types.

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,7 +132,8 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 class Spans:
     """Hashes of any spans of a sequence of 64-bit codes, by prefix sums of a
-    polynomial modulo 2**64."""
+    polynomial modulo 2**64.  Long spans can be built to collide, so these group
+    candidates; ``sequence_digests`` or the content tells what is equal."""
 
     def __init__(self, codes: np.ndarray):
         up, self._down = _power(len(codes) + 1)
@@ -151,18 +153,35 @@ class Spans:
         return mix(value + np.uint64(size * 0xD6E8FEB86659FD93 % (1 << 64)))
 
 
+#: Words beyond so many bytes are hashed one by one.
+_LONG_WORD = 256
+
+
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):  # a bounded number of bytes at a time
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE_BYTES, "right")))
-        base = starts[at]
-        out[at:to] = Spans(BYTE_CODE[data[base:ends[to - 1]]]).hash(starts[at:to] - base, ends[at:to] - base)
-        at = to
+    """A 64-bit hash of each word's bytes: eight at a time, each scrambled with
+    what came before; long words by XXH3."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    who, at = np.flatnonzero(size <= _LONG_WORD), 0
+    while len(who):
+        left = (size[who] - at).astype(np.uint64)
+        keep = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.minimum(left, np.uint64(8)) * np.uint64(8))
+        out[who] = mix(out[who] ^ (eight[starts[who] + at] & keep))
+        who, at = who[left > 8], at + 8
+    for k in np.flatnonzero(size > _LONG_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k]:ends[k]].tobytes())
     return out
 
 
+def sequence_digests(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The XXH3 of the codes of each span."""
+    raw, size = memoryview(np.ascontiguousarray(codes)).cast("B"), codes.itemsize
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(raw[a:b]) for a, b in zip((starts * size).tolist(), (ends * size).tolist())), np.uint64, len(starts))
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours."""
     if len(values) < width:

@@ -141,6 +141,21 @@ def test_hilbert_shards(spark, rows):
         assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
+def test_texts_built_against_polynomial_hashes(spark):
+    turn = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))  # the Thue-Morse word
+    other = turn.translate(str.maketrans("ab", "ba"))
+    words_ = [f"w{k}" for k in range(12)]
+    texts = [" ".join([turn, *words_]), " ".join([other, *words_]), " ".join(turn), " ".join(other), turn, other, " ".join(turn[:100]) + " end"]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(substring_dedup.substring_repeats(df), "n_words", "n_removed", "kept_sha256")
+    assert got == {i: (n, m, brute.sha(" ".join(kept))) for (i, _), (n, m, kept) in zip(rows, brute.word_repeats(rows))}
+    assert got[1][1] == 0
+    some = rows[2:]
+    got = by_id(suffix_dedup.suffix_dedup(spark.createDataFrame(some, df.schema), keep_first=False), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == {i: want for (i, _), want in zip(some, brute.byte_repeats(some))}
+
+
 def test_packing_round_trip(spark, rows):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in rows}
