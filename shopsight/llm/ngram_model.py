@@ -3,17 +3,20 @@
 Words are runs of bytes other than white space, A-Z in lower case; a text ends
 with an end token and starts after a begin token that is never predicted.
 
-Counting runs in Spark, from the highest order down.  N-grams are counted within
-bounded slices of texts, dealt by their hash (so no frequent word, pair or
-context makes a hot task) and summed.  A task that holds a range of hashes writes
-it as sorted arrays, and hands down what lower orders need, summed beforehand:
-the contexts' totals and how many distinct words stand left of each shorter
-n-gram.  N-grams behind the begin token keep their counts, as nothing stands left
-of them.  Discounts follow from the counts of counts of each order.
+Counting runs in Spark.  Words are counted first and numbered by falling count
+within a range of their hashes.  Then n-grams of word numbers are counted, from
+the highest order down, within bounded slices of texts, dealt by the hash of the
+whole n-gram (so no frequent word, pair or context makes a hot task) as sorted,
+compressed blocks, and summed.  A task that holds a range of hashes writes it as
+a sorted array, and hands down blocks of what the next lower order needs, summed
+beforehand: the contexts' totals and how many distinct words stand left of each
+shorter n-gram.  N-grams behind the begin token keep their counts, as nothing
+stands left of them.  Discounts follow from the counts of counts of each order.
 
 The arrays are files in the folder that ``spark.checkpoint.dir`` names, one for
-each hash range; workers map them into memory and look hashes up by binary
-search, so a worker holds the pages it touches only.  That folder has to be a
+each order and hash range; workers map them into memory and look hashes up by
+binary search, so a worker holds the pages it touches only.  Of an n-gram's hash
+the range, the bucket and 40 further bits are kept.  That folder has to be a
 path that driver and executors can open (a mounted file system).  A repeated task
 writes the same files anew and swaps them in whole.
 
@@ -22,14 +25,15 @@ the remainder 0 (held out); without training texts every token has the share of
 one unknown word; unknown words get the share that the lowest order leaves;
 repeated rows count as often as they are there; where counts of counts do not
 give discounts, 0.5, 1 and 1.5 are taken; an empty table gives no rows; extra
-columns are ignored.
+columns are ignored; a very long text is counted and scored whole, within one task.
 """
 
 from __future__ import annotations
 
 import os
+import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 from urllib.parse import unquote, urlparse
@@ -39,15 +43,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopsight.llm._store import shared_dir, written
+from shopsight.llm._store import shared_dir
 from shopsight.llm._text import buffer, document_columns, id_crc, lower, mix, ranges, text_slices, word_codes, words
 
 BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4C2B2AE35)
 #: Bytes of text whose n-grams are counted together before the shuffle.
-COUNT_BYTES = 32 << 20
+COUNT_BYTES = 16 << 20
 #: Files that a worker has mapped at a time.
 MAPPED = 512
-_HEAD = "kind tinyint, a bigint, b bigint, x0 bigint, x1 bigint, x2 bigint, x3 bigint"
 
 
 def fold(*codes: np.ndarray) -> np.ndarray:
@@ -78,109 +81,256 @@ def windows(codes: np.ndarray, begin: np.ndarray, order: int) -> list[np.ndarray
     return [np.where(place[to] >= back, codes[np.maximum(to - back, 0)], np.uint64(0)) for back in range(order - 1, -1, -1)]
 
 
-def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Distinct rows of the keys with the sums of the values."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+def _summed(keys: list[np.ndarray], values: list[np.ndarray], width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct rows of the keys, sorted, with the sums of the values.  A key has
+    ``width`` bits at most, so that several make one number to sort by."""
+    each, by = max(1, 64 // width), []
+    for at in range(0, len(keys), each):
+        one = keys[at]
+        for c in keys[at + 1:at + each]:
+            one = one << np.uint64(width) | c
+        by.append(one)
+    order = np.argsort(by[0], kind="stable") if len(by) == 1 else np.lexsort(by[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for one in by:
+        one = one[order]
+        new[1:] |= one[1:] != one[:-1]
     begin = np.flatnonzero(new)
-    return [k[begin] for k in keys], [np.add.reduceat(v[order], begin) if len(begin) else v[:0] for v in values]
-
-
-def _count(docs: DataFrame, order: int, bits: int) -> DataFrame:
-    names = [f"w{k}" for k in range(order)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            keys = [np.concatenate(k) for k in zip(*(h[0] for h in held))]
-            keys, (n,) = _summed(keys, [np.concatenate([h[1] for h in held])])
-            held.clear()
-            part = (fold(*keys) >> np.uint64(64 - bits)).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(k.view(np.int64)) for k in keys), pa.array(n)], names=["part", *names, "n"])
-
-        for part in text_slices(batches):
-            data, offsets = buffer(part.column("text"))
-            keys = windows(*tokens(data, offsets), order)
-            keys, (n,) = _summed(keys, [np.ones(len(keys[0]), np.int64)])
-            held.append((keys, n))
-            size += len(data)
-            if size >= COUNT_BYTES:
-                yield flush()
-                size = 0
-        if held:
+    return [k[order[begin]] for k in keys], [np.add.reduceat(v[order], begin) if len(begin) else v[:0] for v in values]
+
+
+def squeeze(keys: list[np.ndarray], values: list[np.ndarray]) -> bytes:
+    """Sorted rows as one compressed block: a key becomes its distance to the row
+    before where all keys left of it are the same; then bytes of one weight stand
+    together, and those that are zero throughout are left out."""
+    n, masks, planes = len(keys[0]), [], []
+
+    def put(column: np.ndarray) -> None:
+        raw = np.ascontiguousarray(column, "<u8").view(np.uint8).reshape(n, 8)
+        used = [k for k in range(8) if raw[:, k].any()]
+        masks.append(sum(1 << k for k in used))
+        planes.extend(raw[:, k].tobytes() for k in used)
+
+    same = np.arange(n) > 0
+    for c in keys:
+        before = np.concatenate((np.zeros(1, np.uint64), c[:-1]))[:n]
+        put(np.where(same, c - before, c))
+        same &= c == before
+    for v in values:
+        put(v)
+    raw = struct.pack("<q", n) + bytes(masks) + b"".join(planes)
+    return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def expand(block: bytes, keys: int, values: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The rows that ``squeeze`` packed."""
+    raw = pa.decompress(block[8:], struct.unpack_from("<q", block)[0], codec="zstd", asbytes=True)
+    (n,), at, out = struct.unpack_from("<q", raw), 8 + keys + values, []
+    for mask in raw[8:at]:
+        column = np.zeros((n, 8), np.uint8)
+        for k in range(8):
+            if mask >> k & 1:
+                column[:, k] = np.frombuffer(raw, np.uint8, n, at)
+                at += n
+        out.append(column.view("<u8").ravel())
+    same = np.arange(n) > 0
+    for k, step in enumerate(out[:keys]):
+        total = np.cumsum(step, dtype=np.uint64)
+        head = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
+        out[k] = total - (total - step)[head]
+        same &= step == 0
+    return out[:keys], [v.view(np.int64) for v in out[keys:]]
+
+
+_BLOCK = "part int, level tinyint, block binary"
+
+
+def _rows(parts: list[int], level: int, blocks: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([level] * len(parts), pa.int8()), pa.array(blocks, pa.binary())], names=["part", "level", "block"])
+
+
+def _blocks(keys: list[np.ndarray], values: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """Sorted rows as one block for each range of their hash."""
+    part = (fold(*keys) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    found, cuts = np.unique(part[order], return_index=True)
+    who = np.split(order, cuts[1:]) if len(cuts) else []
+    return _rows(found.tolist(), len(keys), [squeeze([k[w] for k in keys], [v[w] for v in values]) for w in who])
+
+
+def _flushed(batches: Iterator[pa.RecordBatch], grams: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], values: int, width: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Counts of what ``grams`` makes of texts, summed over ``COUNT_BYTES`` of them."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        keys = [np.concatenate(k) for k in zip(*held)]
+        held.clear()
+        keys, (n,) = _summed(keys, [np.ones(len(keys[0]), np.int64)], width)
+        return _blocks(keys, [n] + [np.zeros(len(n), np.int64)] * (values - 1), bits)
+
+    for part in text_slices(batches):
+        data, offsets = buffer(part.column("text"))
+        held.append(grams(*tokens(data, offsets)))
+        size += len(data)
+        if size >= COUNT_BYTES:
             yield flush()
-
-    return docs.mapInArrow(run, ", ".join(["part int", *(f"{c} bigint" for c in names), "n bigint"]))
-
-
-def _save(folder: str, name: str, part: int, key: np.ndarray, *columns: np.ndarray) -> None:
-    """One array of 64-bit rows: the sorted keys, then each column (as double)."""
-    place = np.argsort(key)
+            size = 0
+    if held:
+        yield flush()
+
+
+#: Rows of a bucket of an array, on average.
+_BUCKET = 8
+#: Columns of n-gram blocks and arrays: how often it counts; as a context, the sum
+#: of what follows it and how many words follow with a count of 1, 2 and more.
+_VALUES = 5
+
+
+def _save(folder: str, name: str, part: int, bits: int, key: np.ndarray, values: list[np.ndarray], rank: np.ndarray | None = None) -> None:
+    """One array of sorted hashes in one file.  The file's range and the bucket
+    stand for the first bits of a hash; of the rest, 40 bits are kept (all of a
+    word's, which ``rank`` marks).  The rows of values are numbered by how common
+    they are: one byte each, and a list for the numbers from 255 on."""
+    order = np.argsort(key)
+    key = key[order] << np.uint64(bits)
+    deep = max(0, (len(key) // _BUCKET).bit_length())
+    bucket = key >> np.uint64(64 - deep) if deep else np.zeros(len(key), np.uint64)
+    key = key << np.uint64(deep)
+    low = (key >> np.uint64(24) if rank is None else key) & np.uint64(0xFFFFFFFF)
+    high = key >> np.uint64(56) if rank is None else key >> np.uint64(32)
+    _, seen, code, many = np.unique(fold(*values), return_index=True, return_inverse=True, return_counts=True)
+    common = np.argsort(-many, kind="stable")
+    place = np.empty(len(common), np.int64)
+    place[common] = np.arange(len(common))
+    code = place[code][order]
+    rare = np.flatnonzero(code >= 255)
+    sections = [np.array([deep], np.int64), np.searchsorted(bucket, np.arange((1 << deep) + 1, dtype=np.uint64)).astype(np.uint32), low.astype(np.uint32),
+                high.astype(np.uint8 if rank is None else np.uint32), np.minimum(code, 255).astype(np.uint8), rare.astype(np.uint32), code[rare].astype(np.uint32),
+                np.stack([v[seen][common] for v in values]), np.zeros(0, np.uint32) if rank is None else rank[order].astype(np.uint32)]
     path = Path(folder, f"{name}-{part}.npy")
     made = path.with_name(f".{uuid.uuid4().hex}.npy")
-    np.save(made, np.stack([key[place], *(c[place].astype(np.float64).view(np.uint64) for c in columns)]))
+    sizes = np.array([len(key), *(s.nbytes for s in sections)], np.int64)
+    np.save(made, np.concatenate([np.frombuffer(b.tobytes() + bytes(-b.nbytes % 8), np.uint8) for b in [sizes, *sections]]))
     os.replace(made, path)
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """The rows of each hash range of a task, whose rows come in order of ``part``."""
-    held: list[pa.RecordBatch] = []
+class _Array:
+    """An array file, mapped into memory."""
+
+    def __init__(self, path: str, values: int, words: bool):
+        raw = np.load(path, mmap_mode="r")  # raises where it cannot be opened
+        kinds = [np.int64, np.uint32, np.uint32, np.uint32 if words else np.uint8, np.uint8, np.uint32, np.uint32, np.int64, np.uint32]
+        self.rows, *sizes = raw[:8 * (1 + len(kinds))].view(np.int64).tolist()
+        at, found = 8 * (1 + len(kinds)), []
+        for kind, size in zip(kinds, sizes):
+            found.append(raw[at:at + size].view(kind))
+            at += size + -size % 8
+        deep, self._at, self._low, self._high, self._code, self._rare, self._rare_code, table, self._rank = found
+        self._deep, self._values, self._words = int(deep[0]), table.reshape(values, -1), words
+
+    def find(self, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are there, and their rows."""
+        keys = keys << np.uint64(bits)
+        bucket = (keys >> np.uint64(64 - self._deep)).astype(np.int64) if self._deep else np.zeros(len(keys), np.int64)
+        keys = keys << np.uint64(self._deep)
+        want = keys if self._words else keys >> np.uint64(24)
+        a, b = self._at[bucket].astype(np.int64), self._at[bucket + 1].astype(np.int64)
+        last = b - 1
+
+        def here(at: np.ndarray) -> np.ndarray:
+            return self._high[at].astype(np.uint64) << np.uint64(32) | self._low[at]
+
+        while (open_ := np.flatnonzero(a < b)).size:  # all binary searches at once
+            middle = (a[open_] + b[open_]) // 2
+            less = here(middle) < want[open_]
+            a[open_[less]], b[open_[~less]] = middle[less] + 1, middle[~less]
+        ok = a <= last
+        ok[ok] = here(a[ok]) == want[ok]
+        return ok, a[ok]
+
+    def values(self, at: np.ndarray) -> np.ndarray:
+        code = self._code[at].astype(np.int64)
+        rare = code == 255
+        code[rare] = self._rare_code[np.searchsorted(self._rare, at[rare])]
+        return self._values[:, code]
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        return self._rank[at].astype(np.uint64)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """The levels and blocks of each hash range of a task, whose rows come in
+    order of ``part``."""
+    now, held = None, []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        part = batch.column("part").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if held and held[0].column("part")[0].as_py() != part[a]:
-                yield _columns(held)
+        for part, level, block in zip(*(batch.column(c).to_pylist() for c in ("part", "level", "block"))):
+            if held and part != now:
+                yield now, held
                 held = []
-            held.append(batch.slice(a, b - a))
+            now = part
+            held.append((level, block))
     if held:
-        yield _columns(held)
+        yield now, held
+
+
+def _merged(blocks: list[bytes], keys: int, values: int, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    found = [expand(b, keys, values) for b in blocks]
+    return _summed([np.concatenate(k) for k in zip(*(f[0] for f in found))], [np.concatenate(v) for v in zip(*(f[1] for f in found))], width)
 
 
-def _columns(held: list[pa.RecordBatch]) -> tuple[int, dict[str, np.ndarray]]:
-    table = pa.Table.from_batches(held)
-    return int(table.column("part")[0].as_py()), {c: table.column(c).to_numpy() for c in table.column_names if c != "part"}
+def _dealt(blocks: DataFrame, tasks: int) -> DataFrame:
+    return blocks.repartition(tasks, "part").sortWithinPartitions("part")
 
 
-def _dealt(df: DataFrame, tasks: int) -> DataFrame:
-    return df.repartition(tasks, "part")
+def _vocabulary(docs: DataFrame, folder: str, tasks: int, bits: int) -> list[tuple[int, int, int]]:
+    """Writes the arrays of words, their numbers by falling count within a hash
+    range, and their counts.  Gives the hash ranges with their words and tokens."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _flushed(batches, lambda codes, begin: [codes[codes != BEGIN]], 1, 64, bits)
 
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, blocks in _parts(batches):
+            (word,), (n,) = _merged([b for _, b in blocks], 1, 1, 64)
+            rank = np.empty(len(n), np.int64)
+            rank[np.argsort(-n, kind="stable")] = np.arange(1, len(n) + 1)
+            _save(folder, "token", part, bits, fold(word), [n], rank)
+            yield _rows([part], 0, [np.array([len(n), n.sum()], np.int64).tobytes()])
 
-def _level(counts: DataFrame, order: int, top: bool, folder: str, tasks: int) -> DataFrame:
-    """Writes the arrays of one order; gives rows for the rest (columns kind, a,
-    b, x0..x3): contexts (0), counts of counts (1), tokens (2), lower n-grams (3),
-    hash ranges with the rows of their array (4)."""
-    names = [f"w{k}" for k in range(order)]
-    merged = _dealt(counts, tasks).groupBy("part", *names).agg(F.sum("n").alias("n")).sortWithinPartitions("part")
+    stats = _dealt(docs.mapInArrow(count, _BLOCK), tasks).mapInArrow(save, _BLOCK)
+    return [(r["part"], *np.frombuffer(r["block"], np.int64).tolist()) for r in stats.collect()]  # one row a hash range
 
-    def rows(kind: int, a: np.ndarray, b: np.ndarray | None, *x: np.ndarray) -> pa.RecordBatch:
-        zero = np.zeros(len(a), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a.view(np.int64)), pa.array(zero if b is None else b.view(np.int64)),
-                                           *(pa.array(v) for v in [*x, *[zero] * (4 - len(x))])], names=["kind", "a", "b", "x0", "x1", "x2", "x3"])
 
+def _level(blocks: DataFrame, order: int, folder: str, tasks: int, bits: int, width: int) -> DataFrame:
+    """Writes the arrays of one order.  Gives the blocks of the next lower one, and
+    of each hash range (level 0) the order, rows, sum of counts, and how many have
+    counts of 1 to 4 and of 3 or more; such rows of higher orders go through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in _parts(batches):
-            keys, n = [found[c].view(np.uint64) for c in names], found["n"]
-            if top:
-                (token,), (c,) = _summed([keys[-1]], [n])
-                yield rows(2, token, None, c)
+            if done := [b for level, b in found if level == 0]:
+                yield _rows([part] * len(done), 0, done)
+            mine = [b for level, b in found if level == order]
+            found.clear()
+            if not mine:
+                continue
+            keys, values = _merged(mine, order, _VALUES, width)
+            begun = keys[0] != 0  # or its history is shorter than the order
+            n = values[0]
+            some = n > 0
             if order > 1:
-                short = keys[0] == 0  # its history is shorter than the order
-                (*low,), (c,) = _summed(keys[1:], [np.where(short, n, 1)])
-                yield rows(3, low[0], low[1] if order > 2 else None, c)
-                keys, n = [k[~short] for k in keys], n[~short]
-                (context,), sums = _summed([fold(*keys[:-1])], [n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64)])
-                yield rows(0, context, None, *sums)
-            yield rows(1, np.arange(1, 5), None, np.bincount(np.minimum(n, 5), minlength=6)[1:5].astype(np.int64))
-            _save(folder, f"ngram{order}", part, fold(*keys), n)
-            yield rows(4, np.array([part]), None, np.array([len(n)]))
+                none = np.zeros(int(some.sum()), np.int64)
+                yield _blocks(*_summed([k[some] for k in keys[1:]], [np.where(begun, 1, n)[some], none, none, none, none], width), bits)
+                full = some & begun
+                c = n[full]
+                follow = [c, *((x.astype(np.int64)) for x in (c == 1, c == 2, c > 2))]
+                yield _blocks(*_summed([k[full] for k in keys[:-1]], [np.zeros(len(c), np.int64), *follow], width), bits)
+            keys, values = [k[begun] for k in keys], [v[begun] for v in values]
+            n = values[0]
+            _save(folder, f"ngram{order}", part, bits, fold(*keys), values)
+            few = np.bincount(np.minimum(n, 5), minlength=6)
+            yield _rows([part], 0, [np.array([order, part, len(n), n.sum(), *few[1:5], few[3:].sum()], np.int64).tobytes()])
 
-    return written(merged.mapInArrow(run, _HEAD))
+    return _dealt(blocks, tasks).mapInArrow(run, _BLOCK)
 
 
 def discounts(counts: dict[int, int]) -> tuple[float, float, float]:
@@ -195,67 +345,93 @@ def discounts(counts: dict[int, int]) -> tuple[float, float, float]:
 
 
 @dataclass
-class Model:
-    """Where the arrays are, and the few numbers that are not in them."""
+class Arrays:
+    """Arrays in a folder, one file for each hash range."""
 
     folder: str
-    order: int
-    discount: dict[int, tuple[float, float, float]]
-    total: int  # training tokens
-    vocabulary: int
-    left: int  # sum of the lowest order's counts
-    open: float  # probability that the lowest order leaves
     bits: int  # of a hash, for its range
     sizes: dict[str, dict[int, int]]  # rows of each range's array that was written
-    _maps: dict[tuple[str, int], np.ndarray | None] = field(default_factory=dict, repr=False)
+    _maps: dict[tuple[str, int], _Array | None] = field(default_factory=dict, repr=False, kw_only=True)
 
     def __getstate__(self):
         return {**self.__dict__, "_maps": {}}
 
-    def _mapped(self, name: str, part: int) -> np.ndarray | None:
+    def _mapped(self, name: str, part: int) -> _Array | None:
         at = name, part
         if at not in self._maps:
             while len(self._maps) >= MAPPED:
                 del self._maps[next(iter(self._maps))]
             size = self.sizes[name].get(part, 0)
-            found = np.load(f"{self.folder}/{name}-{part}.npy", mmap_mode="r") if size else None  # raises where it cannot be opened
-            if found is not None and found.shape[1] != size:
-                raise ValueError(f"{name}-{part}.npy holds {found.shape[1]} rows instead of {size}")
+            found = _Array(f"{self.folder}/{name}-{part}.npy", 1 if name == "token" else _VALUES, name == "token") if size else None
+            if found is not None and found.rows != size:
+                raise ValueError(f"{name}-{part}.npy holds {found.rows} rows instead of {size}")
             self._maps[at] = found
         return self._maps[at]
 
-    def look_up(self, name: str, keys: np.ndarray, columns: int) -> list[np.ndarray]:
-        """The columns at each key (0 where there is none)."""
-        once, back = np.unique(keys, return_inverse=True)
-        out = [np.zeros(len(once)) for _ in range(columns)]
-        part = (once >> np.uint64(64 - self.bits)).astype(np.int64)
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(once)])) if len(once) else np.zeros(1, np.int64)
+    def _found(self, name: str, keys: np.ndarray) -> Iterator[tuple[int, _Array, np.ndarray, np.ndarray]]:
+        """Of sorted keys, for each hash range: the array, which keys it has, and where."""
+        part = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(keys)])) if len(keys) else np.zeros(1, np.int64)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             have = self._mapped(name, int(part[a]))
-            if have is None or not have.shape[1]:
-                continue
-            at = np.minimum(np.searchsorted(have[0], once[a:b]), have.shape[1] - 1)
-            ok = have[0][at] == once[a:b]
-            for o, c in zip(out, have[1:]):
-                o[a:b][ok] = c[at[ok]].view(np.float64)
-        return [o[back] for o in out]
+            if have is not None:
+                ok, at = have.find(keys[a:b], self.bits)
+                yield int(part[a]), have, a + np.flatnonzero(ok), at
+
+    def look_up(self, name: str, keys: np.ndarray) -> np.ndarray:
+        """The values at each key, a row for each kind (0 where there is none)."""
+        once, back = np.unique(keys, return_inverse=True)
+        out = np.zeros((_VALUES, len(once)), np.int64)
+        for _, have, who, at in self._found(name, once):
+            out[:, who] = have.values(at)
+        return out[:, back]
+
+    def numbers(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's number (1: the begin token, 2: unknown; the least for common
+        words) and how often it is in the training texts."""
+        once, back = np.unique(fold(codes), return_inverse=True)
+        number, count = np.full(len(once), 2, np.uint64), np.zeros(len(once), np.int64)
+        for part, have, who, at in self._found("token", once):
+            number[who] = have.rank(at) << np.uint64(self.bits) | np.uint64(part)
+            count[who] = have.values(at)[0]
+        return np.where(codes == BEGIN, np.uint64(1), number[back]), count[back]
+
+
+@dataclass
+class Model(Arrays):
+    """The arrays, and the few numbers that are not in them."""
+
+    order: int
+    discount: dict[int, tuple[float, float, float]]
+    total: int  # training tokens
+    vocabulary: int
+    left: int  # sum of the lowest order's counts
+    open: float  # probability that the lowest order leaves
 
     def taken(self, order: int, counts: np.ndarray) -> np.ndarray:
-        return np.array([0.0, *self.discount[order]])[np.minimum(counts, 3).astype(np.int64)]
+        return np.array([0.0, *self.discount[order]])[np.minimum(counts, 3)]
 
     def log10(self, codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each predicted token: its probability's logarithm and how often it
         is in the training texts."""
-        keys = windows(codes, begin, self.order)
-        count, lowest = self.look_up("token", fold(keys[-1]), 2)
-        p = (lowest - self.taken(1, lowest)) / max(self.left, 1) + self.open / (self.vocabulary + 1)
-        for n in range(2, self.order + 1):
+        number, count = self.numbers(codes)
+        keys = windows(number, begin, self.order)
+        p, context = 1 / (self.vocabulary + 1), None
+        for n in range(1, self.order + 1):
             mine = keys[-n:]
-            total, rest = self.look_up(f"context{n}", fold(*mine[:-1]), 2)
-            (seen,) = self.look_up(f"ngram{n}", fold(*mine), 1)
-            known = (total > 0) & (mine[0] != 0)
-            p = np.where(known, (seen - self.taken(n, seen)) / np.maximum(total, 1) + rest * p, p)
-        return np.log10(p), count
+            asked = [fold(*mine)]
+            if n < self.order:  # the next order's context
+                asked.append(fold(*keys[-n - 1:-1]))
+            found = self.look_up(f"ngram{n}", np.concatenate(asked))
+            seen = found[0, :len(mine[0])]
+            if n == 1:
+                p = (seen - self.taken(1, seen)) / max(self.left, 1) + self.open * p
+            else:
+                total = np.maximum(context[0], 1)
+                rest = sum(d * c for d, c in zip(self.discount[n], context[1:])) / total
+                p = np.where((context[0] > 0) & (mine[0] != 0), (seen - self.taken(n, seen)) / total + rest * p, p)
+            context = found[1:, len(mine[0]):]
+        return np.log10(p), np.delete(count, begin[:-1])
 
 
 def _local(spark: SparkSession) -> str:
@@ -275,69 +451,25 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     bits = max(1, tasks - 1).bit_length() + 1
     folder = _local(spark)
-    counts = _count(document_columns(docs, id_col, text_col).select("text"), order, bits)
-    discount, raw, left, sizes = {}, None, None, {}
-    for n in range(order, 1, -1):
-        rest = _level(counts, n, n == order, folder, tasks)
-        sizes[f"ngram{n}"] = {r["a"]: r["x0"] for r in rest.where("kind = 4").select("a", "x0").collect()}  # one row a hash range
-        raw = rest.where("kind = 2").groupBy("a").agg(F.sum("x0").alias("count")) if n == order else raw
-        discount[n] = discounts({r["a"]: r["n"] for r in rest.where("kind = 1").groupBy("a").agg(F.sum("x0").alias("n")).collect()})
-        contexts = rest.where("kind = 0").groupBy("a").agg(*(F.sum(f"x{k}").alias(f"x{k}") for k in range(4)))
-        sizes[f"context{n}"] = _write_contexts(contexts, n, discount[n], folder, tasks, bits)
-        lower_ = rest.where("kind = 3")
-        if n == 2:
-            left = lower_.groupBy("a").agg(F.sum("x0").alias("left"))
-        else:
-            counts = _with_parts(lower_.select(F.col("a").alias("w0"), F.col("b").alias("w1"), F.col("x0").alias("n")), n - 1, bits)
-    tokens_ = written(raw.join(left, "a", "left").select("a", "count", F.coalesce("left", F.lit(0)).alias("left")))
-    few = [F.sum((F.col("left") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    sums = tokens_.agg(F.sum("count").alias("total"), F.count("*").alias("v"), F.sum("left").alias("left"), *few,
-                       F.sum((F.col("left") > 2).cast("long")).alias("more")).first()
-    sizes["token"] = _write_tokens(tokens_, folder, tasks, bits)
-    discount[1] = discounts({k: sums[f"n{k}"] or 0 for k in (1, 2, 3, 4)})
+    texts = document_columns(docs, id_col, text_col).select("text")
+    ranges_ = _vocabulary(texts, folder, tasks, bits)
+    words_ = Arrays(folder, bits, {"token": {part: n for part, n, _ in ranges_}})
+    width = (max((n for _, n, _ in ranges_), default=0) + 1 << bits).bit_length()
+    rows = texts.mapInArrow(lambda batches: _flushed(batches, lambda codes, begin: windows(words_.numbers(codes)[0], begin, order), _VALUES, width, bits), _BLOCK)
+    for n in range(order, 0, -1):
+        rows = _level(rows, n, folder, tasks, bits, width)
+    sizes, sums = dict(words_.sizes), {n: np.zeros(6, np.int64) for n in range(1, order + 1)}
+    for r in rows.collect():  # one row for each order and hash range
+        n, part, many, *more = np.frombuffer(r["block"], np.int64).tolist()
+        sizes.setdefault(f"ngram{n}", {})[part] = many
+        sums[n] += np.array(more)
+    for n in sums:
+        sizes.setdefault(f"ngram{n}", {})
+    discount = {n: discounts(dict(enumerate(s[1:5].tolist(), 1))) for n, s in sums.items()}
+    left, *few, more = sums[1].tolist()
     d = discount[1]
-    open_ = (d[0] * sums["n1"] + d[1] * sums["n2"] + d[2] * sums["more"]) / sums["left"] if sums["left"] else 1.0
-    return Model(folder, order, discount, sums["total"] or 0, sums["v"], sums["left"] or 0, open_, bits, sizes)
-
-
-def _with_parts(df: DataFrame, order: int, bits: int) -> DataFrame:
-    """N-grams with the hash range they belong to."""
-    names = [f"w{k}" for k in range(order)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [batch.column(c).to_numpy().view(np.uint64) for c in names]
-            part = (fold(*keys) >> np.uint64(64 - bits)).astype(np.int32) if batch.num_rows else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), *batch.columns], names=["part", *batch.schema.names])
-
-    return df.mapInArrow(run, ", ".join(["part int", *(f"{c} bigint" for c in names), "n bigint"]))
-
-
-def _write_contexts(contexts: DataFrame, order: int, taken: tuple[float, float, float], folder: str, tasks: int, bits: int) -> dict[int, int]:
-    rest = sum((F.col(f"x{k + 1}") * F.lit(d) for k, d in enumerate(taken)), F.lit(0.0)) / F.col("x0")
-    rows = contexts.withColumnRenamed("a", "key").select(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("part"), "key", F.col("x0").cast("double").alias("total"), rest.alias("rest"))
-    return _write(rows, f"context{order}", folder, tasks)
-
-
-def _write_tokens(rows: DataFrame, folder: str, tasks: int, bits: int) -> dict[int, int]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = fold(batch.column("a").to_numpy()) if batch.num_rows else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(64 - bits)).astype(np.int32)), pa.array(key.view(np.int64)), batch.column("count"), batch.column("left")],
-                                             names=["part", "key", "count", "left"])
-
-    return _write(rows.mapInArrow(run, "part int, key bigint, count bigint, left bigint"), "token", folder, tasks)
-
-
-def _write(rows: DataFrame, name: str, folder: str, tasks: int) -> dict[int, int]:
-    """Sorted arrays of a table, a file for each hash range; the rows of each."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _parts(batches):
-            key = found.pop("key").view(np.uint64)
-            _save(folder, name, part, key, *found.values())
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(key)], pa.int64())], names=["part", "n"])
-
-    return {r["part"]: r["n"] for r in _dealt(rows, tasks).sortWithinPartitions("part").mapInArrow(run, "part int, n bigint").collect()}
+    open_ = (d[0] * few[0] + d[1] * few[1] + d[2] * more) / left if left else 1.0
+    return Model(folder, bits, sizes, order, discount, sum(n for *_, n in ranges_), sum(n for _, n, _ in ranges_), left, open_)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
