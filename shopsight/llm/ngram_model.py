@@ -47,8 +47,11 @@ from shopsight.llm._store import shared_dir
 from shopsight.llm._text import buffer, document_columns, id_crc, lower, mix, ranges, text_slices, word_codes, words
 
 BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4C2B2AE35)
-#: Bytes of text whose n-grams are counted together before the shuffle.
-COUNT_BYTES = 16 << 20
+#: Bytes of text whose words are counted together before the shuffle; of n-grams a
+#: part, as they have more columns.
+COUNT_BYTES = 48 << 20
+#: Training tokens of a range of n-gram hashes, where there are partitions enough.
+RANGE_TOKENS = 1 << 22
 #: Files that a worker has mapped at a time.
 MAPPED = 512
 
@@ -160,7 +163,8 @@ def _blocks(keys: list[np.ndarray], values: list[np.ndarray], bits: int) -> pa.R
 
 
 def _flushed(batches: Iterator[pa.RecordBatch], grams: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], values: int, width: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Counts of what ``grams`` makes of texts, summed over ``COUNT_BYTES`` of them."""
+    """Counts of what ``grams`` makes of texts, summed over ``COUNT_BYTES`` of them
+    divided by the columns that it makes."""
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
@@ -173,7 +177,7 @@ def _flushed(batches: Iterator[pa.RecordBatch], grams: Callable[[np.ndarray, np.
         data, offsets = buffer(part.column("text"))
         held.append(grams(*tokens(data, offsets)))
         size += len(data)
-        if size >= COUNT_BYTES:
+        if size * len(held[0]) >= COUNT_BYTES:
             yield flush()
             size = 0
     if held:
@@ -181,7 +185,7 @@ def _flushed(batches: Iterator[pa.RecordBatch], grams: Callable[[np.ndarray, np.
 
 
 #: Rows of a bucket of an array, on average.
-_BUCKET = 8
+_BUCKET = 16
 #: Columns of n-gram blocks and arrays: how often it counts; as a context, the sum
 #: of what follows it and how many words follow with a count of 1, 2 and more.
 _VALUES = 5
@@ -318,12 +322,14 @@ def _level(blocks: DataFrame, order: int, folder: str, tasks: int, bits: int, wi
             n = values[0]
             some = n > 0
             if order > 1:
-                none = np.zeros(int(some.sum()), np.int64)
-                yield _blocks(*_summed([k[some] for k in keys[1:]], [np.where(begun, 1, n)[some], none, none, none, none], width), bits)
                 full = some & begun
                 c = n[full]
-                follow = [c, *((x.astype(np.int64)) for x in (c == 1, c == 2, c > 2))]
-                yield _blocks(*_summed([k[full] for k in keys[:-1]], [np.zeros(len(c), np.int64), *follow], width), bits)
+                lower_, context = [k[some] for k in keys[1:]], [k[full] for k in keys[:-1]]
+                none = np.zeros(len(lower_[0]), np.int64)
+                follow = [np.concatenate((none, x.astype(np.int64))) for x in (c, c == 1, c == 2, c > 2)]
+                handed = [np.concatenate((np.where(begun, 1, n)[some], np.zeros(len(c), np.int64))), *follow]
+                yield _blocks(*_summed([np.concatenate(k) for k in zip(lower_, context)], handed, width), bits)
+                del lower_, context, follow, handed
             keys, values = [k[begun] for k in keys], [v[begun] for v in values]
             n = values[0]
             _save(folder, f"ngram{order}", part, bits, fold(*keys), values)
@@ -349,7 +355,8 @@ class Arrays:
     """Arrays in a folder, one file for each hash range."""
 
     folder: str
-    bits: int  # of a hash, for its range
+    word_bits: int  # of a word's hash, for its range
+    bits: int  # of an n-gram's
     sizes: dict[str, dict[int, int]]  # rows of each range's array that was written
     _maps: dict[tuple[str, int], _Array | None] = field(default_factory=dict, repr=False, kw_only=True)
 
@@ -368,21 +375,21 @@ class Arrays:
             self._maps[at] = found
         return self._maps[at]
 
-    def _found(self, name: str, keys: np.ndarray) -> Iterator[tuple[int, _Array, np.ndarray, np.ndarray]]:
+    def _found(self, name: str, keys: np.ndarray, bits: int) -> Iterator[tuple[int, _Array, np.ndarray, np.ndarray]]:
         """Of sorted keys, for each hash range: the array, which keys it has, and where."""
-        part = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        part = (keys >> np.uint64(64 - bits)).astype(np.int64)
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(keys)])) if len(keys) else np.zeros(1, np.int64)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             have = self._mapped(name, int(part[a]))
             if have is not None:
-                ok, at = have.find(keys[a:b], self.bits)
+                ok, at = have.find(keys[a:b], bits)
                 yield int(part[a]), have, a + np.flatnonzero(ok), at
 
     def look_up(self, name: str, keys: np.ndarray) -> np.ndarray:
         """The values at each key, a row for each kind (0 where there is none)."""
         once, back = np.unique(keys, return_inverse=True)
         out = np.zeros((_VALUES, len(once)), np.int64)
-        for _, have, who, at in self._found(name, once):
+        for _, have, who, at in self._found(name, once, self.bits):
             out[:, who] = have.values(at)
         return out[:, back]
 
@@ -391,8 +398,8 @@ class Arrays:
         words) and how often it is in the training texts."""
         once, back = np.unique(fold(codes), return_inverse=True)
         number, count = np.full(len(once), 2, np.uint64), np.zeros(len(once), np.int64)
-        for part, have, who, at in self._found("token", once):
-            number[who] = have.rank(at) << np.uint64(self.bits) | np.uint64(part)
+        for part, have, who, at in self._found("token", once, self.word_bits):
+            number[who] = have.rank(at) << np.uint64(self.word_bits) | np.uint64(part)
             count[who] = have.values(at)[0]
         return np.where(codes == BEGIN, np.uint64(1), number[back]), count[back]
 
@@ -417,21 +424,23 @@ class Model(Arrays):
         number, count = self.numbers(codes)
         keys = windows(number, begin, self.order)
         p, context = 1 / (self.vocabulary + 1), None
+        to = np.delete(np.arange(len(codes)), begin[:-1])
         for n in range(1, self.order + 1):
             mine = keys[-n:]
-            asked = [fold(*mine)]
-            if n < self.order:  # the next order's context
-                asked.append(fold(*keys[-n - 1:-1]))
-            found = self.look_up(f"ngram{n}", np.concatenate(asked))
-            seen = found[0, :len(mine[0])]
+            if n == 1:  # the begin token is a context too
+                found = self.look_up("ngram1", fold(number))
+            else:
+                found = np.zeros((_VALUES, len(codes)), np.int64)
+                found[:, to] = self.look_up(f"ngram{n}", fold(*mine))
+            seen = found[0, to]
             if n == 1:
                 p = (seen - self.taken(1, seen)) / max(self.left, 1) + self.open * p
             else:
                 total = np.maximum(context[0], 1)
                 rest = sum(d * c for d, c in zip(self.discount[n], context[1:])) / total
                 p = np.where((context[0] > 0) & (mine[0] != 0), (seen - self.taken(n, seen)) / total + rest * p, p)
-            context = found[1:, len(mine[0]):]
-        return np.log10(p), np.delete(count, begin[:-1])
+            context = found[1:, to - 1]  # of the next order: the n-gram that ends a token earlier
+        return np.log10(p), count[to]
 
 
 def _local(spark: SparkSession) -> str:
@@ -449,12 +458,14 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
         raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    bits = max(1, tasks - 1).bit_length() + 1
+    word_bits = max(1, tasks - 1).bit_length() + 1
     folder = _local(spark)
     texts = document_columns(docs, id_col, text_col).select("text")
-    ranges_ = _vocabulary(texts, folder, tasks, bits)
-    words_ = Arrays(folder, bits, {"token": {part: n for part, n, _ in ranges_}})
-    width = (max((n for _, n, _ in ranges_), default=0) + 1 << bits).bit_length()
+    ranges_ = _vocabulary(texts, folder, tasks, word_bits)
+    total = sum(n for *_, n in ranges_)
+    bits = max(1, min(word_bits, (total // RANGE_TOKENS).bit_length()))
+    words_ = Arrays(folder, word_bits, bits, {"token": {part: n for part, n, _ in ranges_}})
+    width = (max((n for _, n, _ in ranges_), default=0) + 1 << word_bits).bit_length()
     rows = texts.mapInArrow(lambda batches: _flushed(batches, lambda codes, begin: windows(words_.numbers(codes)[0], begin, order), _VALUES, width, bits), _BLOCK)
     for n in range(order, 0, -1):
         rows = _level(rows, n, folder, tasks, bits, width)
@@ -469,7 +480,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     left, *few, more = sums[1].tolist()
     d = discount[1]
     open_ = (d[0] * few[0] + d[1] * few[1] + d[2] * more) / left if left else 1.0
-    return Model(folder, bits, sizes, order, discount, sum(n for *_, n in ranges_), sum(n for _, n, _ in ranges_), left, open_)
+    return Model(folder, word_bits, bits, sizes, order, discount, total, sum(n for _, n, _ in ranges_), left, open_)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
