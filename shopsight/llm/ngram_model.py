@@ -51,7 +51,7 @@ BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4C2B2AE35)
 #: part, as they have more columns.
 COUNT_BYTES = 48 << 20
 #: Training tokens of a range of n-gram hashes, where there are partitions enough.
-RANGE_TOKENS = 1 << 22
+RANGE_TOKENS = 1 << 21
 #: Files that a worker has mapped at a time.
 MAPPED = 512
 
@@ -84,23 +84,55 @@ def windows(codes: np.ndarray, begin: np.ndarray, order: int) -> list[np.ndarray
     return [np.where(place[to] >= back, codes[np.maximum(to - back, 0)], np.uint64(0)) for back in range(order - 1, -1, -1)]
 
 
-def _summed(keys: list[np.ndarray], values: list[np.ndarray], width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Distinct rows of the keys, sorted, with the sums of the values.  A key has
-    ``width`` bits at most, so that several make one number to sort by."""
+def _packed(keys: list[np.ndarray], width: int) -> list[np.ndarray]:
+    """Columns of ``width`` bits at most, as many in one number as there is room for;
+    the numbers sort as the rows do."""
     each, by = max(1, 64 // width), []
     for at in range(0, len(keys), each):
         one = keys[at]
         for c in keys[at + 1:at + each]:
             one = one << np.uint64(width) | c
         by.append(one)
-    order = np.argsort(by[0], kind="stable") if len(by) == 1 else np.lexsort(by[::-1])
-    new = np.zeros(len(order), bool)
+    return by
+
+
+def _unpacked(by: list[np.ndarray], many: int, width: int) -> list[np.ndarray]:
+    """The ``many`` columns that ``_packed`` packed."""
+    each, keys, mask = max(1, 64 // width), [], np.uint64((1 << width) - 1)
+    for at, one in zip(range(0, many, each), by):
+        keys += [one >> np.uint64(width * k) & mask for k in range(min(each, many - at) - 1, -1, -1)]
+    return keys
+
+
+def _runs(by: list[np.ndarray]) -> np.ndarray:
+    """Where each distinct row begins among sorted rows."""
+    new = np.zeros(len(by[0]), bool)
     new[:1] = True
     for one in by:
-        one = one[order]
         new[1:] |= one[1:] != one[:-1]
-    begin = np.flatnonzero(new)
-    return [k[order[begin]] for k in keys], [np.add.reduceat(v[order], begin) if len(begin) else v[:0] for v in values]
+    return np.flatnonzero(new)
+
+
+def _counted(by: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows, sorted, and how often each is there.  Sorts in place."""
+    if len(by) == 1:
+        by[0].sort()
+    else:
+        order = np.lexsort(by[::-1])
+        by = [one[order] for one in by]
+    begin = _runs(by)
+    return [one[begin] for one in by], np.diff(np.append(begin, len(by[0])))
+
+
+def _summed(keys: list[np.ndarray], values: list[np.ndarray], width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct rows of the keys, sorted, with the sums of the values."""
+    by = _packed(keys, width)
+    order = np.argsort(by[0]) if len(by) == 1 else np.lexsort(by[::-1])
+    by = [one[order] for one in by]
+    begin = _runs(by)
+    by = [one[begin] for one in by]
+    sums = [np.add.reduceat(v[order], begin, dtype=np.int64) if len(begin) else np.zeros(0, np.int64) for v in values]
+    return _unpacked(by, len(keys), width), sums
 
 
 def squeeze(keys: list[np.ndarray], values: list[np.ndarray]) -> bytes:
@@ -127,23 +159,24 @@ def squeeze(keys: list[np.ndarray], values: list[np.ndarray]) -> bytes:
 
 
 def expand(block: bytes, keys: int, values: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The rows that ``squeeze`` packed."""
+    """The rows that ``squeeze`` packed; values in the narrowest type that holds them."""
     raw = pa.decompress(block[8:], struct.unpack_from("<q", block)[0], codec="zstd", asbytes=True)
     (n,), at, out = struct.unpack_from("<q", raw), 8 + keys + values, []
-    for mask in raw[8:at]:
-        column = np.zeros((n, 8), np.uint8)
-        for k in range(8):
+    for c, mask in enumerate(raw[8:at]):
+        size = 8 if c < keys else next(k for k in (1, 2, 4, 8) if mask >> k == 0)
+        column = np.zeros((n, size), np.uint8)
+        for k in range(size):
             if mask >> k & 1:
                 column[:, k] = np.frombuffer(raw, np.uint8, n, at)
                 at += n
-        out.append(column.view("<u8").ravel())
+        out.append(column.view(f"<u{size}").ravel())
     same = np.arange(n) > 0
     for k, step in enumerate(out[:keys]):
         total = np.cumsum(step, dtype=np.uint64)
         head = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
         out[k] = total - (total - step)[head]
         same &= step == 0
-    return out[:keys], [v.view(np.int64) for v in out[keys:]]
+    return out[:keys], out[keys:]
 
 
 _BLOCK = "part int, level tinyint, block binary"
@@ -155,29 +188,31 @@ def _rows(parts: list[int], level: int, blocks: list[bytes]) -> pa.RecordBatch:
 
 def _blocks(keys: list[np.ndarray], values: list[np.ndarray], bits: int) -> pa.RecordBatch:
     """Sorted rows as one block for each range of their hash."""
-    part = (fold(*keys) >> np.uint64(64 - bits)).astype(np.int64)
+    part = (fold(*keys) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
     order = np.argsort(part, kind="stable")
-    found, cuts = np.unique(part[order], return_index=True)
-    who = np.split(order, cuts[1:]) if len(cuts) else []
-    return _rows(found.tolist(), len(keys), [squeeze([k[w] for k in keys], [v[w] for v in values]) for w in who])
+    begin = _runs([part[order]])
+    who = np.split(order, begin[1:]) if len(begin) else []
+    return _rows(part[order[begin]].tolist(), len(keys), [squeeze([k[w] for k in keys], [v[w] for v in values]) for w in who])
 
 
 def _flushed(batches: Iterator[pa.RecordBatch], grams: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], values: int, width: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Counts of what ``grams`` makes of texts, summed over ``COUNT_BYTES`` of them
     divided by the columns that it makes."""
-    held, size = [], 0
+    held, size, many = [], 0, 0
 
     def flush() -> pa.RecordBatch:
-        keys = [np.concatenate(k) for k in zip(*held)]
+        by = [np.concatenate(c) for c in zip(*held)]
         held.clear()
-        keys, (n,) = _summed(keys, [np.ones(len(keys[0]), np.int64)], width)
-        return _blocks(keys, [n] + [np.zeros(len(n), np.int64)] * (values - 1), bits)
+        by, n = _counted(by)
+        return _blocks(_unpacked(by, many, width), [n] + [np.broadcast_to(np.int64(0), len(n))] * (values - 1), bits)
 
     for part in text_slices(batches):
         data, offsets = buffer(part.column("text"))
-        held.append(grams(*tokens(data, offsets)))
+        keys = grams(*tokens(data, offsets))
+        many = len(keys)
+        held.append(_packed(keys, width))
         size += len(data)
-        if size * len(held[0]) >= COUNT_BYTES:
+        if size * many >= COUNT_BYTES:
             yield flush()
             size = 0
     if held:
@@ -279,8 +314,15 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[
 
 
 def _merged(blocks: list[bytes], keys: int, values: int, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    found = [expand(b, keys, values) for b in blocks]
-    return _summed([np.concatenate(k) for k in zip(*(f[0] for f in found))], [np.concatenate(v) for v in zip(*(f[1] for f in found))], width)
+    found = [[] for _ in range(keys + values)]
+    for b in blocks:
+        for column, some in zip(found, sum(expand(b, keys, values), [])):
+            column.append(some)
+    blocks.clear()
+    for k, column in enumerate(found):  # one after another, so that the parts go
+        found[k] = np.concatenate(column)
+        column.clear()
+    return _summed(found[:keys], found[keys:], width)
 
 
 def _dealt(blocks: DataFrame, tasks: int) -> DataFrame:
@@ -325,8 +367,8 @@ def _level(blocks: DataFrame, order: int, folder: str, tasks: int, bits: int, wi
                 full = some & begun
                 c = n[full]
                 lower_, context = [k[some] for k in keys[1:]], [k[full] for k in keys[:-1]]
-                none = np.zeros(len(lower_[0]), np.int64)
-                follow = [np.concatenate((none, x.astype(np.int64))) for x in (c, c == 1, c == 2, c > 2)]
+                none = np.zeros(len(lower_[0]), np.uint8)
+                follow = [np.concatenate((none, x)) for x in (c, *(x.astype(np.uint8) for x in (c == 1, c == 2, c > 2)))]
                 handed = [np.concatenate((np.where(begun, 1, n)[some], np.zeros(len(c), np.int64))), *follow]
                 yield _blocks(*_summed([np.concatenate(k) for k in zip(lower_, context)], handed, width), bits)
                 del lower_, context, follow, handed
