@@ -5,13 +5,15 @@ a toxic training document a word is toxic if it, or its beginning, is tied to
 toxic documents beyond chance (likelihood ratio); all other words are clean.  The
 chain has two states; a word's features are itself and its first bytes (word
 endings vary).  Forward-backward gives each word's marginal; a document's score is
-a logistic function of the largest marginal and of their sum, fitted on training
-documents that the chain was not fitted on.  Offending spans are runs of words
-with a marginal of one half or more.
+a logistic function of the largest marginal and of their sum, fitted by cross-fit:
+each training document has the marginals of a chain of the other folds.  Offending
+spans are runs of words with a marginal of one half or more.
 
 The fit uses at most ``toxic_rows`` and ``clean_rows`` labelled training documents
 (those with the least hash of their id, of at most ``row_bytes`` bytes each), so
-that it has a fixed size; class shares are counted over all training labels.
+that it has a fixed size; class shares are counted over all training labels.  The chain
+has the ``keep`` strongest features at most, and is fitted on all stretches of
+``CHAIN`` words that hold one and as many others (the first, 1,000 at least).
 Scoring reads every text whole, in chains of ``CHAIN`` words.
 
 Defined results: null and empty texts get the score of a text without toxic
@@ -24,7 +26,7 @@ an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,27 +69,30 @@ def _forward_backward(emission: np.ndarray, lengths: np.ndarray, start: np.ndarr
     """Marginals of state 1 for padded chains, the expected moves between states
     and the expected first state.  ``emission``: log odds of state 1."""
     n, width = emission.shape
-    weight = np.stack([np.ones_like(emission), np.exp(np.clip(emission, -30, 30))], axis=2)
+    odds = np.exp(np.clip(emission.T, -30, 30))  # a row for each place, a column for each chain
     first, move = np.exp(start), np.exp(step)
-    ahead = np.empty((n, width, 2))
-    state = first * weight[:, 0]
-    ahead[:, 0] = state = state / state.sum(1, keepdims=True)
-    for t in range(1, width):
-        state = (state @ move) * weight[:, t]
-        ahead[:, t] = state = state / state.sum(1, keepdims=True)
-    back = np.ones((n, 2))
-    marginal, moves = np.zeros((n, width)), np.zeros((2, 2))
-    for t in range(width - 1, -1, -1):
-        inside = t < lengths
-        both = ahead[:, t] * back
-        marginal[:, t] = np.where(inside, both[:, 1] / both.sum(1), 0)
+    ahead, back = np.empty((2, width, n)), np.full((2, width, n), 0.5)
+    clean, toxic = np.full(n, first[0]), first[1] * odds[0]
+    for t in range(width):
         if t:
-            seen = weight[:, t] * back
-            pair = ahead[:, t - 1, :, None] * move[None] * seen[:, None, :]
-            moves += (pair / pair.sum((1, 2), keepdims=True))[inside].sum(0)
-            carried = seen @ move.T
-            back = np.where(inside[:, None], carried / carried.sum(1, keepdims=True), 1.0)
-    return marginal, moves, np.array([len(marginal) - marginal[:, 0].sum(), marginal[:, 0].sum()])
+            clean, toxic = clean * move[0, 0] + toxic * move[1, 0], (clean * move[0, 1] + toxic * move[1, 1]) * odds[t]
+        total = clean + toxic
+        ahead[0, t], ahead[1, t] = clean, toxic = clean / total, toxic / total
+    for t in range(width - 1, 0, -1):
+        seen = odds[t] * back[1, t]
+        clean, toxic = move[0, 0] * back[0, t] + move[0, 1] * seen, move[1, 0] * back[0, t] + move[1, 1] * seen
+        total = clean + toxic
+        inside = t < lengths
+        back[0, t - 1], back[1, t - 1] = np.where(inside, clean / total, 0.5), np.where(inside, toxic / total, 0.5)
+    inside = np.arange(width)[:, None] < lengths
+    both = ahead * back
+    marginal = np.where(inside, both[1] / both.sum(0), 0)
+    seen = back[:, 1:].copy()
+    seen[1] *= odds[1:]
+    pair = [ahead[i, :-1] * move[i, j] * seen[j] for i in (0, 1) for j in (0, 1)]
+    total = sum(pair)
+    moves = np.array([(x / total)[inside[1:]].sum() for x in pair]).reshape(2, 2)
+    return marginal.T, moves, np.array([n - marginal[0].sum(), marginal[0].sum()])
 
 
 @dataclass
@@ -144,7 +149,7 @@ class Tagger:
         return 1 / (1 + np.exp(-np.clip(self.score[0] + self.score[1] * largest + self.score[2] * np.log1p(total), -35, 35)))
 
 
-def _associations(features: list[np.ndarray], text: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _associations(features: Iterable[np.ndarray], text: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features that are commoner in toxic documents beyond chance: hash and
     likelihood ratio."""
     a_all, b_all = float(toxic.sum()), float((~toxic).sum())
@@ -177,82 +182,90 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
 
 
-def fit(texts: list[str], toxic: np.ndarray, shares: tuple[float, float], *, rounds: int = 120, keep: int = 20_000) -> Tagger:
-    """A tagger from labelled texts.  ``shares``: how many training labels of each
-    class (clean, toxic) there are in all."""
-    none = Tagger(np.zeros(0, np.uint64), np.zeros(0), -8.0, np.zeros(2), np.zeros((2, 2)), np.zeros(3))
-    total = sum(shares)
-    if not toxic.any() or toxic.all():
-        p = min(max(shares[1] / total if total else 0.0, 1e-9), 1 - 1e-9)
-        none.score = np.array([np.log(p / (1 - p)), 0.0, 0.0])
-        return none
-    parts, counts = [], []
-    for at in range(0, len(texts), 256):  # a bounded buffer at a time
-        data, offsets = _joined(texts[at:at + 256])
-        starts, ends, first = words(data, offsets, NO_LETTER)
-        parts.append(_features(data, starts, ends))
-        counts.append(np.diff(first))
-    first = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
-    text = np.repeat(np.arange(len(texts)), np.diff(first))
-    features = [np.concatenate(x) for x in zip(*parts)]
-    del parts
-    # the others calibrate; few rows have to serve for both
-    fold = (np.arange(len(texts)) % 3 != 0) | (toxic.sum() < 300)
-    mine = fold[text]
-    keys, ratios = _associations([h[mine] for h in features], (np.cumsum(fold) - 1)[text[mine]], toxic[fold])
+def _fit_chain(features: list[np.ndarray], first: np.ndarray, toxic: np.ndarray, use: np.ndarray, rounds: int, keep: int) -> Tagger:
+    """The chain of the texts that ``use`` marks; its document score is open."""
+    tagger = Tagger(np.zeros(0, np.uint64), np.zeros(0), -8.0, np.zeros(2), np.zeros((2, 2)), np.zeros(3))
+    if not toxic[use].any() or toxic[use].all():
+        return tagger
+    text = np.repeat(np.arange(len(toxic)), np.diff(first))
+    mine = np.flatnonzero(use[text])
+    keys, ratios = _associations((h[mine] for h in features), (np.cumsum(use) - 1)[text[mine]], toxic[use])
     if len(keys) > keep:
         keys = np.sort(keys[np.argsort(-ratios)[:keep]])
-    number = []
+    if not len(keys):
+        return tagger
+    # each word's features: the word and the feature's number
+    word, number = [], []
     for h in features:
-        at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0)).astype(np.int32)
-        number.append(np.where(keys[at] == h, at, np.int32(-1)) if len(keys) else np.full(len(h), -1, np.int32))
-    del features
-    label = (np.max(number, axis=0) >= 0) & toxic[text]
+        at = np.minimum(np.searchsorted(keys, h[mine]), len(keys) - 1)
+        same = np.flatnonzero(keys[at] == h[mine])
+        word.append(mine[same])
+        number.append(at[same])
+    word, number = np.concatenate(word), np.concatenate(number)
+    busy_word = np.zeros(len(text), bool)
+    busy_word[word] = True
     begin, length, owner = _chains(first)
-    use = fold[owner]
-    begin, length = begin[use], length[use]
-    busy = np.add.reduceat((np.max(number, axis=0) >= 0), begin) > 0 if len(begin) else np.zeros(0, bool)
-    # all chains with features, and as many plain ones
-    plain = np.flatnonzero(~busy)[:max(1000, int(busy.sum()))]
-    who = np.concatenate((np.flatnonzero(busy), plain))
+    begin, length = begin[use[owner]], length[use[owner]]
+    busy = np.add.reduceat(busy_word.astype(np.int64), begin)
+    # ``begin`` leaves out the chains of other texts, whose words are not marked
+    who = np.concatenate((np.flatnonzero(busy), np.flatnonzero(busy == 0)[:max(1000, int((busy > 0).sum()))]))
     begin, length = begin[who], length[who]
     spot = ranges(begin, length)
     row, place = np.repeat(np.arange(len(begin)), length), ranges(np.zeros(len(begin), np.int64), length)
-    numbers = [x[spot] for x in number]
+    where = np.full(len(text), -1, np.int64)
+    where[spot] = np.arange(len(spot))
+    word = where[word]  # every chain with a feature is among them
     y = np.zeros((len(begin), CHAIN))
-    y[row, place] = label[spot]
+    y[row, place] = (busy_word & toxic[text])[spot]
     inside = np.arange(CHAIN) < length[:, None]
-    seen_moves = np.zeros((2, 2))
-    for i in (0, 1):
-        for j in (0, 1):
-            seen_moves[i, j] = ((y[:, :-1] == i) & (y[:, 1:] == j) & inside[:, 1:]).sum()
+    seen_moves = np.array([[((y[:, :-1] == i) & (y[:, 1:] == j) & inside[:, 1:]).sum() for j in (0, 1)] for i in (0, 1)])
     seen_first = np.array([(y[:, 0] == 0).sum(), (y[:, 0] == 1).sum()], float)
-    theta = np.concatenate((np.zeros(len(keys)), [-2.0], np.zeros(2), np.zeros(4)))
-    m1, m2, k = np.zeros_like(theta), np.zeros_like(theta), len(keys)
+    k = len(keys)
+    theta = np.concatenate((np.zeros(k), [-2.0], np.zeros(2), np.zeros(4)))
+    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     scale = max(1.0, float(length.sum()))
     for r in range(1, rounds + 1):  # Adam on the whole batch
-        e = np.full(len(spot), theta[k])
-        for x in numbers:
-            e += np.where(x >= 0, theta[x], 0.0) if k else 0.0
         padded = np.zeros((len(begin), CHAIN))
-        padded[row, place] = e
+        padded[row, place] = theta[k] + np.bincount(word, theta[number], len(spot))
         p, moves, starts_ = _forward_backward(padded, length, theta[k + 1:k + 3], theta[k + 3:].reshape(2, 2))
         error = (y - p)[row, place]
-        slope = np.zeros_like(theta)
-        for x in numbers:
-            np.add.at(slope, x[x >= 0], error[x >= 0])
-        slope[k] = error.sum()
-        slope[k + 1:k + 3] = seen_first - starts_
-        slope[k + 3:] = (seen_moves - moves).ravel()
+        slope = np.concatenate((np.bincount(number, error[word], k), [error.sum()], seen_first - starts_, (seen_moves - moves).ravel()))
         slope = slope / scale - 1e-6 * theta
         m1, m2 = 0.9 * m1 + 0.1 * slope, 0.99 * m2 + 0.01 * slope**2
         theta += 0.2 * (m1 / (1 - 0.9**r)) / (np.sqrt(m2 / (1 - 0.99**r)) + 1e-9)
-    tagger = Tagger(keys, theta[:k], float(theta[k]), theta[k + 1:k + 3], theta[k + 3:].reshape(2, 2), np.zeros(3))
-    largest, sums = (np.concatenate(x) for x in zip(*(tagger.documents(*_joined(texts[at:at + 256]))[:2] for at in range(0, len(texts), 256))))
-    held = ~fold if (~fold & toxic).any() and (~fold & ~toxic).any() else np.ones(len(texts), bool)
-    x = np.stack([np.ones(held.sum()), largest[held], np.log1p(sums[held])], axis=1)
-    target = toxic[held].astype(float)
-    weight = np.where(target > 0, shares[1] / max(target.sum(), 1), shares[0] / max((1 - target).sum(), 1)) / total
+    return Tagger(keys, theta[:k], float(theta[k]), theta[k + 1:k + 3], theta[k + 3:].reshape(2, 2), np.zeros(3))
+
+
+def fit(texts: list[str], toxic: np.ndarray, shares: tuple[float, float], *, rounds: int = 120, keep: int = 20_000, folds: int = 3) -> Tagger:
+    """A tagger from labelled texts.  ``shares``: how many training labels of each
+    class (clean, toxic) there are in all; ``keep``: features of the chain at most
+    (the strongest).  The document score is fitted on the marginals that each text
+    gets from a chain of the other folds; the chain that is given is of all texts."""
+    total = sum(shares)
+    if not toxic.any() or toxic.all():
+        p = min(max(shares[1] / total if total else 0.0, 1e-9), 1 - 1e-9)
+        return Tagger(np.zeros(0, np.uint64), np.zeros(0), -8.0, np.zeros(2), np.zeros((2, 2)), np.array([np.log(p / (1 - p)), 0.0, 0.0]))
+    parts, counts = [], []
+    for at in range(0, len(texts), 256):  # a bounded buffer at a time
+        data, offsets = _joined(texts[at:at + 256])
+        starts, ends, first = words(data, offsets, NO_LETTER)
+        parts.append(_features(data, starts, ends))
+        counts.append(np.diff(first))
+    first = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+    features = [np.concatenate([p.pop(0) for p in parts]) for _ in _PREFIXES]
+    fold = np.empty(len(texts), np.int64)  # the classes are dealt to the folds evenly
+    for some in (np.flatnonzero(toxic), np.flatnonzero(~toxic)):
+        fold[some] = np.arange(len(some)) % folds
+    largest, sums = np.zeros(len(texts)), np.zeros(len(texts))
+    for k in range(folds):
+        other, own = _fit_chain(features, first, toxic, fold != k, rounds, keep), np.flatnonzero(fold == k)
+        for at in range(0, len(own), 256):
+            some = own[at:at + 256]
+            largest[some], sums[some] = other.documents(*_joined([texts[i] for i in some]))[:2]
+    tagger = _fit_chain(features, first, toxic, np.ones(len(texts), bool), rounds, keep)
+    x = np.stack([np.ones(len(texts)), largest, np.log1p(sums)], axis=1)
+    target = toxic.astype(float)
+    weight = np.where(toxic, shares[1] / toxic.sum(), shares[0] / (~toxic).sum()) / total
     beta = np.zeros(3)
     for _ in range(50):  # Newton's method with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -35, 35)))

@@ -4,6 +4,7 @@ on a table of edge cases."""
 import os
 import struct
 import zlib
+from itertools import pairwise, product
 
 import numpy as np
 import public_tokenizers
@@ -252,6 +253,44 @@ def test_near_dedup_and_passages_of_edge_cases(edge, empty):
     assert simhash.near_dedup(empty).count() == substring_dedup.dedup_passages(empty).count() == 0
 
 
+def test_chain_marginals_equal_a_sum_over_all_paths():
+    rng = np.random.default_rng(3)
+    width, lengths = 6, np.array([1, 2, 5, 6])
+    odds, start, step = rng.normal(0, 2, (4, width)), rng.normal(0, 1, 2), rng.normal(0, 1, (2, 2))
+    marginal, moves, first = toxicity._forward_backward(odds, lengths, start, step)
+    want, want_moves, want_first = np.zeros((4, width)), np.zeros((2, 2)), np.zeros(2)
+    for row, n in enumerate(lengths.tolist()):
+        paths = list(product((0, 1), repeat=n))
+        share = np.array([np.exp(start[x[0]] + sum(odds[row, t] * x[t] for t in range(n)) + sum(step[a, b] for a, b in pairwise(x))) for x in paths])
+        for x, p in zip(paths, share / share.sum()):
+            want[row, :n] += p * np.array(x)
+            want_first[x[0]] += p
+            for a, b in pairwise(x):
+                want_moves[a, b] += p
+    for got, expected in ((marginal, want), (moves, want_moves), (first, want_first)):
+        assert np.allclose(got, expected)
+
+
+@pytest.mark.parametrize("many", [3, 12, 400])
+def test_toxic_score_is_fitted_by_one_rule_at_every_size(many):
+    """Each text's part in the document score comes from a chain that has not seen it:
+    a word of a single toxic text cannot speak for that text."""
+    texts = [f"vile words number{k} here" if k % 3 == 0 else f"kind words number{k} here" for k in range(3 * many)]
+    toxic = np.array([k % 3 == 0 for k in range(3 * many)])
+    seen = []
+    inner = toxicity._fit_chain
+    toxicity._fit_chain = lambda features, first, toxic, use, *more: (seen.append(use), inner(features, first, toxic, use, *more))[1]
+    try:
+        tagger = toxicity.fit(texts, toxic, (2 * many, many), rounds=60)
+    finally:
+        toxicity._fit_chain = inner
+    assert len(seen) == 4 and (sum(s.astype(int) for s in seen[:3]) == 2).all() and seen[3].all()
+    assert all(toxic[~s].any() and not toxic[~s].all() for s in seen[:3])
+    if many > 3:
+        score = tagger.scores(*tagger.documents(*toxicity._joined(["so vile a text", "so kind a text", ""]))[:2])
+        assert score[0] > 0.5 > score[1] and score[2] < 0.5
+
+
 def test_toxicity_of_edge_cases(spark, edge, empty):
     labels = spark.createDataFrame([(1, 0), (5, 1), (6, None), (None, 1)], "doc_id bigint, toxic int")
     assert toxicity.toxicity(edge, labels).count() == len(EDGE)
