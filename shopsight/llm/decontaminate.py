@@ -44,7 +44,7 @@ _SPACE = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 #: Items of a block.
 BLOCK = 16
 #: Bounds that a task holds at a time.
-CELLS = 1 << 22
+CELLS = 1 << 20
 _K1, _B = 1.2, 0.75
 
 
