@@ -275,7 +275,8 @@ def test_chain_marginals_equal_a_sum_over_all_paths():
 def test_toxic_score_is_fitted_by_one_rule_at_every_size(many):
     """Each text's part in the document score comes from a chain that has not seen it:
     a word of a single toxic text cannot speak for that text."""
-    texts = [f"vile words number{k} here" if k % 3 == 0 else f"kind words number{k} here" for k in range(3 * many)]
+    plain = ["some", "words", "number", "here", "now"]
+    texts = [" ".join([*plain[:k % 5], "vile" if k % 3 == 0 else "kind", *plain[k % 5:]]) for k in range(3 * many)]
     toxic = np.array([k % 3 == 0 for k in range(3 * many)])
     seen = []
     inner = toxicity._fit_chain
