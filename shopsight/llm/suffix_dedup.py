@@ -47,17 +47,15 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def previous_factors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each position: whether its ``length`` bytes also start earlier, and
-    whether they also start later (the capped longest-previous-factor array and
-    its mirror image, told by the neighbours in suffix order)."""
-    n = len(data) - length + 1
-    if n <= 0:
-        return np.zeros(max(n, 0), bool), np.zeros(max(n, 0), bool)
-    rank = suffix_ranks(data, length)[:n]
+def previous_factors(data: np.ndarray, length: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the ascending positions ``at``: whether its ``length`` bytes also
+    start at an earlier one of them, and whether at a later one (the capped
+    longest-previous-factor array and its mirror image, told by the neighbours in
+    suffix order)."""
+    rank = suffix_ranks(data, length)[at]
     order = np.argsort(rank, kind="stable")  # the suffix order, ties by position
     same = rank[order[1:]] == rank[order[:-1]]
-    earlier, later = np.zeros(n, bool), np.zeros(n, bool)
+    earlier, later = np.zeros(len(at), bool), np.zeros(len(at), bool)
     earlier[order[1:]] = same  # the previous smaller position is the neighbour
     later[order[:-1]] = same  # and so is the next larger one
     return earlier, later
@@ -106,14 +104,8 @@ def _sorted(body, who, begin, length, asked, window, keep_first):
     many = np.diff(np.concatenate((head, [len(chosen)])))
     small = text[ranges(starts[chosen[head]], many + window - 1)]
     at = ranges(np.cumsum(many + window - 1) - (many + window - 1), many)
-    rank = suffix_ranks(small, window)[at]
-    order = np.argsort(rank, kind="stable")
-    same = rank[order[1:]] == rank[order[:-1]]
-    hit = np.zeros(len(at), bool)
-    hit[order[1:]] = same
-    if not keep_first:
-        hit[order[:-1]] |= same
-    chosen = chosen[hit]
+    earlier, later = previous_factors(small, window, at)
+    chosen = chosen[earlier if keep_first else earlier | later]
     if len(chosen):
         new = np.ones(len(chosen), bool)
         new[1:] = (chosen[1:] != chosen[:-1] + 1) | (piece[chosen[1:]] != piece[chosen[:-1]])

@@ -1,6 +1,7 @@
 """The training-data operators against plain versions, on a whole small table and
 on a table of edge cases."""
 
+import hashlib
 import os
 import struct
 import zlib
@@ -111,6 +112,25 @@ def test_suffix_dedup(spark, rows):
     assert got == {i: w for (i, _), w in zip(rows, brute.byte_repeats(rows))}
 
 
+def test_suffix_dedup_keeps_the_first_copy(spark):
+    rng = np.random.default_rng(5)
+    parts = ["".join(chr(97 + x) for x in rng.integers(0, 26, n)) for n in (40, 60, 75, 130, 300)]
+    rows = [(i, "".join(parts[k] + chr(65 + int(rng.integers(0, 26))) * int(rng.integers(0, 3)) for k in rng.integers(0, 5, 6))) for i in range(30)]
+    rows += [(40, rows[3][1]), (41, "ab" * 200), (42, None), (43, "ab" * 90)]
+    window, seen, want = 50, set(), {}
+    for i, text in rows:
+        data = (text or "").encode()
+        gone = np.zeros(len(data), bool)
+        for k in range(len(data) - window + 1):
+            if data[k:k + window] in seen:
+                gone[k:k + window] = True
+            seen.add(data[k:k + window])
+        kept = bytes(x for x, g in zip(data, gone) if not g)
+        want[i] = len(data), int(gone.sum()), int((np.diff(np.concatenate(([0], gone))) == 1).sum()), hashlib.sha256(kept).hexdigest()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert by_id(suffix_dedup.suffix_dedup(df, window=window), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 def test_fingerprints(spark, rows):
     got = by_id(QUERIES["op5_fingerprints"](spark, SF_SMALL), "n_chars", "edited_sha256", "fingerprint", "near_edited", "near_next")
     down = sorted(rows, key=lambda r: -r[0])
