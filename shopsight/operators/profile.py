@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from shopsight.functions.numeric import (is_fractional, is_infinite, numeric_columns, sample_kurtosis,
                                          sample_skewness, string_columns)
-from shopsight.functions.quantiles import exact_quantiles
+from shopsight.functions.quantiles import quantile_table
 
 # The columns of the reference's correlation heatmap.
 CORRELATION_COLUMNS = ["quantity", "discount_applied", "gross_revenue", "age", "base_price"]
@@ -108,7 +108,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         F.min("value").alias("min"), F.max("value").alias("max"),
         sample_skewness("value").alias("skew"), sample_kurtosis("value").alias("kurtosis"))
     moments = F.broadcast(pos).join(moments, "column", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], keys=["column"])
+    q = quantile_table(d, cols, [0.25, 0.5, 0.75])
     qw = q.groupBy("column").agg(
         F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("q25"),
         F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("q50"),
@@ -161,12 +161,13 @@ def timestamp_summary(df: DataFrame) -> DataFrame:
     stats = ["mean", "min", "q25", "q50", "q75", "max"]
     if not cols:
         return spark.createDataFrame([], ", ".join(["column string", "count long", *(f"{c} timestamp" for c in stats)]))
-    long = _long(df.select(*[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in cols]), cols, "long")
+    micros = df.select(*[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in cols])
+    long = _long(micros, cols, "long")
     pos = spark.createDataFrame([(i, c) for i, c in enumerate(cols)], "pos int, column string")
     moments = long.groupBy("column").agg(F.count("value").alias("count"), F.sum(F.col("value").cast("decimal(20,0)")).alias("_sum"),
                                          F.min("value").alias("min"), F.max("value").alias("max"))
     moments = moments.withColumn("mean", F.expr("CASE WHEN count > 0 THEN _sum div count END"))
-    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], keys=["column"]).groupBy("column").agg(
+    q = quantile_table(micros, cols, [0.25, 0.5, 0.75]).groupBy("column").agg(
         *[F.max(F.when(F.col("q") == x, F.floor("value"))).alias(c) for c, x in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))])
     return (F.broadcast(pos).join(moments, "column", "left").join(q, "column", "left").orderBy("pos")
             .select("column", F.coalesce("count", F.lit(0)).alias("count"), *[F.timestamp_micros(c).alias(c) for c in stats]))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopsight.functions.calendar import (AGE_BAND_LABELS, WEEKDAY_ORDER, age_band, weekday_name, year_month)
-from shopsight.functions.quantiles import exact_quantiles
+from shopsight.functions.quantiles import quantile_table
 
 REVENUE = "gross_revenue"
 
@@ -134,11 +134,9 @@ def group_statistics(df: DataFrame, group_cols: Sequence[str] | None = None,
         aggs += [_sum0(v, f"{v}_sum"), F.avg(v).alias(f"{v}_mean"), F.stddev_samp(v).alias(f"{v}_std"),
                  F.count(v).alias(f"{v}_count")]
     base = long.groupBy("column", "value").agg(*aggs)
-    # all medians in one distributed solve: key = (column, value, measure)
-    stacked = long.select("column", F.col("value").alias("_val"), F.explode(F.array(*[
-        F.struct(F.lit(v).alias("_m"), F.col(v).cast("double").alias("_x")) for v in values])).alias("_p")
-    ).select("column", "_val", "_p._m", "_p._x")
-    med = exact_quantiles(stacked, "_x", [0.5], keys=["column", "_val", "_m"])
+    # all medians in one distributed solve, the measures side by side: a sketch a measure
+    # under one key keeps the keys of a task below the number from which Spark sorts its rows
+    med = quantile_table(long.withColumnRenamed("value", "_val"), values, [0.5], keys=["column", "_val"], name="_m")
     med_wide = med.groupBy("column", "_val").agg(*[
         F.max(F.when(F.col("_m") == v, F.col("value"))).alias(f"{v}_median") for v in values])
     base = base.join(med_wide.withColumnRenamed("_val", "value"), ["column", "value"], "left")

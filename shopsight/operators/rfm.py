@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopsight.functions.calendar import floor_days, ntz_lit
-from shopsight.functions.quantiles import exact_quantiles
+from shopsight.functions.quantiles import quantile_table
 from shopsight.functions.ranking import rows_before
 from shopsight.session import ensure_checkpoint_dir
 
@@ -74,10 +74,7 @@ def _bucket(x: F.Column, edges: list[float]) -> F.Column:
 
 def _edges(df: DataFrame, cols: list[str]) -> dict[str, list[float]]:
     """Exact quartile edges of several columns in one distributed solve."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_p")
-    ).select("_p.column", "_p.v")
-    rows = exact_quantiles(long, "v", QUARTILES, keys=["column"]).collect()  # 5 values per column
+    rows = quantile_table(df, cols, QUARTILES).collect()  # 5 values per column
     got = {(r["column"], r["q"]): r["value"] for r in rows}
     return {c: [got[(c, q)] for q in QUARTILES] for c in cols}
 

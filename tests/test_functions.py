@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shopsight.functions.calendar import age_band, cohort_index, floor_days
 from shopsight.functions.numeric import sample_kurtosis, sample_skewness
-from shopsight.functions.quantiles import exact_quantiles
+from shopsight.functions.quantiles import exact_quantiles, quantile_table
 from shopsight.functions.ranking import rows_before
 
 
@@ -85,6 +85,27 @@ def test_quantiles_that_a_sketch_misses(spark):
     assert got == {q: pytest.approx(np.quantile(vals, q), abs=1e-12) for q in probs}
 
 
+def test_quantiles_of_several_columns_read_the_rows_twice(spark):
+    """Two passes for all columns and targets, whatever the sketch leaves; gaps, ties,
+    infinities and a column without values included."""
+    rng = np.random.default_rng(11)
+    n = 6000
+    pdf = pd.DataFrame({"k": rng.integers(0, 2, n).astype("int32"), "a": rng.normal(size=n), "b": rng.integers(0, 4, n).astype(float), "c": rng.normal(size=n)})
+    pdf.loc[::7, "a"], pdf.loc[3, "c"], pdf.loc[4, "c"] = np.nan, np.inf, -np.inf
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    df = spark.createDataFrame(pdf).repartition(4).withColumn("d", F.lit(None).cast("double")).mapInPandas(count, "k int, a double, b double, c double, d double")
+    probs = [0.75, 0.25, 0.5]
+    got = {(r["k"], r["column"], r["q"]): r["value"] for r in quantile_table(df, ["a", "b", "c", "d"], probs, ["k"], accuracy=1000).collect()}
+    assert read.value == 2 * n
+    assert got == {(k, c, q): pytest.approx(np.nanquantile(pdf.loc[pdf.k == k, c], q), abs=1e-12) for k in (0, 1) for c in "abc" for q in probs}
+
+
 def test_rows_before_counts_every_row_once(spark):
     rows = [(k % 7, k, 1 + k % 3) for k in range(500)]
     df = spark.createDataFrame(rows, "a int, _at int, n int").repartition(6)
