@@ -3,6 +3,7 @@ columns and gaps that the fit has not seen."""
 
 import datetime as dt
 import math
+import os
 import shutil
 
 import pytest
@@ -41,6 +42,21 @@ def test_large_folders_are_not_persisted(spark, tmp_path):
     assert ws.clean().count() > 0 and not ws.clean().storageLevel.useMemory
 
 
+def test_large_folders_join_the_input_once(spark, tmp_path):
+    """Fits, reports and learners read written tables; the written ones go with the workspace."""
+    folder = str(tmp_path / "data")
+    shutil.copytree(SF_SMALL, folder)
+    ws = workspace.Workspace(spark, folder, persist_max_bytes=10)
+    for table in (ws.raw(), ws.clean(), ws.model_table()):
+        assert "Join" not in table._jdf.queryExecution().optimizedPlan().toString()
+    small = workspace.Workspace(spark, SF_SMALL)
+    assert sorted(ws.model_table().collect()) == sorted(small.model_table().collect())
+    assert sorted(map(str, ws.clean().collect())) == sorted(map(str, small.clean().collect()))
+    files = ws.raw().inputFiles()
+    ws.release()
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
 def test_inferred_types_and_rejected_lines(spark, tmp_path):
     path = tmp_path / "campaigns.csv"
     path.write_text("id,name,budget,start,active\n1,spring,10.5,2024-03-01,true\n2,,20,2024-04-01,false\n3,odd\n4,x,1,2024-05-01,true,more\n")
