@@ -258,7 +258,7 @@ class _Array:
     """An array file, mapped into memory."""
 
     def __init__(self, path: str, values: int, words: bool):
-        raw = np.load(path, mmap_mode="r")  # raises where it cannot be opened
+        raw = np.load(path, mmap_mode="r").view(np.ndarray)  # raises where it cannot be opened; views of plain arrays cost less
         kinds = [np.int64, np.uint32, np.uint32, np.uint32 if words else np.uint8, np.uint8, np.uint32, np.uint32, np.int64, np.uint32]
         self.rows, *sizes = raw[:8 * (1 + len(kinds))].view(np.int64).tolist()
         at, found = 8 * (1 + len(kinds)), []
@@ -266,7 +266,7 @@ class _Array:
             found.append(raw[at:at + size].view(kind))
             at += size + -size % 8
         deep, self._at, self._low, self._high, self._code, self._rare, self._rare_code, table, self._rank = found
-        self._deep, self._values, self._words = int(deep[0]), table.reshape(values, -1), words
+        self._deep, self._values, self._words = int(deep[0]), np.ascontiguousarray(table.reshape(values, -1).T), words
 
     def find(self, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Which keys are there, and their rows."""
@@ -289,10 +289,11 @@ class _Array:
         return ok, a[ok]
 
     def values(self, at: np.ndarray) -> np.ndarray:
+        """The values at some rows, a row for each."""
         code = self._code[at].astype(np.int64)
         rare = code == 255
         code[rare] = self._rare_code[np.searchsorted(self._rare, at[rare])]
-        return self._values[:, code]
+        return self._values.take(code, axis=0)
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         return self._rank[at].astype(np.uint64)
@@ -392,6 +393,12 @@ def discounts(counts: dict[int, int]) -> tuple[float, float, float]:
     return 0.5, 1.0, 1.5
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, and where each key stands among them."""
+    found = pa.array(keys).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+
 @dataclass
 class Arrays:
     """Arrays in a folder, one file for each hash range."""
@@ -418,32 +425,35 @@ class Arrays:
         return self._maps[at]
 
     def _found(self, name: str, keys: np.ndarray, bits: int) -> Iterator[tuple[int, _Array, np.ndarray, np.ndarray]]:
-        """Of sorted keys, for each hash range: the array, which keys it has, and where."""
+        """For each hash range: the array, which keys it has, and where.  Keys are taken
+        by their first 16 bits, so that neighbours meet in memory."""
+        order = np.argsort((keys >> np.uint64(48)).astype(np.uint16) if bits <= 16 else keys, kind="stable")
+        keys = keys[order]
         part = (keys >> np.uint64(64 - bits)).astype(np.int64)
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(keys)])) if len(keys) else np.zeros(1, np.int64)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             have = self._mapped(name, int(part[a]))
             if have is not None:
                 ok, at = have.find(keys[a:b], bits)
-                yield int(part[a]), have, a + np.flatnonzero(ok), at
+                yield int(part[a]), have, order[a:b][ok], at
 
     def look_up(self, name: str, keys: np.ndarray) -> np.ndarray:
-        """The values at each key, a row for each kind (0 where there is none)."""
-        once, back = np.unique(keys, return_inverse=True)
-        out = np.zeros((_VALUES, len(once)), np.int64)
-        for _, have, who, at in self._found(name, once, self.bits):
-            out[:, who] = have.values(at)
-        return out[:, back]
+        """The values at each key, a row for each (0 where there is none)."""
+        out = np.zeros((len(keys), _VALUES), np.int64)
+        for _, have, who, at in self._found(name, keys, self.bits):
+            out[who] = have.values(at)
+        return out
 
     def numbers(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each word's number (1: the begin token, 2: unknown; the least for common
         words) and how often it is in the training texts."""
-        once, back = np.unique(fold(codes), return_inverse=True)
+        once, back = _distinct(codes)
         number, count = np.full(len(once), 2, np.uint64), np.zeros(len(once), np.int64)
-        for part, have, who, at in self._found("token", once, self.word_bits):
+        for part, have, who, at in self._found("token", fold(once), self.word_bits):
             number[who] = have.rank(at) << np.uint64(self.word_bits) | np.uint64(part)
-            count[who] = have.values(at)[0]
-        return np.where(codes == BEGIN, np.uint64(1), number[back]), count[back]
+            count[who] = have.values(at)[:, 0]
+        number[once == BEGIN] = 1
+        return number[back], count[back]
 
 
 @dataclass
@@ -470,18 +480,23 @@ class Model(Arrays):
         for n in range(1, self.order + 1):
             mine = keys[-n:]
             if n == 1:  # the begin token is a context too
-                found = self.look_up("ngram1", fold(number))
+                once, back = _distinct(number)
+                found = self.look_up("ngram1", fold(once)).take(back, axis=0)
+                seen = found[to, 0]
             else:
-                found = np.zeros((_VALUES, len(codes)), np.int64)
-                found[:, to] = self.look_up(f"ngram{n}", fold(*mine))
-            seen = found[0, to]
+                ended = self.look_up(f"ngram{n}", fold(*mine))
+                seen = ended[:, 0]
+                if n < self.order:
+                    found = np.zeros((len(codes), _VALUES), np.int64)
+                    found[to] = ended
             if n == 1:
                 p = (seen - self.taken(1, seen)) / max(self.left, 1) + self.open * p
             else:
                 total = np.maximum(context[0], 1)
                 rest = sum(d * c for d, c in zip(self.discount[n], context[1:])) / total
                 p = np.where((context[0] > 0) & (mine[0] != 0), (seen - self.taken(n, seen)) / total + rest * p, p)
-            context = found[1:, to - 1]  # of the next order: the n-gram that ends a token earlier
+            if n < self.order:  # of the next order: the n-gram that ends a token earlier
+                context = np.ascontiguousarray(found.take(to - 1, axis=0)[:, 1:].T)
         return np.log10(p), count[to]
 
 

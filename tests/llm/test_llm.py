@@ -95,6 +95,21 @@ def test_a_missing_array_of_the_model_raises(spark):
         ngram_model.score(docs, model).collect()
 
 
+def test_look_ups_take_keys_in_any_order(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    model = ngram_model.train(docs, order=2)
+    codes = np.unique(ngram_model.tokens(*ngram_model.buffer(docs.select(F.coalesce("text", F.lit("")).alias("text")).toArrow().column("text").combine_chunks()))[0])
+    numbers, counts = model.numbers(codes)
+    assert model.look_up("ngram1", ngram_model.fold(numbers))[:, 0].sum() == model.left
+    some = np.random.default_rng(3).integers(0, len(codes), 5000)  # repeated, unsorted
+    again = model.numbers(codes[some])
+    assert np.array_equal(again[0], numbers[some]) and np.array_equal(again[1], counts[some])
+    rows = model.look_up("ngram1", ngram_model.fold(numbers[some]))  # a row for each key, as they come
+    assert rows.shape == (5000, 5) and np.array_equal(rows, model.look_up("ngram1", ngram_model.fold(numbers))[some])
+    held = next(iter(model._maps.values()))
+    assert type(held._low) is np.ndarray  # slices of a memmap object are slow
+
+
 def test_simhash_groups(spark, rows):
     got = by_id(QUERIES["op3_simhash_groups"](spark, SF_SMALL), "fingerprint", "component_id")
     assert got == {i: w for (i, _), w in zip(rows, brute.groups(rows))}
