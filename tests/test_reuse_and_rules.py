@@ -57,6 +57,12 @@ def test_large_folders_join_the_input_once(spark, tmp_path):
     assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
 
 
+def test_orders_are_joined_by_one_plan_at_every_size(spark):
+    """No broadcast of a fact table, however few bytes its files have."""
+    plan = workspace.load_tables(spark, SF_SMALL)["transactions"]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_inferred_types_and_rejected_lines(spark, tmp_path):
     path = tmp_path / "campaigns.csv"
     path.write_text("id,name,budget,start,active\n1,spring,10.5,2024-03-01,true\n2,,20,2024-04-01,false\n3,odd\n4,x,1,2024-05-01,true,more\n")
