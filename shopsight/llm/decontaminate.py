@@ -45,6 +45,8 @@ _SPACE = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 BLOCK = 16
 #: Bounds that a task holds at a time.
 CELLS = 1 << 20
+#: Bytes of text that a task searches at a time: each byte takes some 60 bytes of arrays.
+SEARCH_BYTES = 1 << 20
 _K1, _B = 1.2, 0.75
 
 
@@ -221,7 +223,7 @@ def contaminated(docs: DataFrame, items: DataFrame, question: Column, answer: Co
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index: Index = shared.value
             item_ids = pa.array(index.ids, type=None if any(i is not None for i in index.ids) else pa.int64())
-            for part in text_slices(batches):
+            for part in text_slices(batches, limit=SEARCH_BYTES):
                 codes, first = _codes(*buffer(part.column("text")))
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
                 for text, a, b, item, score in zip(*(x.tolist() for x in retrieve(index, codes, first, threshold))):

@@ -9,6 +9,7 @@ from itertools import pairwise, product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -264,6 +265,24 @@ def test_retrieval_equals_the_full_scores():
         assert {i: pytest.approx(full[i]) for i in np.flatnonzero(full >= 0.5).tolist()} == {i: s for (x, i), s in found.items() if x == begin}
 
 
+def test_searched_slices_are_short(monkeypatch):
+    """What a task holds beside the index follows the bytes that it searches at a time."""
+    import tracemalloc
+    from shopsight.llm._text import buffer, text_slices
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 400)) for _ in range(2500)]  # 5 MB
+    items = [t[:300] for t in texts[:100]]
+    frequency = {int(c): 1 for c in np.unique(np.concatenate(decontaminate._of(items))).view(np.int64)}
+    index = decontaminate.build(list(range(100)), items, items, frequency, 100, 120.0)
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    tracemalloc.start()
+    for part in text_slices(iter([batch]), limit=decontaminate.SEARCH_BYTES):
+        decontaminate.retrieve(index, *decontaminate._codes(*buffer(part.column("text"))), 0.6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
 def test_decontamination_of_edge_cases(spark, edge, empty):
     items = spark.createDataFrame([(1, PASSAGE), (2, None), (3, ""), (None, "without an id"), (5, "never seen anywhere at all. Not here.")], "item_id bigint, text string")
     got = decontaminate.contaminated(edge, items, *decontaminate.split_items(items)).collect()
