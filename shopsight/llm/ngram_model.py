@@ -56,11 +56,16 @@ RANGE_TOKENS = 1 << 21
 MAPPED = 512
 
 
+def longer(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The hashes of sequences with one more word code behind."""
+    return mix(hashes * np.uint64(0x9E3779B97F4A7C15) + codes.view(np.uint64) + np.uint64(1))
+
+
 def fold(*codes: np.ndarray) -> np.ndarray:
     """One 64-bit hash for a sequence of word codes (columns)."""
     out = np.zeros(len(codes[0]), np.uint64)
     for c in codes:
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + c.view(np.uint64) + np.uint64(1))
+        out = longer(out, c)
     return out
 
 
@@ -113,12 +118,34 @@ def _runs(by: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _counted(by: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+def _order(by: list[np.ndarray], many: int, width: int) -> np.ndarray:
+    """What sorts the rows of ``many`` columns that ``_packed`` packed.  Two numbers
+    are sorted by their first 64 bits, then the rows that are alike in these by the
+    others, which costs far less than sorting by one number after the other."""
+    if len(by) == 1:
+        return np.argsort(by[0])
+    each = max(1, 64 // width)
+    rest = (many - each) * width - (64 - each * width)  # bits of the second number beyond the first 64
+    if len(by) > 2 or rest + len(by[0]).bit_length() > 64:
+        return np.lexsort(by[::-1])
+    first = by[0] << np.uint64(64 - each * width) | by[1] >> np.uint64(rest)
+    order = np.argsort(first)
+    first = first[order]
+    new = np.concatenate((np.ones(1, bool), first[1:] != first[:-1]))[:len(first)]
+    del first
+    alike = np.flatnonzero(~new | ~np.append(new[1:], True))
+    group = np.cumsum(new[alike], dtype=np.uint64)
+    rows = order[alike]
+    order[alike] = rows[np.argsort(group << np.uint64(rest) | by[1][rows] & np.uint64((1 << rest) - 1))]
+    return order
+
+
+def _counted(by: list[np.ndarray], many: int, width: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows, sorted, and how often each is there.  Sorts in place."""
     if len(by) == 1:
         by[0].sort()
     else:
-        order = np.lexsort(by[::-1])
+        order = _order(by, many, width)
         by = [one[order] for one in by]
     begin = _runs(by)
     return [one[begin] for one in by], np.diff(np.append(begin, len(by[0])))
@@ -127,7 +154,7 @@ def _counted(by: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 def _summed(keys: list[np.ndarray], values: list[np.ndarray], width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Distinct rows of the keys, sorted, with the sums of the values."""
     by = _packed(keys, width)
-    order = np.argsort(by[0]) if len(by) == 1 else np.lexsort(by[::-1])
+    order = _order(by, len(keys), width)
     by = [one[order] for one in by]
     begin = _runs(by)
     by = [one[begin] for one in by]
@@ -142,8 +169,10 @@ def squeeze(keys: list[np.ndarray], values: list[np.ndarray]) -> bytes:
     n, masks, planes = len(keys[0]), [], []
 
     def put(column: np.ndarray) -> None:
-        raw = np.ascontiguousarray(column, "<u8").view(np.uint8).reshape(n, 8)
-        used = [k for k in range(8) if raw[:, k].any()]
+        column = np.ascontiguousarray(column, "<u8")
+        raw = column.view(np.uint8).reshape(n, 8)
+        bits = int(np.bitwise_or.reduce(column))
+        used = [k for k in range(8) if bits >> 8 * k & 255]
         masks.append(sum(1 << k for k in used))
         planes.extend(raw[:, k].tobytes() for k in used)
 
@@ -187,15 +216,20 @@ def _rows(parts: list[int], level: int, blocks: list[bytes]) -> pa.RecordBatch:
 
 
 def _blocks(keys: list[np.ndarray], values: list[np.ndarray], bits: int) -> pa.RecordBatch:
-    """Sorted rows as one block for each range of their hash."""
+    """Sorted rows as one block for each range of their hash.  Takes the columns
+    out of the lists, so that memory holds each once."""
     part = (fold(*keys) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
     order = np.argsort(part, kind="stable")
-    begin = _runs([part[order]])
-    who = np.split(order, begin[1:]) if len(begin) else []
-    return _rows(part[order[begin]].tolist(), len(keys), [squeeze([k[w] for k in keys], [v[w] for v in values]) for w in who])
+    part = part[order]
+    for columns in (keys, values):
+        for k, c in enumerate(columns):
+            columns[k] = c[order]
+    del c, order
+    begin = _runs([part]).tolist()
+    return _rows(part[begin].tolist(), len(keys), [squeeze([k[a:b] for k in keys], [v[a:b] for v in values]) for a, b in zip(begin, [*begin[1:], len(part)])])
 
 
-def _flushed(batches: Iterator[pa.RecordBatch], grams: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], values: int, width: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _flushed(batches: Iterator[pa.RecordBatch], grams: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], width: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Counts of what ``grams`` makes of texts, summed over ``COUNT_BYTES`` of them
     divided by the columns that it makes."""
     held, size, many = [], 0, 0
@@ -203,8 +237,10 @@ def _flushed(batches: Iterator[pa.RecordBatch], grams: Callable[[np.ndarray, np.
     def flush() -> pa.RecordBatch:
         by = [np.concatenate(c) for c in zip(*held)]
         held.clear()
-        by, n = _counted(by)
-        return _blocks(_unpacked(by, many, width), [n] + [np.broadcast_to(np.int64(0), len(n))] * (values - 1), bits)
+        by, n = _counted(by, many, width)
+        keys = _unpacked(by, many, width)
+        del by
+        return _blocks(keys, [n], bits)
 
     for part in text_slices(batches):
         data, offsets = buffer(part.column("text"))
@@ -222,30 +258,38 @@ def _flushed(batches: Iterator[pa.RecordBatch], grams: Callable[[np.ndarray, np.
 #: Rows of a bucket of an array, on average.
 _BUCKET = 16
 #: Columns of n-gram blocks and arrays: how often it counts; as a context, the sum
-#: of what follows it and how many words follow with a count of 1, 2 and more.
+#: of what follows it and how many words follow with a count of 1, 2 and more.  The
+#: highest order has the first alone, as its n-grams are no contexts.
 _VALUES = 5
 
 
+def _numbered(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row of values, equal ones alike, and a row for each number."""
+    once, code = _distinct(values[0] if len(values) == 1 else fold(*values))
+    seen = np.zeros(len(once), np.int64)
+    seen[code] = np.arange(len(code))
+    return code, seen
+
+
 def _save(folder: str, name: str, part: int, bits: int, key: np.ndarray, values: list[np.ndarray], rank: np.ndarray | None = None) -> None:
     """One array of sorted hashes in one file.  The file's range and the bucket
-    stand for the first bits of a hash; of the rest, 40 bits are kept (all of a
-    word's, which ``rank`` marks).  The rows of values are numbered by how common
+    stand for the first bits of a hash; of the rest, 40 bits are kept, the first 32
+    of them together (all of a word's, which ``rank`` marks).  The rows of values are numbered by how common
     they are: one byte each, and a list for the numbers from 255 on."""
     order = np.argsort(key)
     key = key[order] << np.uint64(bits)
     deep = max(0, (len(key) // _BUCKET).bit_length())
     bucket = key >> np.uint64(64 - deep) if deep else np.zeros(len(key), np.uint64)
     key = key << np.uint64(deep)
-    low = (key >> np.uint64(24) if rank is None else key) & np.uint64(0xFFFFFFFF)
-    high = key >> np.uint64(56) if rank is None else key >> np.uint64(32)
-    _, seen, code, many = np.unique(fold(*values), return_index=True, return_inverse=True, return_counts=True)
+    code, seen = _numbered(values)
+    many = np.bincount(code, minlength=len(seen))
     common = np.argsort(-many, kind="stable")
     place = np.empty(len(common), np.int64)
     place[common] = np.arange(len(common))
     code = place[code][order]
     rare = np.flatnonzero(code >= 255)
-    sections = [np.array([deep], np.int64), np.searchsorted(bucket, np.arange((1 << deep) + 1, dtype=np.uint64)).astype(np.uint32), low.astype(np.uint32),
-                high.astype(np.uint8 if rank is None else np.uint32), np.minimum(code, 255).astype(np.uint8), rare.astype(np.uint32), code[rare].astype(np.uint32),
+    sections = [np.array([deep, len(values)], np.int64), np.searchsorted(bucket, np.arange((1 << deep) + 1, dtype=np.uint64)).astype(np.uint32), (key >> np.uint64(32)).astype(np.uint32),
+                (key >> np.uint64(24)).astype(np.uint8) if rank is None else key.astype(np.uint32), np.minimum(code, 255).astype(np.uint8), rare.astype(np.uint32), code[rare].astype(np.uint32),
                 np.stack([v[seen][common] for v in values]), np.zeros(0, np.uint32) if rank is None else rank[order].astype(np.uint32)]
     path = Path(folder, f"{name}-{part}.npy")
     made = path.with_name(f".{uuid.uuid4().hex}.npy")
@@ -257,7 +301,7 @@ def _save(folder: str, name: str, part: int, bits: int, key: np.ndarray, values:
 class _Array:
     """An array file, mapped into memory."""
 
-    def __init__(self, path: str, values: int, words: bool):
+    def __init__(self, path: str, words: bool):
         raw = np.load(path, mmap_mode="r").view(np.ndarray)  # raises where it cannot be opened; views of plain arrays cost less
         kinds = [np.int64, np.uint32, np.uint32, np.uint32 if words else np.uint8, np.uint8, np.uint32, np.uint32, np.int64, np.uint32]
         self.rows, *sizes = raw[:8 * (1 + len(kinds))].view(np.int64).tolist()
@@ -265,35 +309,53 @@ class _Array:
         for kind, size in zip(kinds, sizes):
             found.append(raw[at:at + size].view(kind))
             at += size + -size % 8
-        deep, self._at, self._low, self._high, self._code, self._rare, self._rare_code, table, self._rank = found
-        self._deep, self._values, self._words = int(deep[0]), np.ascontiguousarray(table.reshape(values, -1).T), words
+        head, self._at, self._high, self._low, self._code, self._rare, self._rare_code, table, self._rank = found
+        (self._deep, many), self._words = head.tolist(), words
+        self.table = np.ascontiguousarray(table.reshape(many, -1).T)  # the rows of values by number
+        self.terms: np.ndarray | None = None  # what a model makes of them
 
     def find(self, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are there, and their rows."""
+        """Which keys are there, and their rows.  A key's first 32 bits beyond the
+        bucket's tell about where it stands in its bucket; from there all keys go
+        up or down, row by row, until these bits are not passed."""
         keys = keys << np.uint64(bits)
         bucket = (keys >> np.uint64(64 - self._deep)).astype(np.int64) if self._deep else np.zeros(len(keys), np.int64)
         keys = keys << np.uint64(self._deep)
-        want = keys if self._words else keys >> np.uint64(24)
+        high, low = (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32) if self._words else (keys >> np.uint64(24)).astype(np.uint8)
         a, b = self._at[bucket].astype(np.int64), self._at[bucket + 1].astype(np.int64)
-        last = b - 1
-
-        def here(at: np.ndarray) -> np.ndarray:
-            return self._high[at].astype(np.uint64) << np.uint64(32) | self._low[at]
-
-        while (open_ := np.flatnonzero(a < b)).size:  # all binary searches at once
-            middle = (a[open_] + b[open_]) // 2
-            less = here(middle) < want[open_]
-            a[open_[less]], b[open_[~less]] = middle[less] + 1, middle[~less]
-        ok = a <= last
-        ok[ok] = here(a[ok]) == want[ok]
-        return ok, a[ok]
+        at = a + ((b - a) * high >> 32)
+        some = a < b
+        if not some.all():
+            at[~some] = 0
+        here = self._high[at]
+        for step, far, ahead, open_ in ((1, b, np.less, np.flatnonzero((here < high) & some)), (-1, a - 1, np.greater, np.flatnonzero((here > high) & some))):
+            now, want, last = at[open_], high[open_], far[open_]
+            while open_.size:
+                now += step
+                inside = np.flatnonzero(now != last)
+                open_, now, want, last = open_[inside], now[inside], want[inside], last[inside]
+                there = self._high[now]
+                at[open_], here[open_] = now, there
+                more = np.flatnonzero(ahead(there, want))
+                open_, now, want, last = open_[more], now[more], want[more], last[more]
+        alike = some & (here == high)
+        ok = alike & (self._low[at] == low)
+        for k in np.flatnonzero(alike & ~ok).tolist():  # rows that differ in the last bits alone stand side by side
+            same = np.flatnonzero((self._high[a[k]:b[k]] == high[k]) & (self._low[a[k]:b[k]] == low[k]))
+            if len(same):
+                ok[k], at[k] = True, a[k] + same[0]
+        return ok, at[ok]
+
+    def codes(self, at: np.ndarray) -> np.ndarray:
+        """The numbers of the rows of values at some rows."""
+        code = self._code[at].astype(np.int64)
+        rare = np.flatnonzero(code == 255)
+        code[rare] = self._rare_code[np.searchsorted(self._rare, at[rare])]
+        return code
 
     def values(self, at: np.ndarray) -> np.ndarray:
         """The values at some rows, a row for each."""
-        code = self._code[at].astype(np.int64)
-        rare = code == 255
-        code[rare] = self._rare_code[np.searchsorted(self._rare, at[rare])]
-        return self._values.take(code, axis=0)
+        return self.table.take(self.codes(at), axis=0)
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         return self._rank[at].astype(np.uint64)
@@ -334,7 +396,7 @@ def _vocabulary(docs: DataFrame, folder: str, tasks: int, bits: int) -> list[tup
     """Writes the arrays of words, their numbers by falling count within a hash
     range, and their counts.  Gives the hash ranges with their words and tokens."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _flushed(batches, lambda codes, begin: [codes[codes != BEGIN]], 1, 64, bits)
+        return _flushed(batches, lambda codes, begin: [codes[codes != BEGIN]], 64, bits)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, blocks in _parts(batches):
@@ -348,8 +410,8 @@ def _vocabulary(docs: DataFrame, folder: str, tasks: int, bits: int) -> list[tup
     return [(r["part"], *np.frombuffer(r["block"], np.int64).tolist()) for r in stats.collect()]  # one row a hash range
 
 
-def _level(blocks: DataFrame, order: int, folder: str, tasks: int, bits: int, width: int) -> DataFrame:
-    """Writes the arrays of one order.  Gives the blocks of the next lower one, and
+def _level(blocks: DataFrame, order: int, columns: int, folder: str, tasks: int, bits: int, width: int) -> DataFrame:
+    """Writes the arrays of one order, with ``columns`` of values.  Gives the blocks of the next lower one, and
     of each hash range (level 0) the order, rows, sum of counts, and how many have
     counts of 1 to 4 and of 3 or more; such rows of higher orders go through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +422,7 @@ def _level(blocks: DataFrame, order: int, folder: str, tasks: int, bits: int, wi
             found.clear()
             if not mine:
                 continue
-            keys, values = _merged(mine, order, _VALUES, width)
+            keys, values = _merged(mine, order, columns, width)
             begun = keys[0] != 0  # or its history is shorter than the order
             n = values[0]
             some = n > 0
@@ -418,7 +480,7 @@ class Arrays:
             while len(self._maps) >= MAPPED:
                 del self._maps[next(iter(self._maps))]
             size = self.sizes[name].get(part, 0)
-            found = _Array(f"{self.folder}/{name}-{part}.npy", 1 if name == "token" else _VALUES, name == "token") if size else None
+            found = _Array(f"{self.folder}/{name}-{part}.npy", name == "token") if size else None
             if found is not None and found.rows != size:
                 raise ValueError(f"{name}-{part}.npy holds {found.rows} rows instead of {size}")
             self._maps[at] = found
@@ -441,19 +503,23 @@ class Arrays:
         """The values at each key, a row for each (0 where there is none)."""
         out = np.zeros((len(keys), _VALUES), np.int64)
         for _, have, who, at in self._found(name, keys, self.bits):
-            out[who] = have.values(at)
+            out[who, :have.table.shape[1]] = have.values(at)
         return out
 
     def numbers(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each word's number (1: the begin token, 2: unknown; the least for common
         words) and how often it is in the training texts."""
         once, back = _distinct(codes)
-        number, count = np.full(len(once), 2, np.uint64), np.zeros(len(once), np.int64)
-        for part, have, who, at in self._found("token", fold(once), self.word_bits):
+        number, count = self._once(once)
+        return number[back], count[back]
+
+    def _once(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        number, count = np.full(len(codes), 2, np.uint64), np.zeros(len(codes), np.int64)
+        for part, have, who, at in self._found("token", fold(codes), self.word_bits):
             number[who] = have.rank(at) << np.uint64(self.word_bits) | np.uint64(part)
             count[who] = have.values(at)[:, 0]
-        number[once == BEGIN] = 1
-        return number[back], count[back]
+        number[codes == BEGIN] = 1
+        return number, count
 
 
 @dataclass
@@ -470,34 +536,47 @@ class Model(Arrays):
     def taken(self, order: int, counts: np.ndarray) -> np.ndarray:
         return np.array([0.0, *self.discount[order]])[np.minimum(counts, 3)]
 
+    def _made(self, order: int, table: np.ndarray) -> np.ndarray:
+        seen = table[:, 0]
+        mine = [seen - self.taken(order, seen)]
+        if order < self.order:
+            total, *follow = table[:, 1:].T
+            some = np.maximum(total, 1)
+            mine += [some, np.where(total > 0, sum(d * c for d, c in zip(self.discount[order + 1], follow)) / some, 1.0)]
+        return np.stack(mine, axis=1)
+
+    def terms(self, order: int, keys: np.ndarray) -> np.ndarray:
+        """Of the n-gram at each key: its count less the discount; below the highest
+        order also, as a context, the sum of what follows and the share that is
+        left for lower orders (0, 1 and 1 where there is none)."""
+        out = np.empty((len(keys), 3 if order < self.order else 1))
+        out[:, :1], out[:, 1:] = 0, 1
+        for _, have, who, at in self._found(f"ngram{order}", keys, self.bits):
+            if have.terms is None:
+                have.terms = self._made(order, have.table)
+            out[who] = have.terms.take(have.codes(at), axis=0)
+        return out
+
     def log10(self, codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each predicted token: its probability's logarithm and how often it
         is in the training texts."""
-        number, count = self.numbers(codes)
-        keys = windows(number, begin, self.order)
-        p, context = 1 / (self.vocabulary + 1), None
+        once, back = _distinct(codes)
+        number, count = self._once(once)
+        key = fold(number)
+        mine = self.terms(1, key)  # the begin token is a context too
         to = np.delete(np.arange(len(codes)), begin[:-1])
-        for n in range(1, self.order + 1):
-            mine = keys[-n:]
-            if n == 1:  # the begin token is a context too
-                once, back = _distinct(number)
-                found = self.look_up("ngram1", fold(once)).take(back, axis=0)
-                seen = found[to, 0]
-            else:
-                ended = self.look_up(f"ngram{n}", fold(*mine))
-                seen = ended[:, 0]
-                if n < self.order:
-                    found = np.zeros((len(codes), _VALUES), np.int64)
-                    found[to] = ended
-            if n == 1:
-                p = (seen - self.taken(1, seen)) / max(self.left, 1) + self.open * p
-            else:
-                total = np.maximum(context[0], 1)
-                rest = sum(d * c for d, c in zip(self.discount[n], context[1:])) / total
-                p = np.where((context[0] > 0) & (mine[0] != 0), (seen - self.taken(n, seen)) / total + rest * p, p)
+        p = mine[:, 0].take(back[to]) / max(self.left, 1) + self.open * (1 / (self.vocabulary + 1))
+        context = mine[:, 1:].take(back[to - 1], axis=0)
+        key, number = key.take(back), number.take(back)
+        for n in range(2, self.order + 1):
+            key[1:] = longer(key[:-1], number[1:])  # of the n-gram that ends at a token; those that reach before the text are in no array
+            mine = self.terms(n, key[to])
+            p = mine[:, 0] / context[:, 0] + context[:, 1] * p
             if n < self.order:  # of the next order: the n-gram that ends a token earlier
-                context = np.ascontiguousarray(found.take(to - 1, axis=0)[:, 1:].T)
-        return np.log10(p), count[to]
+                found = np.ones((len(codes), 2))
+                found[to] = mine[:, 1:]
+                context = found.take(to - 1, axis=0)
+        return np.log10(p), count.take(back[to])
 
 
 def _local(spark: SparkSession) -> str:
@@ -523,9 +602,9 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     bits = max(1, min(word_bits, (total // RANGE_TOKENS).bit_length()))
     words_ = Arrays(folder, word_bits, bits, {"token": {part: n for part, n, _ in ranges_}})
     width = (max((n for _, n, _ in ranges_), default=0) + 1 << word_bits).bit_length()
-    rows = texts.mapInArrow(lambda batches: _flushed(batches, lambda codes, begin: windows(words_.numbers(codes)[0], begin, order), _VALUES, width, bits), _BLOCK)
+    rows = texts.mapInArrow(lambda batches: _flushed(batches, lambda codes, begin: windows(words_.numbers(codes)[0], begin, order), width, bits), _BLOCK)
     for n in range(order, 0, -1):
-        rows = _level(rows, n, folder, tasks, bits, width)
+        rows = _level(rows, n, 1 if n == order else _VALUES, folder, tasks, bits, width)
     sizes, sums = dict(words_.sizes), {n: np.zeros(6, np.int64) for n in range(1, order + 1)}
     for r in rows.collect():  # one row for each order and hash range
         n, part, many, *more = np.frombuffer(r["block"], np.int64).tolist()

@@ -111,6 +111,45 @@ def test_look_ups_take_keys_in_any_order(spark):
     assert type(held._low) is np.ndarray  # slices of a memmap object are slow
 
 
+@pytest.mark.parametrize("width", [20, 22, 28, 32, 40, 64])
+def test_n_grams_of_more_than_64_bits_are_summed_right(monkeypatch, width):
+    rng = np.random.default_rng(width)
+    keys = [rng.integers(0, 1 << 3, 20000, np.uint64) << np.uint64(width - 4) | rng.integers(0, 4, 20000, np.uint64) for _ in range(3)]
+    values = [np.arange(20000), rng.integers(0, 9, 20000)]
+    if width <= 32:  # one number after the other costs several times as much as one sort
+        monkeypatch.setattr(np, "lexsort", None)
+    got, sums = ngram_model._summed(keys, values, width)
+    want: dict = {}
+    for *k, a, b in zip(*(c.tolist() for c in (*keys, *values))):
+        old = want.get(tuple(k), (0, 0))
+        want[tuple(k)] = old[0] + a, old[1] + b
+    assert list(zip(*(c.tolist() for c in got))) == sorted(want)
+    assert list(zip(*(c.tolist() for c in sums))) == [want[k] for k in sorted(want)]
+    none = [c[:0] for c in keys]
+    assert [len(c) for c in sum(ngram_model._summed(none, [v[:0] for v in values], width), [])] == [0] * 5
+
+
+@pytest.mark.parametrize("n, last", [(1, 23), (40, 21), (5000, 14)])
+def test_look_ups_find_hashes_that_are_alike_in_their_first_bits(tmp_path, n, last):
+    """Skewed hashes, so that a key stands far from where its bits put it; neighbours by the last bits kept."""
+    rng = np.random.default_rng(n)
+    far = rng.integers(0, 1 << 63, n, np.uint64) >> rng.integers(0, 40, n, np.uint64)
+    kept = np.uint64(last)  # of the bits below this one nothing is kept
+    near = (far[: n // 2] >> kept ^ rng.integers(0, 256, n // 2, np.uint64)) << kept
+    keys = np.unique(np.concatenate((far, near)))  # of one range: the first bit is 0
+    keys = keys[np.concatenate(([True], np.diff(keys >> kept) > 0))]
+    counts = rng.integers(1, 900, len(keys))
+    ngram_model._save(str(tmp_path), "ngram2", 0, 1, keys, [counts])
+    array = ngram_model._Array(f"{tmp_path}/ngram2-0.npy", False)
+    absent = keys + (np.uint64(1) << kept)
+    absent = absent[~np.isin(absent >> kept, keys >> kept)]
+    mixed = rng.permutation(np.concatenate((keys, absent)))
+    ok, at = array.find(mixed, 1)
+    there = np.isin(mixed, keys)
+    assert np.array_equal(ok, there)
+    assert np.array_equal(array.values(at)[:, 0], counts[np.searchsorted(keys, mixed[there])])
+
+
 def test_simhash_groups(spark, rows):
     got = by_id(QUERIES["op3_simhash_groups"](spark, SF_SMALL), "fingerprint", "component_id")
     assert got == {i: w for (i, _), w in zip(rows, brute.groups(rows))}
