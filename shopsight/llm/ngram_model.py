@@ -14,8 +14,8 @@ shorter n-gram.  N-grams behind the begin token keep their counts, as nothing
 stands left of them.  Discounts follow from the counts of counts of each order.
 
 The arrays are files in the folder that ``spark.checkpoint.dir`` names, one for
-each order and hash range; workers map them into memory and look hashes up by
-binary search, so a worker holds the pages it touches only.  Of an n-gram's hash
+each order and hash range; workers map them into memory and look hashes up from
+where their bits point, so a worker holds the pages it touches only.  Of an n-gram's hash
 the range, the bucket and 40 further bits are kept.  That folder has to be a
 path that driver and executors can open (a mounted file system).  A repeated task
 writes the same files anew and swaps them in whole.
